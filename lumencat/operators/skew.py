@@ -1,0 +1,82 @@
+"""Joins that stay balanced when a few keys carry much of the data."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, functions as F, types as T
+
+BROADCAST_ROWS = 200_000
+BROADCAST_TEXT_BYTES = 32 << 20
+# A key above 1/HOT_SHARE of the rows is split over SPLITS tasks; at most HOT_SHARE keys can be.
+HOT_SHARE = 500
+SPLITS = 64
+# Keys under this many rows are never worth splitting.
+HOT_ROWS = 1_000_000
+
+
+def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
+    """Measure a join side: few enough rows, and little enough text in them."""
+    text = [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
+    nested = [f.name for f in df.schema if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))]
+    size = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in text), F.lit(0))
+    size = sum((F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0)) for c in nested), size)
+    rows, volume = df.agg(F.count(F.lit(1)), F.sum(size.cast("long"))).first()
+    return rows <= max_rows and (volume or 0) <= BROADCAST_TEXT_BYTES
+
+
+def _hash(on: Sequence[str]) -> Column:
+    return F.xxhash64(*[F.col(c) for c in on])
+
+
+def hot_keys(df: DataFrame, on: Sequence[str], hot_rows: int = HOT_ROWS) -> list[int]:
+    """Hashes of the keys that hold an outsized share of ``df``; at most HOT_SHARE of them.
+
+    One pass with a mergeable frequent-items sketch: it decides only where rows go, never which
+    rows are kept, so its error bound touches balance and not results.
+    """
+    sketch = F.expr(f"approx_top_k(__key, {HOT_SHARE}, {HOT_SHARE * 20})")
+    top, total = (
+        df.select(_hash(on).alias("__key")).agg(sketch, F.count(F.lit(1))).first()
+    )
+    floor = max(total / HOT_SHARE, hot_rows)
+    return [item["item"] for item in (top or []) if item["count"] > floor]
+
+
+def _salt(df: DataFrame, on: Sequence[str], hot: list[int], name: str) -> DataFrame:
+    spread = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(SPLITS)).cast("int")
+    return df.withColumn(name, F.when(_hash(on).isin(hot), spread).otherwise(F.lit(0)) if hot else F.lit(0))
+
+
+def _copies(df: DataFrame, on: Sequence[str], hot: list[int], name: str) -> DataFrame:
+    if not hot:
+        return df.withColumn(name, F.lit(0))
+    every = F.sequence(F.lit(0), F.lit(SPLITS - 1))
+    return df.withColumn(name, F.explode(F.when(_hash(on).isin(hot), every).otherwise(F.array(F.lit(0)))))
+
+
+def balanced_join(
+    left: DataFrame,
+    right: DataFrame,
+    on: str | Sequence[str],
+    how: str = "inner",
+    *,
+    broadcast_rows: int = BROADCAST_ROWS,
+    hot_rows: int = HOT_ROWS,
+) -> DataFrame:
+    """Equi-join for a ``left`` whose keys may be very uneven.
+
+    ``right`` is broadcast when a measurement shows that it is small. Otherwise rows of hot keys
+    are spread over SPLITS sub-keys and the matching ``right`` rows copied to each; an inner join
+    also splits the keys that are hot on the right. With no hot key it is a plain shuffle join.
+    """
+    on = [on] if isinstance(on, str) else list(on)
+    if fits_broadcast(right, broadcast_rows):
+        return left.join(F.broadcast(right), on, how)
+    hot_left = hot_keys(left, on, hot_rows)
+    hot_right = hot_keys(right, on, hot_rows) if how == "inner" else []
+    if not hot_left and not hot_right:
+        return left.join(right, on, how)
+    left = _copies(_salt(left, on, hot_left, "__l"), on, hot_right, "__r")
+    right = _copies(_salt(right, on, hot_right, "__r"), on, hot_left, "__l")
+    return left.join(right, [*on, "__l", "__r"], how).drop("__l", "__r")
