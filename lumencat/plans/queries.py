@@ -318,13 +318,13 @@ def _substring(spark, sf_dir, text: str, literal: bool = False) -> DataFrame:
 @query
 def substring_search(spark, sf_dir):
     """D4"""
-    return _substring(spark, sf_dir, "ow")
+    return _substring(spark, sf_dir, "ed")
 
 
 @query
 def substring_search_wildcard(spark, sf_dir):
     """D4 with wildcards in the query"""
-    return _substring(spark, sf_dir, "R_ng%x")
+    return _substring(spark, sf_dir, "R_D b%T")
 
 
 @query

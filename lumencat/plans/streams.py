@@ -45,7 +45,7 @@ def stream_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "cache-events")
     # One trigger per run: the files of a feed are not ordered against each other.
     feed = _feed(written, "write_ts", "puts")
-    _finish(expiry.maintain_cache(feed, path, fresh_path(spark, "checkpoint"), "40 days"))
+    _finish(expiry.maintain_cache(feed, path, fresh_path(spark, "checkpoint"), "1 hour"))
     live = expiry.live_entries(spark.read.schema(expiry.EVENTS).parquet(path))
     return live.select("key", F.get_json_object("value", "$.k").cast("long").alias("k"), "seq")
 

@@ -11,10 +11,10 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from lumencat.schemas import CACHE_TABLE
 
-ENTRY = T.StructType([
-    T.StructField("value", T.StringType()), T.StructField("expires_at", T.TimestampType()),
-    T.StructField("write_ts", T.TimestampType()), T.StructField("seq", T.LongType()),
-])
+# Instants travel through Python as microseconds, free of time zones.
+_ENTRY = "value string, expires_us long, write_us long, seq long"
+_INPUT = "key string, value string, expires_us long, write_ts timestamp, write_us long, seq long"
+_OUTPUT = "event string, key string, value string, expires_us long, write_us long, seq long"
 EVENTS = T.StructType([T.StructField("event", T.StringType()), *CACHE_TABLE.fields])
 
 
@@ -22,41 +22,40 @@ def _newest_per_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]
     """Keep the newest write per key of every Arrow batch, so that a busy key is thinned out
     before the shuffle; later writes always win, so nothing that counts is lost."""
     for rows in batches:
-        yield rows.sort_values(["write_ts", "seq"]).drop_duplicates("key", keep="last")
+        yield rows.sort_values(["write_us", "seq"]).drop_duplicates("key", keep="last")
+
+
+def _due(expires_us: int) -> int:
+    """The first millisecond that is strictly after the expiry."""
+    return expires_us // 1000 + 1
 
 
 class _Expiry(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.entry = handle.getValueState("entry", ENTRY)
+        self.entry = handle.getValueState("entry", _ENTRY)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         current = self.entry.get() if self.entry.exists() else None
-        newest = max(rows, key=lambda r: (r.write_ts, r.seq))
-        if current is not None and (newest.write_ts, newest.seq) <= (current[2], current[3]):
+        newest = max(rows, key=lambda r: (r.write_us, r.seq))
+        if current is not None and (newest.write_us, newest.seq) <= (current[2], current[3]):
             return
         if current is not None and current[1] is not None:
             self.handle.deleteTimer(_due(current[1]))
-        self.entry.update((newest.value, newest.expires_at, newest.write_ts, newest.seq))
-        if newest.expires_at is not None:
-            self.handle.registerTimer(_due(newest.expires_at))
-        yield Row(event="put", key=key[0], value=newest.value, expires_at=newest.expires_at,
-                  write_ts=newest.write_ts, seq=newest.seq)
+        self.entry.update((newest.value, newest.expires_us, newest.write_us, newest.seq))
+        if newest.expires_us is not None:
+            self.handle.registerTimer(_due(newest.expires_us))
+        yield Row("put", key[0], newest.value, newest.expires_us, newest.write_us, newest.seq)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        value, expires_at, write_ts, seq = self.entry.get()
+        entry = self.entry.get()
         self.entry.clear()
-        yield Row(event="purge", key=key[0], value=value, expires_at=expires_at, write_ts=write_ts, seq=seq)
+        yield Row("purge", key[0], *entry)
 
     def close(self) -> None:
         pass
 
 
-def _due(expires_at) -> int:
-    """First millisecond at which the entry counts as expired: strictly after ``expires_at``."""
-    return int(expires_at.timestamp() * 1000) + 1
-
-
 def maintain_cache(
     entries: DataFrame, path: str, checkpoint: str, lateness: str = "1 hour",
 ) -> StreamingQuery:
@@ -65,12 +64,20 @@ def maintain_cache(
     The clock is the watermark: the newest write time seen, less ``lateness``. Needs the RocksDB
     state store.
     """
-    thinned = entries.mapInPandas(_newest_per_batch, CACHE_TABLE)
+    numbered = entries.select(
+        "key", "value", F.unix_micros("expires_at").alias("expires_us"), "write_ts",
+        F.unix_micros("write_ts").alias("write_us"), "seq",
+    )
     events = (
-        thinned.withWatermark("write_ts", lateness)
+        numbered.mapInPandas(_newest_per_batch, _INPUT)
+        .withWatermark("write_ts", lateness)
         .groupBy("key")
         .transformWithState(
-            statefulProcessor=_Expiry(), outputStructType=EVENTS, outputMode="Append", timeMode="EventTime",
+            statefulProcessor=_Expiry(), outputStructType=_OUTPUT, outputMode="Append", timeMode="EventTime",
+        )
+        .select(
+            "event", "key", "value", F.timestamp_micros("expires_us").alias("expires_at"),
+            F.timestamp_micros("write_us").alias("write_ts"), "seq",
         )
     )
     return (
