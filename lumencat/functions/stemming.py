@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import functools
-
 # Fixed values of the published algorithm: letters, suffix rules and exceptions.
 _VOWELS = frozenset("aeiouy")
 _DOUBLES = ("bb", "dd", "ff", "gg", "mm", "nn", "pp", "rr", "tt")
@@ -107,7 +105,6 @@ def _derived(word: str, r1: int, r2: int) -> str:
     return word
 
 
-@functools.lru_cache(maxsize=1 << 16)
 def stem(word: str) -> str:
     """The stem of one lower-case word."""
     if len(word) < 3:

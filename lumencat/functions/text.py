@@ -6,11 +6,18 @@
 
 from __future__ import annotations
 
+import sys
+
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import Column, SparkSession, functions as F, types as T
 
-from lumencat.functions.stemming import stem
+from lumencat.functions import stemming
+
+# Executors need not have this package installed: its functions travel with the query.
+cloudpickle.register_pickle_by_value(stemming)
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 _SEPARATORS = r"[^\p{L}\p{N}]+"
 _COMPOUND = r"[\p{L}\p{N}]+(?:\.[\p{L}\p{N}]+)*"
@@ -31,7 +38,7 @@ t can will just don should now
 def _stem_all(terms: pa.Array) -> pa.Array:
     # Works on whole Arrow batches: only the distinct words of a batch go through the stemmer.
     words = terms.flatten().dictionary_encode()
-    stems = pa.array([stem(w) for w in words.dictionary.to_pylist()], pa.string())
+    stems = pa.array([stemming.stem(w) for w in words.dictionary.to_pylist()], pa.string())
     ends = pc.cumulative_sum(pc.list_value_length(terms)).cast(pa.int32())
     offsets = pa.concat_arrays([pa.array([0], pa.int32()), ends])
     return pa.ListArray.from_arrays(offsets, stems.take(words.indices))

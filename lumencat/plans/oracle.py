@@ -334,6 +334,8 @@ ORACLE: dict[str, str] = {
         SELECT status, count(*) AS messages, {_TIME.format('min(created_at)')} AS oldest FROM marked GROUP BY status""",
     "queue_backlog": f"""WITH {_MESSAGES} SELECT status, count(*) AS messages, {_TIME.format('min(created_at)')} AS oldest
         FROM messages GROUP BY status""",
+    "stream_queue": """SELECT count(*) AS messages, count(DISTINCT event_id) AS distinct_messages FROM events
+        WHERE event_type <> 'view'""",
     # I
     "audit_diff": f"WITH {_CHANGES} SELECT {_IMAGE_COLUMNS.format(at=_AS_OF)} FROM changes",
     "audit_feed": f"""WITH {_CHANGES} SELECT record_id,

@@ -32,6 +32,10 @@ def _k(column: str = "metadata") -> Column:
     return F.get_json_object(column, "$.k").cast("long").alias("k")
 
 
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.read(spark, sf_dir, "events")
+
+
 def _tag_text() -> Column:
     return F.array_join("tags", ",").alias("tags")
 
@@ -190,7 +194,7 @@ def delete_restricted(spark, sf_dir):
 @query
 def upsert_latest(spark, sf_dir):
     """B8"""
-    rows = cache.entries(tables.cache_puts(spark, sf_dir))
+    rows = cache.entries(tables.cache_puts(_events(spark, sf_dir)))
     newest = merge.upsert_latest(rows.where("write_ts < '2024-01-08'"), rows.where("write_ts >= '2024-01-08'"), ["key"], ["write_ts", "seq"])
     return newest.select("key", _k("value"), _text("expires_at"), "seq")
 
@@ -357,7 +361,7 @@ def asset_json(spark, sf_dir):
 @query
 def recent(spark, sf_dir):
     """D6"""
-    return catalog.recent(tables.messages(spark, sf_dir), "created_at").select("id", _k("payload"), _text("created_at"))
+    return catalog.recent(tables.messages(_events(spark, sf_dir)), "created_at").select("id", _k("payload"), _text("created_at"))
 
 
 @query
@@ -522,7 +526,7 @@ def knn_batch(spark, sf_dir):
 @query
 def cache_put(spark, sf_dir):
     """G1"""
-    puts = tables.cache_puts(spark, sf_dir)
+    puts = tables.cache_puts(_events(spark, sf_dir))
     table = cache.put(cache.entries(puts.limit(0)), puts)
     return table.select("key", _k("value"), _text("expires_at"))
 
@@ -530,22 +534,22 @@ def cache_put(spark, sf_dir):
 @query
 def cache_get(spark, sf_dir):
     """G2"""
-    written = cache.entries(tables.cache_puts(spark, sf_dir))
-    keys = tables.cache_gets(spark, sf_dir).select("key")
+    written = cache.entries(tables.cache_puts(_events(spark, sf_dir)))
+    keys = tables.cache_gets(_events(spark, sf_dir)).select("key")
     return cache.get(written, keys, AS_OF).select("key", _k("value"))
 
 
 @query
 def cache_get_many(spark, sf_dir):
     """G2 for many (key, time) pairs"""
-    got = cache.get_many(tables.cache_puts(spark, sf_dir), tables.cache_gets(spark, sf_dir))
+    got = cache.get_many(tables.cache_puts(_events(spark, sf_dir)), tables.cache_gets(_events(spark, sf_dir)))
     return got.select("get_id", "key", _k("value"))
 
 
 @query
 def cache_purge(spark, sf_dir):
     """G3"""
-    puts = tables.cache_puts(spark, sf_dir)
+    puts = tables.cache_puts(_events(spark, sf_dir))
     table = cache.put(cache.entries(puts.limit(0)), puts.where(F.col("write_ts") <= AS_OF))
     return cache.purge(table, AS_OF).select("key", _k("value"), _text("expires_at"))
 
@@ -557,7 +561,7 @@ def queue_enqueue(spark, sf_dir):
     """H1: conversation turns become messages after the events."""
     turns = tables.read(spark, sf_dir, "conversations")
     payloads = turns.select("conv_id", "turn", F.to_json(F.struct("conv_id", "turn")).alias("payload"))
-    new = work_queue.enqueue(tables.messages(spark, sf_dir), payloads, AS_OF, ["conv_id", "turn"])
+    new = work_queue.enqueue(tables.messages(_events(spark, sf_dir)), payloads, AS_OF, ["conv_id", "turn"])
     return new.select("id", "status", _text("created_at"),
                       F.get_json_object("payload", "$.conv_id").cast("long").alias("conv_id"),
                       F.get_json_object("payload", "$.turn").cast("long").alias("turn"))
@@ -569,7 +573,7 @@ NO_CLAIMS = "id long, payload string, worker int, turn long, batch_id long"
 @query
 def queue_claim(spark, sf_dir):
     """H2: two rounds of four workers; the second round goes on where the first ended."""
-    queue = tables.messages(spark, sf_dir)
+    queue = tables.messages(_events(spark, sf_dir))
     first = materialize(work_queue.claim(queue, spark.createDataFrame([], NO_CLAIMS), 50, 4, 0), "claims")
     second = work_queue.claim(queue, first, 50, 4, 1)
     return first.unionByName(second).select("id", "worker", "turn", "batch_id", _k("payload"))
@@ -578,7 +582,7 @@ def queue_claim(spark, sf_dir):
 @query
 def queue_status(spark, sf_dir):
     """H2 + H3: backlog after one round"""
-    queue = tables.messages(spark, sf_dir)
+    queue = tables.messages(_events(spark, sf_dir))
     claims = work_queue.claim(queue, spark.createDataFrame([], NO_CLAIMS), 50, 4, 0)
     return work_queue.backlog(work_queue.mark_claimed(queue, claims)).select("status", "messages", _text("oldest"))
 
@@ -586,7 +590,7 @@ def queue_status(spark, sf_dir):
 @query
 def queue_backlog(spark, sf_dir):
     """H3"""
-    return work_queue.backlog(tables.messages(spark, sf_dir)).select("status", "messages", _text("oldest"))
+    return work_queue.backlog(tables.messages(_events(spark, sf_dir))).select("status", "messages", _text("oldest"))
 
 
 # --- I: change log ------------------------------------------------------------------------------

@@ -7,76 +7,76 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from lumencat import schemas
 from lumencat.operators import audit, cache
 from lumencat.plans import tables
-from lumencat.sources.storage import SnapshotTable, fresh_path
+from lumencat.sources.storage import SnapshotTable, append, fresh_path, scan_stream
 from lumencat.streaming import expiry, folds
 
-FILES = 4
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def _feed(df: DataFrame, order: str, label: str) -> DataFrame:
-    """Write ``df`` as FILES files in the order of one column and read them back as a stream."""
-    path = fresh_path(df.sparkSession, label)
-    df.repartitionByRange(FILES, order).sortWithinPartitions(order).write.parquet(path)
-    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_stream(spark, f"{sf_dir}/events.parquet", tables.read(spark, sf_dir, "events").schema)
 
 
-def _finish(running) -> None:
-    running.awaitTermination()
+def _feed(label: str, *parts: DataFrame) -> DataFrame:
+    """Write the parts one after the other and read them back as a stream in that order."""
+    spark, schema = parts[0].sparkSession, parts[0].schema
+    path = fresh_path(spark, label)
+    for part in parts:
+        append(part, path)
+    return scan_stream(spark, path, schema)
 
 
 def stream_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """E4 as a stream: all changes from nothing to the old and on to the new snapshot."""
     old, new = tables.snapshots(spark, sf_dir)
-    changes = audit.snapshot_changes(old.limit(0), old, tables.AS_OF).unionByName(
-        audit.snapshot_changes(old, new, tables.AS_OF)
+    changes = _feed(
+        "changes",
+        audit.snapshot_changes(old.limit(0), old, tables.AS_OF),
+        audit.snapshot_changes(old, new, tables.AS_OF),
     )
     stored = SnapshotTable(spark, fresh_path(spark, "stream-counts"), schemas.ASSET_COUNTS)
-    _finish(folds.maintain_counts(_feed(changes, "record_id", "changes"), stored, fresh_path(spark, "checkpoint")))
+    folds.maintain_counts(changes, stored, fresh_path(spark, "checkpoint")).awaitTermination()
     return stored.read()
 
 
 def stream_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     """G1 + G3 as a stream: what is left when the clock has reached the last write less an hour."""
-    spark.conf.set(
-        "spark.sql.streaming.stateStore.providerClass",
-        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-    )
-    written = cache.entries(tables.cache_puts(spark, sf_dir))
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    written = cache.entries(tables.cache_puts(_events(spark, sf_dir)))
     path = fresh_path(spark, "cache-events")
-    # One trigger per run: the files of a feed are not ordered against each other.
-    feed = _feed(written, "write_ts", "puts")
-    _finish(expiry.maintain_cache(feed, path, fresh_path(spark, "checkpoint"), "1 hour"))
+    expiry.maintain_cache(written, path, fresh_path(spark, "checkpoint"), "1 hour").awaitTermination()
     live = expiry.live_entries(spark.read.schema(expiry.EVENTS).parquet(path))
     return live.select("key", F.get_json_object("value", "$.k").cast("long").alias("k"), "seq")
 
 
 def stream_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """H1 + H2 as a stream: claims per message and what is still pending at the end."""
-    messages = tables.messages(spark, sf_dir)
+    """H1 + H2 as a stream: claimed and waiting messages together are all messages, each once."""
+    messages = tables.messages(_events(spark, sf_dir))
     pending = SnapshotTable(spark, fresh_path(spark, "pending"), schemas.MESSAGE_QUEUE)
     claims = fresh_path(spark, "claims")
-    feed = _feed(messages, "created_at", "messages")
-    _finish(folds.hand_out(feed, pending, claims, fresh_path(spark, "checkpoint"), 50, 4))
-    return (
-        spark.read.parquet(claims).select("id", F.lit("processing").alias("status"))
-        .unionByName(pending.read().select("id", "status"))
-        .groupBy("status").agg(F.count(F.lit(1)).alias("messages"), F.count_distinct("id").alias("distinct_messages"))
+    folds.hand_out(messages, pending, claims, fresh_path(spark, "checkpoint"), 50, 4).awaitTermination()
+    everything = spark.read.parquet(claims).select("id").unionByName(pending.read().select("id"))
+    return everything.agg(
+        F.count(F.lit(1)).alias("messages"), F.count_distinct("id").alias("distinct_messages")
     )
 
 
 def stream_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """I1 as a stream: the old snapshot arrives first, then the changes to the new one."""
+    """I1 + I3 as a stream: the old snapshot arrives, then what the new one deletes and writes; the
+    logged images must amount to the new snapshot."""
     old, new = tables.snapshots(spark, sf_dir)
-    columns = old.columns
     gone = old.join(new.select("id"), "id", "left_anti")
-    writes = (
-        old.withColumn("deleted", F.lit(False)).withColumn("seq", F.lit(0))
-        .unionByName(gone.withColumn("deleted", F.lit(True)).withColumn("seq", F.lit(1)))
-        .unionByName(new.withColumn("deleted", F.lit(False)).withColumn("seq", F.lit(1)))
-        .withColumn("at", F.lit(tables.AS_OF))
+
+    def writes(rows: DataFrame, seq: int, deleted: bool, at: str) -> DataFrame:
+        return rows.select(
+            "*", F.lit(deleted).alias("deleted"), F.lit(seq).alias("seq"), F.lit(at).cast("timestamp").alias("at")
+        )
+
+    feed = _feed(
+        "writes", writes(old, 0, False, "2024-01-01"),
+        writes(gone, 1, True, "2024-01-16").unionByName(writes(new, 1, False, "2024-01-16")),
     )
     state = SnapshotTable(spark, fresh_path(spark, "state"), old.schema)
     log = fresh_path(spark, "log")
-    feed = _feed(writes, "id", "writes")
-    _finish(folds.log_changes(feed, state, log, fresh_path(spark, "checkpoint")))
-    return state.read().select(*columns)
+    folds.log_changes(feed, state, log, fresh_path(spark, "checkpoint")).awaitTermination()
+    return audit.replay(spark.read.parquet(log).withColumn("id", F.col("batch")), tables.AS_OF, old.schema)

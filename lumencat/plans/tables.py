@@ -110,32 +110,32 @@ def centres(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def cache_puts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def cache_puts(events: DataFrame) -> DataFrame:
     """Every event writes its payload under its user; the value gives hours to live.
 
     Error events are written without expiry.
     """
     hours = F.when(F.col("event_type") != "error", F.floor(F.col("value")).cast("long"))
-    return read(spark, sf_dir, "events").select(
+    return events.select(
         F.col("user_id").cast("string").alias("key"), F.col("props").alias("value"),
         F.col("ts").cast("timestamp").alias("write_ts"), F.col("event_id").alias("seq"),
         (hours * 3600).alias("ttl_seconds"),
     )
 
 
-def cache_gets(spark: SparkSession, sf_dir: str) -> DataFrame:
+def cache_gets(events: DataFrame) -> DataFrame:
     """Every event reads its user's entry six hours later; error events read the next user's."""
     key = F.when(F.col("event_type") == "error", F.col("user_id") + 1).otherwise(F.col("user_id"))
-    return read(spark, sf_dir, "events").select(
+    return events.select(
         F.col("event_id").alias("get_id"), key.cast("string").alias("key"),
         (F.col("ts").cast("timestamp") + F.expr("INTERVAL 6 HOURS")).alias("as_of"),
     )
 
 
-def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+def messages(events: DataFrame) -> DataFrame:
     """Events as messages; views have been taken already."""
     taken = F.when(F.col("event_type") == "view", "processing").otherwise("pending")
-    return read(spark, sf_dir, "events").select(
+    return events.select(
         F.col("event_id").alias("id"), F.col("props").alias("payload"), taken.alias("status"),
         F.col("ts").cast("timestamp").alias("created_at"),
     )

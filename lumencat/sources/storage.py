@@ -46,6 +46,17 @@ def scan(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def scan_stream(
+    spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int | None = None,
+) -> DataFrame:
+    """A1 as a stream: new Parquet files of ``path``, which may also be a single file."""
+    reader = spark.readStream.schema(schema)
+    if files_per_trigger is not None:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    # As a glob, the path may name a file; without one it must be a folder.
+    return reader.parquet(f"{path[:-1]}[{path[-1]}]")
+
+
 def append(df: DataFrame, path: str) -> None:
     """A2 sink: add rows to a Parquet table."""
     df.write.mode("append").parquet(path)

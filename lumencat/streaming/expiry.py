@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Row, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from lumencat.schemas import CACHE_TABLE
 
+# Executors need not have this package installed: the processor travels with the query.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Instants travel through Python as microseconds, free of time zones.
 _ENTRY = "value string, expires_us long, write_us long, seq long"
 _INPUT = "key string, value string, expires_us long, write_ts timestamp, write_us long, seq long"
@@ -30,6 +35,10 @@ def _due(expires_us: int) -> int:
     return expires_us // 1000 + 1
 
 
+def _event(event: str, key, value, expires_us, write_us, seq) -> Row:
+    return Row(event=event, key=key[0], value=value, expires_us=expires_us, write_us=write_us, seq=seq)
+
+
 class _Expiry(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -45,12 +54,12 @@ class _Expiry(StatefulProcessor):
         self.entry.update((newest.value, newest.expires_us, newest.write_us, newest.seq))
         if newest.expires_us is not None:
             self.handle.registerTimer(_due(newest.expires_us))
-        yield Row("put", key[0], newest.value, newest.expires_us, newest.write_us, newest.seq)
+        yield _event("put", key, newest.value, newest.expires_us, newest.write_us, newest.seq)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         entry = self.entry.get()
         self.entry.clear()
-        yield Row("purge", key[0], *entry)
+        yield _event("purge", key, *entry)
 
     def close(self) -> None:
         pass
