@@ -11,7 +11,7 @@ import sys
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import cloudpickle
-from pyspark.sql import Column, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from lumencat.functions import stemming
 
@@ -53,7 +53,7 @@ def terms(text: Column, config: str = "simple", keep_compound: bool = False) ->
     if keep_compound:
         words = F.regexp_extract_all(lowered, F.lit(_COMPOUND), F.lit(0))
     else:
-        words = F.filter(F.split(lowered, _SEPARATORS), lambda w: w != "")
+        words = F.array_remove(F.split(lowered, _SEPARATORS), "")
     if config == "simple":
         return words
     if config != "english":
@@ -61,6 +61,33 @@ def terms(text: Column, config: str = "simple", keep_compound: bool = False) ->
     return _stem_all(F.filter(words, lambda w: ~w.isin(*ENGLISH_STOP_WORDS)))
 
 
+def counted_terms(
+    rows: DataFrame, text: str, config: str = "simple", keep_compound: bool = False,
+) -> DataFrame:
+    """One row per row and distinct term of column ``text``, with its frequency ``tf``.
+
+    The terms of a text are sorted inside their row and counted run by run, so nothing is shuffled.
+    """
+    kept = [c for c in rows.columns if c != text]
+    words, n = F.col("__words"), F.size("__words")
+    # Sorted words and run starts are columns of their own: both are read more than once below.
+    laid = rows.select(*kept, F.sort_array(terms(F.col(text), config, keep_compound)).alias("__words")).select(
+        *kept, "__words",
+        F.filter(
+            F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1),
+            lambda i: (i < n) & ((i == 0) | (F.get(words, i) != F.get(words, i - 1))),
+        ).alias("__starts"),
+    )
+    runs = F.transform(
+        "__starts",
+        lambda start, i: F.struct(
+            F.get(words, start).alias("term"),
+            (F.coalesce(F.get("__starts", i + 1), n) - start).cast("long").alias("tf"),
+        ),
+    )
+    return laid.select(*kept, F.inline(runs))
+
+
 def query_terms(
     spark: SparkSession, query: str, config: str = "simple", keep_compound: bool = False,
 ) -> list[str]:

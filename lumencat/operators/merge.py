@@ -96,12 +96,14 @@ def delete_restricted(
 ) -> dict[str, DataFrame]:
     """B6 behind B7: ids that child rows still point to are blocked and reported.
 
-    Child keys are made distinct first, so an id with very many children travels once per task.
+    Only children of the asked ids are looked at, and their keys are made distinct before they
+    travel, so an id with very many children costs one row per task.
     """
+    ids = ids.select(key).distinct()
     referenced = reduce(
-        DataFrame.unionByName, [child.select(F.col(fk).alias(key)) for child, fk in children]
+        DataFrame.unionByName,
+        [balanced_join(child.select(F.col(fk).alias(key)), ids, key, "left_semi") for child, fk in children],
     ).distinct()
-    ids = ids.select(key).distinct()
     kept, deleted = delete(state, ids.join(referenced, key, "left_anti"), key)
     blocked = state.select(key).join(ids, key, "left_semi").join(referenced, key, "left_semi")
     return {"kept": kept, "deleted": deleted, "blocked": blocked}

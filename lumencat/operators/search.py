@@ -10,7 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lumencat.functions.text import query_terms, terms
+from lumencat.functions.text import counted_terms, query_terms, terms
 from lumencat.operators.catalog import tag_names
 from lumencat.operators.skew import balanced_join
 from lumencat.sources.storage import materialize
@@ -23,11 +23,9 @@ BM25_K1, BM25_B = 1.2, 0.75
 def field_postings(
     texts: DataFrame, config: str = "simple", keep_compound: bool = False,
 ) -> DataFrame:
-    """Postings of (id, weight, text) rows; a (id, term) pair keeps long texts spread out."""
-    return (
-        texts.select("id", "weight", F.explode(terms(F.col("text"), config, keep_compound)).alias("term"))
-        .groupBy("id", "weight", "term")
-        .agg(F.count(F.lit(1)).alias("tf"))
+    """Postings of (id, weight, text) rows, one row per (id, weight); a narrow pass."""
+    return counted_terms(texts.select("id", "weight", "text"), "text", config, keep_compound).select(
+        "id", "weight", "term", "tf"
     )
 
 
@@ -36,19 +34,19 @@ def build_index(
 ) -> DataFrame:
     """postings of all assets, file name as class A and tag names as class B.
 
-    A tag name is split and stemmed once, not once per link.
+    A tag name is split and stemmed once, not once per link. File names are counted in their rows;
+    only the terms of the tags, which come from many links, meet in a shuffle.
     """
-    names = assets.select(
-        "id", F.lit("A").alias("weight"),
-        F.explode(terms(F.col("file_name"), config, keep_compound)).alias("term"),
-    )
-    words = tags.select(
-        F.col("id").alias("tag_id"), F.explode(terms(F.col("name"), config, keep_compound)).alias("term")
+    names = field_postings(
+        assets.select("id", F.lit("A").alias("weight"), F.col("file_name").alias("text")), config, keep_compound
     )
-    tagged = balanced_join(links.select("asset_id", "tag_id"), words, "tag_id").select(
-        F.col("asset_id").alias("id"), F.lit("B").alias("weight"), "term"
+    words = counted_terms(tags.select(F.col("id").alias("tag_id"), "name"), "name", config, keep_compound)
+    tagged = (
+        balanced_join(links.select("asset_id", "tag_id"), words, "tag_id")
+        .groupBy(F.col("asset_id").alias("id"), F.lit("B").alias("weight"), "term")
+        .agg(F.sum("tf").alias("tf"))
     )
-    return names.unionByName(tagged).groupBy("id", "weight", "term").agg(F.count(F.lit(1)).alias("tf"))
+    return names.unionByName(tagged)
 
 
 def write_index(postings: DataFrame, path: str) -> None:

@@ -5,8 +5,21 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 
-def configure(builder: SparkSession.Builder) -> SparkSession.Builder:
-    """UTC timestamps, runtime re-planning and skew handling; sizes stay with the cluster."""
+# A shuffle is planned for tasks of this size and at most this many of them; runtime re-planning
+# merges what turns out smaller.
+SHUFFLE_TASK_BYTES = 128 << 20
+MOST_SHUFFLE_TASKS = 100_000
+
+
+def shuffle_partitions(data_bytes: int) -> int:
+    """Shuffle tasks for jobs that move up to ``data_bytes``."""
+    return min(MOST_SHUFFLE_TASKS, max(200, data_bytes // SHUFFLE_TASK_BYTES))
+
+
+def configure(builder: SparkSession.Builder, data_bytes: int | None = None) -> SparkSession.Builder:
+    """UTC timestamps, runtime re-planning and skew handling; ``data_bytes`` sizes the shuffles."""
+    if data_bytes is not None:
+        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions(data_bytes)))
     return (
         builder.config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")

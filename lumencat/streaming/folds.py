@@ -50,8 +50,9 @@ def hand_out(
     """
 
     def step(batch: DataFrame, batch_id: int) -> None:
+        # Stored versions and micro-batches can be read again, so the backlog is written only once.
         queue = _before(pending, batch_id).unionByName(batch.select("id", "payload", "status", "created_at"))
-        queue = materialize(queue.where("status = 'pending'"), "queue")
+        queue = queue.where("status = 'pending'")
         none = queue.select("id").limit(0)
         folder = f"{claims_path}/batch={batch_id}"
         work_queue.claim(queue, none, per_worker, workers, batch_id).drop("batch_id").write.mode("overwrite").parquet(folder)
