@@ -8,7 +8,7 @@ from lumencat import schemas
 from lumencat.operators import audit, cache
 from lumencat.plans import tables
 from lumencat.sources.storage import SnapshotTable, append, fresh_path, scan_stream
-from lumencat.streaming import expiry, folds
+from lumencat.streaming import change_log, expiry, folds
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -76,7 +76,8 @@ def stream_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
         "writes", writes(old, 0, False, "2024-01-01"),
         writes(gone, 1, True, "2024-01-16").unionByName(writes(new, 1, False, "2024-01-16")),
     )
-    state = SnapshotTable(spark, fresh_path(spark, "state"), old.schema)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     log = fresh_path(spark, "log")
-    folds.log_changes(feed, state, log, fresh_path(spark, "checkpoint")).awaitTermination()
-    return audit.replay(spark.read.parquet(log).withColumn("id", F.col("batch")), tables.AS_OF, old.schema)
+    change_log.log_changes(feed, old.columns, log, fresh_path(spark, "checkpoint")).awaitTermination()
+    logged = spark.read.schema(change_log.CHANGES).parquet(log)
+    return audit.replay(logged.withColumnRenamed("seq", "id"), tables.AS_OF, old.schema)

@@ -45,7 +45,7 @@ class _Expiry(StatefulProcessor):
         self.entry = handle.getValueState("entry", _ENTRY)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        current = self.entry.get() if self.entry.exists() else None
+        current = self.entry.get()
         newest = max(rows, key=lambda r: (r.write_us, r.seq))
         if current is not None and (newest.write_us, newest.seq) <= (current[2], current[3]):
             return

@@ -1,4 +1,4 @@
-"""Stream forms of the counts, the work queue and the change log.
+"""Stream forms of the counts and the work queue.
 
 Each micro-batch is a step from one committed version of a small table to the next. The batch
 number is the version, so a batch that runs again after a failure reads the same prior version and
@@ -9,12 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from lumencat.operators import audit, counts, work_queue
-from lumencat.operators.merge import latest
-from lumencat.sources.storage import SnapshotTable, materialize
+from lumencat.operators import counts, work_queue
+from lumencat.sources.storage import SnapshotTable
 
 
 def _start(source: DataFrame, step: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
@@ -60,33 +59,3 @@ def hand_out(
         pending.commit(queue.join(taken.select("id"), "id", "left_anti"), batch_id)
 
     return _start(messages, step, checkpoint)
-
-
-def log_changes(
-    writes: DataFrame, state: SnapshotTable, log_path: str, checkpoint: str,
-    key: str = "id", order: str = "seq", table: str = "assets",
-) -> StreamingQuery:
-    """Change rows of a stream of row writes (the columns of ``state``, ``seq``, ``deleted``, ``at``).
-
-    Writes to one record within a micro-batch count as one change.
-    """
-    columns = state.schema.names
-
-    def step(batch: DataFrame, batch_id: int) -> None:
-        old = _before(state, batch_id)
-        new = latest(batch, [key], [order])
-        rows = new.select(
-            F.col(key), F.when(~F.col("deleted"), F.struct(*columns)).alias("new"), "at", F.lit(True).alias("written")
-        )
-        joined = materialize(
-            old.select(F.col(key), F.struct(*columns).alias("old")).join(rows, key, "full_outer"), "writes"
-        )
-        known = joined.where("written AND (old IS NOT NULL OR new IS NOT NULL)")
-        audit.feed_changes(known, F.col("at"), table=table, key=key).write.mode("overwrite").parquet(
-            f"{log_path}/batch={batch_id}"
-        )
-        kept = F.when(F.col("written"), F.col("new")).otherwise(F.col("old"))
-        after = joined.select(kept.alias("row")).where("row IS NOT NULL").select("row.*")
-        state.commit(after, batch_id)
-
-    return _start(writes, step, checkpoint)
