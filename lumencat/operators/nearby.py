@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -10,8 +11,13 @@ from lumencat.functions import geo
 from lumencat.operators.skew import balanced_join
 from lumencat.sources.storage import materialize
 
-# Cell edges of the nearest-neighbour grids in degrees, coarse to fine; the first covers the plane.
-CELL_EDGES = (360.0, 90.0, 22.5, 5.625, 1.40625, 0.3515625, 0.087890625, 0.02197265625, 0.0054931640625)
+# Cells of the nearest-neighbour tree: edge of the root cells in degrees, and the finest level. Every
+# level quarters the edge; 45 times a power of two keeps cell borders exact in floating point.
+ROOT_EDGE, FINEST = 360.0, 20
+# Cells with more points than this are split.
+CROWD = 512
+# Levels counted in one pass over the points.
+LEVELS_PER_PASS = 3
 
 
 def nearby(assets: DataFrame, latitude: float, longitude: float, radius: float = 1000) -> DataFrame:
@@ -61,79 +67,120 @@ def knn(assets: DataFrame, longitude: float, latitude: float, k: int = 5, metric
     )
 
 
-def _cell(value: Column, edge: Column) -> Column:
-    return F.floor(value / edge).cast("long")
+def _edge(level: Column) -> Column:
+    return F.lit(ROOT_EDGE) / F.pow(F.lit(4.0), level)
 
 
-def _levels(levels: Sequence[int]) -> Column:
-    return F.explode(F.array(*[F.struct(F.lit(i).alias("level"), F.lit(CELL_EDGES[i]).alias("edge")) for i in levels]))
+def _on_levels(points: DataFrame, levels: Sequence[int]) -> DataFrame:
+    """Every point once per level, with its cell there."""
+    def cell(axis: str, level: int) -> Column:
+        return F.floor(F.col(axis) / F.lit(ROOT_EDGE / 4**level)).cast("long")
 
+    cells = F.array(*[
+        F.struct(F.lit(n).alias("level"), cell("lon", n).alias("cx"), cell("lat", n).alias("cy")) for n in levels
+    ])
+    return points.select("*", F.inline(cells))
 
-def knn_join(assets: DataFrame, centres: DataFrame, k: int = 5) -> DataFrame:
-    """F6 for many centres (centre_id, lon, lat): (centre_id, rank, id, distance), planar, exact.
 
-    Cell counts on a ladder of grids tell, for every distinct place asked about, the finest grid
-    whose 3 x 3 block holds k points. The far corner of that block bounds the k-th distance, and
-    only cells that the bound touches are joined. Points at one place are cut to their k lowest
-    ids first, which no answer can exceed.
+def _tree(points: DataFrame, crowd: int) -> tuple[DataFrame, int]:
+    """(cells (level, cx, cy, held, split), deepest level): only crowded cells are split further.
+
+    Points outside crowded cells leave after the pass that finds them there, so the depth that a
+    crowd needs is paid for by the crowd alone.
     """
-    located = assets.select("id", "lon", "lat").where("lon IS NOT NULL AND lat IS NOT NULL")
-    same_place = Window.partitionBy("lon", "lat").orderBy("id")
-    points = located.withColumn("__n", F.row_number().over(same_place)).where(F.col("__n") <= k).drop("__n")
-    places = centres.select(F.col("lon").alias("c_lon"), F.col("lat").alias("c_lat")).distinct()
-
-    every = range(len(CELL_EDGES))
-    filled = materialize(
-        points.select("lon", "lat", _levels(every).alias("g"))
-        .groupBy("g.level", _cell(F.col("lon"), F.col("g.edge")).alias("cx"), _cell(F.col("lat"), F.col("g.edge")).alias("cy"))
-        .agg(F.count(F.lit(1)).alias("held")),
-        "knn-cells",
-    )
-    steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    blocks = (
-        places.select("c_lon", "c_lat", _levels(every).alias("g"))
-        .select("c_lon", "c_lat", "g.*", F.explode(steps).alias("s"))
-        .select(
-            "c_lon", "c_lat", "level",
-            (_cell(F.col("c_lon"), F.col("edge")) + F.col("s.i")).alias("cx"),
-            (_cell(F.col("c_lat"), F.col("edge")) + F.col("s.j")).alias("cy"),
+    counted: list[DataFrame] = []
+    inside = points.select("lon", "lat")
+    for first in range(0, FINEST + 1, LEVELS_PER_PASS):
+        last = min(first + LEVELS_PER_PASS - 1, FINEST)
+        cells = materialize(
+            _on_levels(inside, range(first, last + 1)).groupBy("level", "cx", "cy").agg(F.count(F.lit(1)).alias("held")),
+            "knn-cells",
         )
-    )
-    chosen = materialize(
-        balanced_join(blocks, filled, ["level", "cx", "cy"])
-        .groupBy("c_lon", "c_lat", "level").agg(F.sum("held").alias("held"))
-        .groupBy("c_lon", "c_lat")
-        .agg(F.coalesce(F.max(F.when(F.col("held") >= k, F.col("level"))), F.lit(0)).alias("level")),
-        "knn-levels",
-    )
-    # At most one value per grid of the ladder.
-    used = sorted(row.level for row in chosen.select("level").distinct().collect())
+        counted.append(cells)
+        crowded = cells.where((F.col("level") == last) & (F.col("held") > crowd)).select("cx", "cy")
+        if last == FINEST or crowded.isEmpty():
+            break
+        inside = balanced_join(_on_levels(inside, [last]), crowded, ["cx", "cy"], "left_semi").select("lon", "lat")
+    split = (F.col("held") > crowd) & (F.col("level") < last)
+    return reduce(DataFrame.unionByName, counted).withColumn("split", split), last
 
-    edge = F.element_at(F.array(*[F.lit(e) for e in CELL_EDGES]), F.col("level") + 1)
 
-    def span(value: Column) -> Column:
-        """Cells from value - bound to value + bound."""
-        return F.sequence(_cell(value - F.col("bound"), edge), _cell(value + F.col("bound"), edge))
+def _closing_in(cells: DataFrame, k: int) -> DataFrame:
+    """Cells (per place) that may hold one of the place's ``k`` nearest, with the ``bound`` used.
 
-    def reach(value: Column) -> Column:
-        """Distance to the far side of the block along one axis."""
-        inner = value - _cell(value, edge) * edge
-        return edge + F.greatest(inner, edge - inner)
+    Sorted by their far corners, the cells that together hold k points bound the k-th distance; a
+    cell whose near side lies beyond the bound holds no answer.
+    """
+    edge = _edge(F.col("level"))
+
+    def sides(centre: str, index: str) -> tuple[Column, Column]:
+        low = F.col(index) * edge
+        below, above = low - F.col(centre), F.col(centre) - (low + edge)
+        return F.greatest(below, above, F.lit(0.0)), F.greatest(-below, -above)
+
+    (near_x, far_x), (near_y, far_y) = sides("c_lon", "cx"), sides("c_lat", "cy")
+    place = Window.partitionBy("c_lon", "c_lat")
+    reached = F.sum("held").over(place.orderBy("far").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    # The slack covers rounding of coordinates at cell borders.
+    bound = F.min(F.when(F.col("reached") >= k, F.col("far"))).over(place) * (1 + 1e-9) + 1e-11
+    return (
+        cells.withColumn("near", F.sqrt(near_x * near_x + near_y * near_y))
+        .withColumn("far", F.sqrt(far_x * far_x + far_y * far_y))
+        .withColumn("reached", reached)
+        .withColumn("bound", F.coalesce(bound, F.lit(float("inf"))))
+        .where(F.col("near") <= F.col("bound"))
+        .select("c_lon", "c_lat", "level", "cx", "cy", "held", "split", "bound")
+    )
 
-    bound = geo.planar(reach(F.col("c_lon")), reach(F.col("c_lat")), F.lit(0.0), F.lit(0.0)) * F.lit(1 + 1e-12)
-    probes = (
-        chosen.withColumn("bound", bound)
-        .select("c_lon", "c_lat", "level", "bound", F.explode(span(F.col("c_lon"))).alias("cx"))
-        .select("c_lon", "c_lat", "level", "bound", "cx", F.explode(span(F.col("c_lat"))).alias("cy"))
+
+def knn_join(assets: DataFrame, centres: DataFrame, k: int = 5, crowd: int = CROWD) -> DataFrame:
+    """F6 for many centres (centre_id, lon, lat): (centre_id, rank, id, distance), planar, exact.
+
+    A tree of cell counts is walked from the root for every distinct place asked about, a level per
+    round: cells that cannot hold an answer are dropped, crowded ones give way to their children.
+    What remains are a few cells of at most ``crowd`` points each, and only their points are
+    compared. Points at one place are cut to their k lowest ids first, which no answer can exceed.
+    """
+    located = assets.select("id", "lon", "lat").where("lon IS NOT NULL AND lat IS NOT NULL")
+    same_place = Window.partitionBy("lon", "lat").orderBy("id")
+    points = materialize(
+        located.withColumn("__n", F.row_number().over(same_place)).where(F.col("__n") <= k).drop("__n"), "knn-points"
     )
-    laid = points.select("id", "lon", "lat", _levels(used).alias("g")).select(
-        "id", "lon", "lat", "g.level",
-        _cell(F.col("lon"), F.col("g.edge")).alias("cx"), _cell(F.col("lat"), F.col("g.edge")).alias("cy"),
-    ) if used else points.select("id", "lon", "lat", *[F.lit(None).cast("long").alias(c) for c in ("level", "cx", "cy")])
+    tree, deepest = _tree(points, max(crowd, k))
+
+    # Root cells: four for longitudes and latitudes in range.
+    roots = [tuple(r) for r in tree.where("level = 0").select("cx", "cy", "held", "split").collect()]
+    places = centres.select(F.col("lon").alias("c_lon"), F.col("lat").alias("c_lat")).where(
+        "c_lon IS NOT NULL AND c_lat IS NOT NULL"
+    ).distinct()
+    root_cells = F.array(*[
+        F.struct(
+            F.lit(0).alias("level"), F.lit(cx).cast("long").alias("cx"), F.lit(cy).cast("long").alias("cy"),
+            F.lit(held).cast("long").alias("held"), F.lit(split).alias("split"),
+        )
+        for cx, cy, held, split in roots
+    ]) if roots else F.lit(None).cast("array<struct<level:int,cx:bigint,cy:bigint,held:bigint,split:boolean>>")
+    walked = materialize(_closing_in(places.select("*", F.inline(root_cells)), k), "knn-walk")
+    children = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(4) for j in range(4)])
+    for _ in range(deepest):
+        opened = walked.where("split")
+        if opened.isEmpty():
+            break
+        asked = opened.select("c_lon", "c_lat", "level", "cx", "cy", F.inline(children)).select(
+            "c_lon", "c_lat", (F.col("level") + 1).alias("level"),
+            (F.col("cx") * 4 + F.col("i")).alias("cx"), (F.col("cy") * 4 + F.col("j")).alias("cy"),
+        )
+        finer = balanced_join(asked, tree, ["level", "cx", "cy"])
+        frontier = walked.where("NOT split").drop("bound").unionByName(finer)
+        walked = materialize(_closing_in(frontier, k), "knn-walk")
+
+    # At most one value per level of the tree.
+    used = sorted(r.level for r in walked.select("level").distinct().collect())
+    laid = _on_levels(points, used or [0])
     distance = geo.planar(F.col("lon"), F.col("lat"), F.col("c_lon"), F.col("c_lat"))
     nearest = Window.partitionBy("c_lon", "c_lat").orderBy("distance", "id")
     answers = materialize(
-        balanced_join(laid, probes, ["level", "cx", "cy"])
+        balanced_join(laid, walked.select("c_lon", "c_lat", "level", "cx", "cy", "bound"), ["level", "cx", "cy"])
         .select("c_lon", "c_lat", "id", distance.alias("distance"), "bound")
         .where(F.col("distance") <= F.col("bound"))
         .withColumn("rank", F.row_number().over(nearest))

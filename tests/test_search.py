@@ -133,8 +133,9 @@ def test_nearby_join_equals_brute_force(spark, kind, radius):
     assert len(pairs) == len(set(pairs)) and set(pairs) == want
 
 
+@pytest.mark.parametrize("crowd", [8, nearby.CROWD])
 @pytest.mark.parametrize("kind", ["spread", "crowded", "few"])
-def test_knn_join_equals_brute_force(spark, kind):
+def test_knn_join_equals_brute_force(spark, kind, crowd):
     places = [(1, 0.0, 0.0), (2, 0.0, 0.0), (3, 50.0, 0.0)] if kind == "few" else _places(kind)
     df = spark.createDataFrame([*places, (9_999, None, None)], "id long, lon double, lat double")
     centres = spark.createDataFrame(CENTRES, "centre_id long, lon double, lat double")
@@ -143,7 +144,7 @@ def test_knn_join_equals_brute_force(spark, kind):
         for c, clon, clat in CENTRES
         for rank, (_, i) in enumerate(sorted((math.sqrt((lon - clon) ** 2 + (lat - clat) ** 2), i) for i, lon, lat in places)[:5], 1)
     }
-    assert {(r.centre_id, r.rank, r.id) for r in nearby.knn_join(df, centres, 5).collect()} == want
+    assert {(r.centre_id, r.rank, r.id) for r in nearby.knn_join(df, centres, 5, crowd).collect()} == want
 
 
 def test_nearby_and_knn_on_the_catalog(c):
