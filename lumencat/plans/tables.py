@@ -12,7 +12,7 @@ import functools
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from lumencat.operators.skew import balanced_join
-from lumencat.sources.storage import scan
+from lumencat.sources.storage import scan, spread
 
 NAMES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
@@ -97,10 +97,14 @@ def order_part_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(asset_id, tag_id), one row per pair."""
-    named = order_part_names(spark, sf_dir).distinct()
+    """(asset_id, tag_id), one row per pair; parts turn into tags before they meet the line items."""
+    parts = read(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("name"))
     ids = tags(spark, sf_dir).withColumnRenamed("id", "tag_id")
-    return balanced_join(named, ids, "name").select("asset_id", "tag_id")
+    part_tags = balanced_join(parts, ids, "name").select("p_partkey", "tag_id")
+    lines = read(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("asset_id"), F.col("l_partkey").alias("p_partkey")
+    )
+    return balanced_join(lines, part_tags, "p_partkey").select("asset_id", "tag_id").distinct()
 
 
 def places(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,10 +156,12 @@ def messages(events: DataFrame) -> DataFrame:
 
 def document_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, weight, text): the whole document as class A, language and source as class B."""
-    docs = read(spark, sf_dir, "documents")
-    return docs.select(F.col("doc_id").alias("id"), F.lit("A").alias("weight"), "text").unionByName(
-        docs.select(F.col("doc_id").alias("id"), F.lit("B").alias("weight"), F.concat_ws(" ", "lang", "source").alias("text"))
+    docs = spread(read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+    fields = F.array(
+        F.struct(F.lit("A").alias("weight"), "text"),
+        F.struct(F.lit("B").alias("weight"), F.concat_ws(" ", "lang", "source").alias("text")),
     )
+    return docs.select(F.col("doc_id").alias("id"), F.inline(fields))
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -57,6 +57,15 @@ def scan_stream(
     return reader.parquet(f"{path[:-1]}[{path[-1]}]")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Share the rows of a scan of few splits out to all cores, ahead of heavy work per row.
+
+    Only a table of less than one split per core is moved; larger ones are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def append(df: DataFrame, path: str) -> None:
     """A2 sink: add rows to a Parquet table."""
     df.write.mode("append").parquet(path)
