@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lumencat.functions.documents import json_document
-from lumencat.operators.skew import balanced_join
+from lumencat.operators.skew import balanced_join, narrowed, sized
 
 
 def tag_names(links: DataFrame, tags: DataFrame) -> DataFrame:
@@ -48,9 +48,9 @@ def lookup(assets: DataFrame, asset_id: int) -> DataFrame:
 
 def lookup_batch(assets: DataFrame, ids: DataFrame) -> DataFrame:
     """D2 for many ids (column ``id``): every asked id once, with a ``found`` flag."""
-    return assets.withColumn("found", F.lit(True)).join(ids.select("id").distinct(), "id", "right").withColumn(
-        "found", F.coalesce("found", F.lit(False))
-    )
+    ids = ids.select("id").distinct()
+    found = narrowed(assets, ids, "id").withColumn("found", F.lit(True))
+    return found.join(ids, "id", "right").withColumn("found", F.coalesce("found", F.lit(False)))
 
 
 def page(assets: DataFrame, skip: int = 0, limit: int = 100) -> DataFrame:
@@ -97,8 +97,10 @@ def asset_json(
     """
     if ids is not None:
         wanted = ids.select("id").distinct()
-        assets = assets.join(wanted, "id", "left_semi")
-        links = balanced_join(links, wanted.withColumnRenamed("id", "asset_id"), "asset_id", "left_semi")
+        assets = assets.join(sized(wanted), "id", "left_semi")
+        owners = wanted.withColumnRenamed("id", "asset_id")
+        links = balanced_join(links, owners, "asset_id", "left_semi")
+        dimensions, metadata = (narrowed(side, owners, "asset_id") for side in (dimensions, metadata))
     joined = (
         assets.select("id", "asset_type", "file_name")
         .join(dimensions.withColumnRenamed("asset_id", "id"), "id", "left")

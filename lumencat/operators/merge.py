@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lumencat.operators.ordered import next_id, rank_rows
-from lumencat.operators.skew import balanced_join
+from lumencat.operators.skew import balanced_join, narrowed, sized
 
 PATCHABLE = ("asset_type", "file_name", "file_path", "file_size", "lon", "lat")
 
@@ -20,7 +20,7 @@ def get_or_create_tags(tags: DataFrame, names: DataFrame) -> tuple[DataFrame, Da
     New ids follow the highest one in name order, so a rerun gives the same ids.
     """
     wanted = names.select("name").where(F.col("name").isNotNull()).distinct()
-    missing = wanted.join(tags.select("name"), "name", "left_anti")
+    missing = wanted.join(narrowed(tags.select("name"), wanted, "name"), "name", "left_anti")
     created = rank_rows(missing, ["name"], "id", start=next_id(tags)).select("id", "name")
     return tags.select("id", "name").unionByName(created), created
 
@@ -28,7 +28,9 @@ def get_or_create_tags(tags: DataFrame, names: DataFrame) -> tuple[DataFrame, Da
 def insert_or_ignore(state: DataFrame, changes: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """B2: (new state, inserted rows); rows whose key exists, or repeats, are ignored."""
     keys = list(keys)
-    inserted = changes.dropDuplicates(keys).join(state.select(*keys), keys, "left_anti")
+    changes = changes.dropDuplicates(keys)
+    existing = narrowed(state.select(*keys), changes.select(*keys), keys)
+    inserted = changes.join(existing, keys, "left_anti")
     return state.unionByName(inserted), inserted
 
 
@@ -80,14 +82,14 @@ def patch(
     )
     changed = {c: F.when(F.col(f"__has_{c}"), F.col(f"__new_{c}")).otherwise(F.col(c)) for c in columns}
     changed["updated_at"] = F.when(F.col("__patched"), as_of).otherwise(F.col("updated_at"))
-    return state.join(folded, "id", "left").select(
+    return state.join(sized(folded), "id", "left").select(
         *[changed[c].alias(c) if c in changed else F.col(c) for c in state.columns]
     )
 
 
 def delete(state: DataFrame, ids: DataFrame, key: str = "id") -> tuple[DataFrame, DataFrame]:
     """(kept rows, deleted rows); unknown ids delete nothing."""
-    ids = ids.select(key).distinct()
+    ids = sized(ids.select(key).distinct())
     return state.join(ids, key, "left_anti"), state.join(ids, key, "left_semi")
 
 
@@ -105,7 +107,7 @@ def delete_restricted(
         [balanced_join(child.select(F.col(fk).alias(key)), ids, key, "left_semi") for child, fk in children],
     ).distinct()
     kept, deleted = delete(state, ids.join(referenced, key, "left_anti"), key)
-    blocked = state.select(key).join(ids, key, "left_semi").join(referenced, key, "left_semi")
+    blocked = state.select(key).join(sized(referenced), key, "left_semi")
     return {"kept": kept, "deleted": deleted, "blocked": blocked}
 
 

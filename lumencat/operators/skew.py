@@ -25,6 +25,22 @@ def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
     return rows <= max_rows and (volume or 0) <= BROADCAST_TEXT_BYTES
 
 
+def sized(side: DataFrame) -> DataFrame:
+    """A join side, marked for broadcast where a measurement shows that it is small.
+
+    For joins of unique keys: a small batch then does not make a large table travel.
+    """
+    return F.broadcast(side) if fits_broadcast(side) else side
+
+
+def narrowed(big: DataFrame, wanted: DataFrame, on: str | Sequence[str]) -> DataFrame:
+    """``big`` cut to the keys of ``wanted`` where those can be broadcast, else as it is.
+
+    Goes ahead of a join that has to shuffle ``big``: only rows that can meet a key travel.
+    """
+    return big.join(F.broadcast(wanted), on, "left_semi") if fits_broadcast(wanted) else big
+
+
 def _hash(on: Sequence[str]) -> Column:
     return F.xxhash64(*[F.col(c) for c in on])
 

@@ -8,6 +8,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lumencat.operators.ordered import next_id, rank_rows
+from lumencat.operators.skew import sized
 
 # Up to this many claimed rows are numbered in one task; more go through the distributed ranking.
 SMALL_CLAIM = 100_000
@@ -32,7 +33,7 @@ def claim(queue: DataFrame, claims: DataFrame, per_worker: int, workers: int = 1
     that a retried batch repeats its own claims.
     """
     total = per_worker * workers
-    pending = queue.where(F.col("status") == "pending").join(claims.select("id"), "id", "left_anti")
+    pending = queue.where(F.col("status") == "pending").join(sized(claims.select("id")), "id", "left_anti")
     age = [F.asc_nulls_last("created_at"), F.asc("id")]
     if total <= SMALL_CLAIM:
         oldest = pending.orderBy(*age).limit(total)
@@ -52,7 +53,7 @@ def mark_claimed(queue: DataFrame, claims: DataFrame) -> DataFrame:
     """H2: the queue with claimed messages in processing."""
     taken = claims.select("id").distinct().withColumn("__taken", F.lit(True))
     status = F.when(F.col("__taken"), F.lit("processing")).otherwise(F.col("status"))
-    return queue.join(taken, "id", "left").withColumn("status", status).drop("__taken")
+    return queue.join(sized(taken), "id", "left").withColumn("status", status).drop("__taken")
 
 
 def backlog(queue: DataFrame) -> DataFrame:
