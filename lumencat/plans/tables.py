@@ -7,7 +7,6 @@ events the metadata, cache writes and messages, customers and suppliers the plac
 from __future__ import annotations
 
 import datetime as dt
-import functools
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
@@ -29,16 +28,16 @@ CENTRE_LON, CENTRE_LAT, NEAR_METRES = 10.25, 48.5, 2_000_000
 BATCH_METRES = 500_000
 
 
-@functools.cache
-def _schema(path: str) -> T.StructType:
-    return SparkSession.active().read.parquet(path).schema
+_SCHEMAS: dict[str, T.StructType] = {}
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table; its footer is looked at once, not once per use."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     path = f"{sf_dir}/{name}.parquet"
-    return scan(spark, path, _schema(path))
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return scan(spark, path, _SCHEMAS[path])
 
 
 def _date(day: str) -> Column:
