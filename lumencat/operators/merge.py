@@ -1,4 +1,8 @@
-"""Write-side operators (B): state and changes in, new state out."""
+"""Write-side operators (B): state and changes in, new state out.
+
+A batch of changes is reduced to what counts and written once; it is then measured and joined more
+than once without being worked out again.
+"""
 
 from __future__ import annotations
 
@@ -10,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from lumencat.operators.ordered import next_id, rank_rows
 from lumencat.operators.skew import balanced_join, narrowed, sized
+from lumencat.sources.storage import materialize
 
 PATCHABLE = ("asset_type", "file_name", "file_path", "file_size", "lon", "lat")
 
@@ -19,7 +24,7 @@ def get_or_create_tags(tags: DataFrame, names: DataFrame) -> tuple[DataFrame, Da
 
     New ids follow the highest one in name order, so a rerun gives the same ids.
     """
-    wanted = names.select("name").where(F.col("name").isNotNull()).distinct()
+    wanted = materialize(names.select("name").where(F.col("name").isNotNull()).distinct(), "names")
     missing = wanted.join(narrowed(tags.select("name"), wanted, "name"), "name", "left_anti")
     created = rank_rows(missing, ["name"], "id", start=next_id(tags)).select("id", "name")
     return tags.select("id", "name").unionByName(created), created
@@ -28,7 +33,7 @@ def get_or_create_tags(tags: DataFrame, names: DataFrame) -> tuple[DataFrame, Da
 def insert_or_ignore(state: DataFrame, changes: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """B2: (new state, inserted rows); rows whose key exists, or repeats, are ignored."""
     keys = list(keys)
-    changes = changes.dropDuplicates(keys)
+    changes = materialize(changes.dropDuplicates(keys), "changes")
     existing = narrowed(state.select(*keys), changes.select(*keys), keys)
     inserted = changes.join(existing, keys, "left_anti")
     return state.unionByName(inserted), inserted
@@ -54,6 +59,7 @@ def add_tags(
     """
     requests = requests.select("asset_id", "name").distinct()
     accepted, rejected = split_by_parent(requests, assets, "asset_id")
+    accepted = materialize(accepted, "requests")
     all_tags, created = get_or_create_tags(tags, accepted)
     by_name = all_tags.select(F.col("id").alias("tag_id"), "name")
     wanted = balanced_join(accepted, by_name, "name").select("asset_id", "tag_id")
@@ -82,7 +88,7 @@ def patch(
     )
     changed = {c: F.when(F.col(f"__has_{c}"), F.col(f"__new_{c}")).otherwise(F.col(c)) for c in columns}
     changed["updated_at"] = F.when(F.col("__patched"), as_of).otherwise(F.col("updated_at"))
-    return state.join(sized(folded), "id", "left").select(
+    return state.join(sized(materialize(folded, "patches")), "id", "left").select(
         *[changed[c].alias(c) if c in changed else F.col(c) for c in state.columns]
     )
 
@@ -101,11 +107,12 @@ def delete_restricted(
     Only children of the asked ids are looked at, and their keys are made distinct before they
     travel, so an id with very many children costs one row per task.
     """
-    ids = ids.select(key).distinct()
+    ids = materialize(ids.select(key).distinct(), "ids")
     referenced = reduce(
         DataFrame.unionByName,
         [balanced_join(child.select(F.col(fk).alias(key)), ids, key, "left_semi") for child, fk in children],
     ).distinct()
+    referenced = materialize(referenced, "referenced")
     kept, deleted = delete(state, ids.join(referenced, key, "left_anti"), key)
     blocked = state.select(key).join(sized(referenced), key, "left_semi")
     return {"kept": kept, "deleted": deleted, "blocked": blocked}
