@@ -116,7 +116,7 @@ def asset_json(
 
 
 def recent(rows: DataFrame, order: str = "changed_at", tie: str = "id", n: int = 10) -> DataFrame:
-    """The last ``n`` rows, newest first, NULL times ahead as the reference sorts them."""
+    """The last ``n`` rows, newest first, NULL times ahead of all others."""
     return rows.orderBy(F.desc_nulls_first(order), F.desc(tie)).limit(n)
 
 
