@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from lumencat.llm import token_files
+from lumencat.llm import decontaminate, shingle_join, token_files
 from lumencat.llm.registry import ORACLE, QUERIES, query, table  # noqa: F401
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -18,3 +18,44 @@ def op1_token_files(spark, sf_dir):
     return token_files.read(spark, path).select(
         "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"),
     )
+
+
+@query
+def op10_shingle_join(spark, sf_dir):
+    return shingle_join.join(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_decontaminate(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    items = F.array_join(F.array_sort(F.transform("item_ids", lambda i: i.cast("string"))), ",")
+    return decontaminate.judge(docs, table(spark, sf_dir, "benchmark")).select(
+        "doc_id", "n_words", "n_hit", F.greatest(F.size("item_ids"), F.lit(0)).cast("long").alias("n_items"),
+        F.sha2(F.coalesce(items, F.lit("")), 256).alias("items_sha256"), "contaminated",
+    )
+
+
+ORACLE["op5_decontaminate"] = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), b AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), g AS (
+  SELECT DISTINCT item_id, least(len(w), 13) AS n, w[i:i + least(len(w), 13) - 1] AS gram
+  FROM b, LATERAL unnest(range(1, len(w) - least(len(w), 13) + 2)) AS t(i) WHERE len(w) > 0
+), hit AS (
+  SELECT doc_id, i, g.n, item_id
+  FROM (SELECT DISTINCT n FROM g) lens, w, LATERAL unnest(range(1, len(w) - lens.n + 2)) AS t(i)
+  JOIN g ON g.n = lens.n AND g.gram = w.w[i:i + lens.n - 1]
+), places AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hit) GROUP BY doc_id
+), items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS list
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hit) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(list, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM w LEFT JOIN places USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
