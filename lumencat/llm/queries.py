@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from lumencat.llm import decontaminate, shingle_join, token_files
+from lumencat.llm import decontaminate, quality_rules, shingle_join, token_files
 from lumencat.llm.registry import ORACLE, QUERIES, query, table  # noqa: F401
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -59,3 +59,58 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
   sha256(coalesce(list, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM w LEFT JOIN places USING (doc_id) LEFT JOIN items USING (doc_id)
 """
+
+
+@query
+def op6_quality_rules(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return quality_rules.judge(docs, table(spark, sf_dir, "labels")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+    )
+
+
+def _quality_sql() -> str:
+    measures = {
+        "symbols": "coalesce(n_symbols / nullif(word_chars, 0), 0)",
+        "dup_lines": "coalesce(n_dup_lines / nullif(n_lines, 0), 0)",
+        "repeats": "coalesce(n_repeat_words / nullif(n_words, 0), 0)",
+        "long_words": "coalesce(word_chars / nullif(n_words, 0), 0)",
+        "short_words_under": "-coalesce(word_chars / nullif(n_words, 0), 0)",
+    }
+    sign = {rule: -1 if rule.endswith("_under") else 1 for rule in measures}
+    grid = ", ".join(
+        f"('{rule}', {k}, CAST({sign[rule] * c!r} AS DOUBLE))"
+        for rule, cutoffs in quality_rules.CUTOFFS.items() for k, c in enumerate(cutoffs)
+    )
+    rate = quality_rules.RISK / len(measures)
+    each = " UNION ALL ".join(f"SELECT doc_id, lang, base_failed, '{r}' AS rule, CAST({m} AS DOUBLE) AS v FROM base" for r, m in measures.items())
+    return rf"""
+WITH t AS (SELECT doc_id, lang, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+  list_filter(string_split(text, chr(10)), lambda x: regexp_replace(x, '[\x20\x09-\x0D]+', '', 'g') <> '') AS l FROM t),
+windows AS (SELECT doc_id, i, w[i:i + 7] AS g FROM w, LATERAL unnest(range(1, len(w) - 6)) AS r(i)),
+again AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS n FROM windows) WHERE n > 1),
+repeated AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM again) GROUP BY doc_id),
+m AS (SELECT doc_id, lang, CAST(len(w) AS BIGINT) AS n_words,
+  CAST(length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
+  CAST(length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
+  len(l) AS n_lines, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words
+  FROM w LEFT JOIN repeated USING (doc_id)),
+base AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m),
+v AS ({each}),
+grid AS (SELECT * FROM (VALUES {grid}) AS g(rule, k, cutoff)),
+good AS (SELECT doc_id FROM labels GROUP BY doc_id HAVING min(quality) = 1),
+tests AS (SELECT lang, rule, k, cutoff, count(*) AS n, count(*) FILTER (v > cutoff) AS x
+  FROM v JOIN grid USING (rule) WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM good) GROUP BY ALL),
+tails AS (SELECT *, CASE WHEN x > n * {rate!r} THEN 1.0 ELSE list_sum(list_transform(range(0, x + 1),
+  lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({rate!r}) + (n - j) * ln(1 - {rate!r})))) END AS p FROM tests),
+chosen AS (SELECT lang, rule, arg_max(cutoff, k) AS cutoff FROM tails
+  WHERE p * (SELECT count(*) FROM tests) <= {quality_rules.ERROR!r} GROUP BY lang, rule),
+bad AS (SELECT DISTINCT doc_id FROM v JOIN chosen ON v.rule = chosen.rule AND v.lang IS NOT DISTINCT FROM chosen.lang WHERE v.v > chosen.cutoff)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM bad) AS kept
+FROM base
+"""
+
+
+ORACLE["op6_quality_rules"] = _quality_sql()
