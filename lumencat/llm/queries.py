@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from lumencat.llm import decontaminate, quality_rules, shingle_join, token_files
+from lumencat.llm import decontaminate, mixing, quality_rules, shards, shingle_join, token_files
 from lumencat.llm.registry import ORACLE, QUERIES, query, table  # noqa: F401
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -114,3 +114,22 @@ FROM base
 
 
 ORACLE["op6_quality_rules"] = _quality_sql()
+
+
+@query
+def op3_mixing(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    return mixing.mix(docs).select(F.col("key").alias("doc_id"), "source", "block", "release", "due", "slot", "place")
+
+
+@query
+def op4_shards(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id",
+        (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("long").alias("size"),
+        F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"),
+    )
+    return shards.assign(docs, ["doc_id", "text_crc32", "size"]).select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
