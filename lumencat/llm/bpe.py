@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import os
 import re
+import sys
+from array import array
 
 import numpy as np
 import regex
@@ -18,11 +20,9 @@ import regex
 WORDS = regex.compile(
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 )
-# A blank before white space or the end: such a text is not cut.
-_ODD = re.compile(r" (?:\s|$)")
 # Pieces whose letters and white space every Unicode version classes alike.
 _PLAIN = re.compile(r"[\t\n\r -~¡-ɏ]*")
-REMEMBERED = 400_000
+REMEMBERED = 600_000
 
 
 def _byte_letters() -> list[str]:
@@ -46,42 +46,67 @@ class Encoder:
         self.model = self.tokenizer.model
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.remembered = remembered
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
+        # Ids of pieces with the blank before them, and of words; the older half is kept in reserve.
         self.pieces: dict[str, bytes] = {}
-        self.words: dict[str, list[int]] = {}
+        self.words: dict[str, bytes] = {}
+        self.old_pieces: dict[str, bytes] = {}
+        self.old_words: dict[str, bytes] = {}
         self.letters = {b: letter for b, letter in enumerate(_byte_letters())}
+        self.blank = self.letters[32]
+
+    def _ids(self, ids) -> bytes:
+        packed = array(self.code, ids)
+        if sys.byteorder == "big":
+            packed.byteswap()
+        return packed.tobytes()
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+        return self._ids(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def _merge(self, letters: str) -> bytes:
+        return self._ids([t.id for t in self.model.tokenize(letters)])
 
-    def _word(self, word: str) -> list[int]:
+    def _word(self, word: str) -> bytes:
+        """A word of the pattern; its blank, if any, in front."""
         ids = self.words.get(word)
         if ids is None:
-            as_bytes = word.encode("utf-8").decode("latin-1").translate(self.letters)
-            ids = self.words[word] = [t.id for t in self.model.tokenize(as_bytes)]
+            ids = self.old_words.get(word)
+            if ids is None:
+                ids = self._merge(word.encode("utf-8").decode("latin-1").translate(self.letters))
+            self.words[word] = ids
         return ids
 
     def _piece(self, piece: str) -> bytes:
+        """A piece without the blank before it."""
+        if piece.isascii() and piece.isalpha():
+            return self._merge(self.blank + piece)
+        stem, end = piece[:-1], piece[-1]
+        if end in ".," and stem.isascii() and stem.isalpha():
+            return self._word(" " + stem) + self._word(end)
         if _PLAIN.fullmatch(piece):
-            ids = np.array([i for w in WORDS.findall(piece) for i in self._word(w)], self.dtype).tobytes()
-        else:
-            ids = self.whole(piece)
-        self.pieces[piece] = ids
-        return ids
+            return b"".join(map(self._word, WORDS.findall(" " + piece)))
+        return self.whole(" " + piece)
+
+    def _age(self) -> None:
+        if len(self.pieces) > self.remembered // 2:
+            self.old_pieces, self.pieces = self.pieces, {}
+        if len(self.words) > self.remembered // 2:
+            self.old_words, self.words = self.words, {}
 
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if _ODD.search(text):
-            return self.whole(text)
-        if len(self.pieces) > self.remembered or len(self.words) > self.remembered:
-            self.pieces.clear()
-            self.words.clear()
-        known = self.pieces
+        self._age()
         first, *rest = text.split(" ")
-        pieces = [first] if first else []
-        pieces += [" " + p for p in rest]
-        out = []
-        for p in pieces:
-            ids = known.get(p)
-            out.append(self._piece(p) if ids is None else ids)
-        return b"".join(out)
+        found = list(map(self.pieces.get, rest))
+        if None in found:
+            for n, piece in enumerate(rest):
+                if found[n] is None:
+                    ids = self.pieces.get(piece) or self.old_pieces.get(piece)
+                    if ids is None:
+                        if not piece or piece[0].isspace():  # a blank before white space or the end
+                            return self.whole(text)
+                        ids = self._piece(piece)
+                    found[n] = self.pieces[piece] = ids
+        return (self.whole(first) if first else b"") + b"".join(found)

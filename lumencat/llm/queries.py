@@ -5,8 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from lumencat.llm import decontaminate, mixing, quality_rules, shards, shingle_join, token_files
+from lumencat.llm import decontaminate, mixing, quality_rules, shards, shingle_join, token_files, toxicity
 from lumencat.llm.registry import ORACLE, QUERIES, query, table  # noqa: F401
+from lumencat.sources.storage import materialize
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -133,3 +134,13 @@ def op4_shards(spark, sf_dir):
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+@query
+def op7_toxicity(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), table(spark, sf_dir, "labels")
+    scored = materialize(toxicity.score(docs, toxicity.fit(docs, labels)), "scores")
+    return toxicity.judge(scored, toxicity.thresholds(scored, labels)).select(
+        "doc_id", (toxicity.fold() == toxicity.HELD_OUT).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"), "threshold", "toxic",
+    )

@@ -67,10 +67,13 @@ def _cut(separated: np.ndarray, begins: np.ndarray, at: int) -> int:
     return start
 
 
-def word_hashes(column: pa.Array, separated: np.ndarray = WHITE, segment: int = SEGMENT) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(
+    column: pa.Array, separated: np.ndarray = WHITE, segment: int = SEGMENT, heads: tuple[int, ...] = (),
+) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each word with A-Z lowered, index of the first word of each text and one past the last).
 
-    Works through the bytes in segments, so its own memory does not grow with the length of a text.
+    With ``heads``, the hashes are rows: the word, then its first so many bytes for each of ``heads``.
+    Works through the bytes in segments, so beside the hashes its memory does not grow with a text.
     """
     data, begins = text_bytes(column)
     apart = separated[data]
@@ -88,9 +91,13 @@ def word_hashes(column: pa.Array, separated: np.ndarray = WHITE, segment: int =
         power, inverse = _powers(max(segment, e - s))
         sums = np.zeros(e - s + 1, np.uint64)
         np.cumsum(_BYTE[_LOWER[data[s:e]]] * power[: e - s], out=sums[1:])
-        size = (last - first).astype(np.uint64)
-        hashes.append(mix((sums[last] - sums[first]) * inverse[first] + size * np.uint64(0xA24BAED4963EE407)))
+        cuts = [last, *(np.minimum(first + n, last) for n in heads)]
+        hashes.append(np.stack([
+            mix((sums[cut] - sums[first]) * inverse[first] + (cut - first + 1000 * k).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
+            for k, cut in enumerate(cuts)
+        ]))
         places.append(first + s)
         s = e
     place = np.concatenate(places) if places else np.zeros(0, np.int64)
-    return (np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)), np.searchsorted(place, begins)
+    rows = np.concatenate(hashes, axis=1) if hashes else np.zeros((1 + len(heads), 0), np.uint64)
+    return rows if heads else rows[0], np.searchsorted(place, begins)
