@@ -5,9 +5,11 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from lumencat.llm import decontaminate, mixing, quality_rules, shards, shingle_join, token_files, toxicity
+from lumencat.llm import (
+    chat, decontaminate, mixing, quality_rules, rollups, shards, shingle_join, token_files, toxicity, warc,
+)
 from lumencat.llm.registry import ORACLE, QUERIES, query, table  # noqa: F401
-from lumencat.sources.storage import materialize
+from lumencat.sources.storage import fresh_path, materialize
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -144,3 +146,102 @@ def op7_toxicity(spark, sf_dir):
         "doc_id", (toxicity.fold() == toxicity.HELD_OUT).alias("held_out"), "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"), "threshold", "toxic",
     )
+
+
+@query
+def op2_chat(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    marks = "</s>[INST] ok [/INST]"
+    own = spark.createDataFrame([(-7, 0, "user", marks), (-7, 1, "assistant", marks)], "conv_id long, turn long, role string, text string")
+    path = chat.write(chat.format_turns(turns.unionByName(own)))
+    return chat.digests(chat.read(spark, path))
+
+
+def _chat_sql() -> str:
+    t = chat.TEMPLATE
+    marks = " + ".join(f"(length(x) - length(replace(x, '{c}', ''))) / {len(c)}" for c in t.controls)
+    size = f"length(x) + length(x) - length(replace(x, chr(92), '')) + {marks}"
+    return f"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')
+), s AS (
+  SELECT *, lag(role) OVER w AS before, lag(turn) OVER w AS turn_before FROM c
+  WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum({sum(map(len, t.controls))} + {size.replace('x', 'role')} + {size.replace('x', 'text')}) AS BIGINT) AS formatted_chars,
+  count(*) FILTER (turn_before = turn OR NOT coalesce(CASE
+    WHEN before IS NULL THEN role IN ('system', 'user') WHEN before = 'system' THEN role = 'user'
+    WHEN before = 'user' THEN role = 'assistant' WHEN before = 'assistant' THEN role = 'user' END, false)) AS n_problems
+FROM s GROUP BY conv_id
+""".replace("turn_before = turn OR", "coalesce(turn_before = turn, false) OR")
+
+
+ORACLE["op2_chat"] = _chat_sql()
+
+_WORDS = r"[^\x20\x09-\x0D]+"
+_PIECES = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+|[\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]"
+
+
+@query
+def op8_token_rollup(spark, sf_dir):
+    """Load with words, load pieces as estimated, revise them to what is counted, drop exact copies."""
+    counted = materialize(
+        table(spark, sf_dir, "documents").select(
+            "doc_id", "source", "lang", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("digest"),
+            F.coalesce(F.regexp_count("text", F.lit(_WORDS)), F.lit(0)).cast("long").alias("words"),
+            F.coalesce(F.regexp_count("text", F.lit(_PIECES)), F.lit(0)).cast("long").alias("pieces"),
+            F.ceil(F.coalesce(F.length("text"), F.lit(0)) / 5).alias("guess"),
+        ), "counts",
+    )
+    firsts = counted.groupBy(F.col("digest").alias("copied")).agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    copies = counted.join(firsts, (F.col("digest") == F.col("copied")) & (F.col("doc_id") != F.col("first")))
+
+    def changes(rows, kind, tokenizer, n, old=None):
+        return rows.select(
+            F.lit(kind).alias("kind"), "source", "lang", F.lit(tokenizer).alias("tokenizer"), F.col(n).alias("n_tokens"),
+            (F.col(old) if old else F.lit(None).cast("long")).alias("old_tokens"),
+        )
+
+    store = rollups.Rollup(spark, fresh_path(spark, "rollup"))
+    revised = changes(counted, "revise", "pieces-1", "pieces", "guess")
+    store.commit("load", changes(counted, "insert", "words-1", "words").union(changes(counted, "insert", "pieces-1", "guess")))
+    store.commit("revise", revised)
+    store.compact()
+    store.commit("drop", changes(copies, "delete", "words-1", "words").union(changes(copies, "delete", "pieces-1", "pieces")))
+    store.commit("revise", revised)  # comes again and counts once
+    return store.totals()
+
+
+ORACLE["op8_token_rollup"] = rf"""
+WITH t AS (
+  SELECT source, lang, len(regexp_extract_all(coalesce(text, ''), '{_WORDS}')) AS words,
+    len(regexp_extract_all(coalesce(text, ''), '{_PIECES}')) AS pieces
+  FROM documents QUALIFY doc_id = min(doc_id) OVER (PARTITION BY coalesce(text, ''))
+)
+SELECT source, lang, 'words-1' AS tokenizer, count(*) AS docs, CAST(sum(words) AS BIGINT) AS tokens FROM t GROUP BY ALL
+UNION ALL SELECT source, lang, 'pieces-1', count(*), CAST(sum(pieces) AS BIGINT) FROM t GROUP BY ALL
+"""
+
+
+@query
+def op9_warc(spark, sf_dir):
+    path = warc.write(table(spark, sf_dir, "pages"))
+    return warc.read(spark, path, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+ORACLE["op9_warc"] = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS size FROM pages
+), f AS (
+  SELECT *, min(page_id) OVER (PARTITION BY html) AS first FROM p
+)
+SELECT page_id, CAST(size AS BIGINT) AS payload_bytes, sha256(html) AS payload_digest,
+  CASE WHEN size >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN size >= 100 AND page_id <> first THEN first END AS refers_to
+FROM f
+"""
