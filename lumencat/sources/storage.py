@@ -6,9 +6,11 @@ shared folder named by ``spark.checkpoint.dir``, so that they survive the loss o
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import tempfile
 import uuid
+from collections.abc import Iterator, Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -29,8 +31,32 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/") + "/lumencat"
 
 
+_FRESH: list[str] = []
+
+
 def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
+    _FRESH.append(path)
+    return path
+
+
+@contextlib.contextmanager
+def intermediates() -> Iterator[list[str]]:
+    """The fresh paths that the block hands out, for ``remove`` once nothing reads them any more."""
+    made: list[str] = []
+    before = len(_FRESH)
+    yield made
+    made += _FRESH[before:]
+
+
+def remove(spark: SparkSession, paths: Sequence[str]) -> None:
+    """Delete folders that this application wrote under its shared root."""
+    root = shared_root(spark)
+    for path in paths:
+        if not path.startswith(f"{root}/"):
+            raise ValueError(f"{path} is not under {root}")
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
