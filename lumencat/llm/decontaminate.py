@@ -16,6 +16,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from lumencat.llm.columns import apart, together
+
 WINDOW = 13
 #: The benchmark's windows are broadcast up to this many; beyond, the join shuffles.
 BROADCAST_WINDOWS = 1_000_000
@@ -144,10 +146,7 @@ def judge(docs: DataFrame, items: DataFrame, window: int = WINDOW, share: float
 
 def remove_documents(docs: DataFrame, items: DataFrame, window: int = WINDOW, share: float = 0.05) -> DataFrame:
     """``docs`` without the contaminated ones."""
-    plain = docs.select([F.col(f"`{c}`").alias(f"c{n}") for n, c in enumerate(docs.columns)])
-    plain = plain.withColumns({"doc_id": plain[f"c{docs.columns.index('doc_id')}"], "text": plain[f"c{docs.columns.index('text')}"]})
-    kept = judge(plain, items, window, share).where("not contaminated")
-    return kept.select([F.col(f"c{n}").alias(c) for n, c in enumerate(docs.columns)])
+    return together(judge(apart(docs, ["doc_id", "text"]), items, window, share).where("not contaminated"), docs)
 
 
 def remove_spans(judged: DataFrame) -> DataFrame:

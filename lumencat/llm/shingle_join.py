@@ -224,3 +224,24 @@ def join(docs: DataFrame, words: int = WORDS, p: int = P, q: int = Q) -> DataFra
     return each.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
         "doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("component_id"),
     )
+
+
+def deduplicate(docs: DataFrame, words: int = WORDS, p: int = P, q: int = Q) -> DataFrame:
+    """``docs`` with one document of each component: the one of the smallest doc_id.
+
+    Of rows that share a doc_id and have words, one stays. Rows without words or doc_id stay.
+    """
+    found = materialize(join(docs, words, p, q), "components")
+    gone = found.where("component_id != doc_id").select("doc_id").distinct()
+    twice = materialize(
+        found.where("n_shingles > 0 and component_id = doc_id").groupBy("doc_id").count().where("count > 1").select("doc_id"), "twice")
+    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    if twice.isEmpty():
+        return kept
+    again = kept.join(twice, "doc_id", "left_semi").select(docs.columns)
+    wordless = F.length(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", "")) == 0
+    return (
+        kept.join(twice, "doc_id", "left_anti").select(docs.columns)
+        .union(again.where(~wordless).dropDuplicates(["doc_id"]))
+        .union(again.where(wordless))
+    )

@@ -25,7 +25,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from lumencat.llm.columns import apart, together
 from lumencat.llm.textvec import separators, word_hashes
+from lumencat.sources.storage import materialize
 
 #: The sample: so many documents of each class, none longer than MOST_CHARS.
 SAMPLE, MOST_CHARS = 1500, 50_000
@@ -220,18 +222,20 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         rows["text"].combine_chunks(), rows["_toxic"].to_numpy().astype(np.int64), rows["_fold"].to_numpy() == CALIBRATION)
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` (doc_id, text, ...) with ``text`` replaced by its ``score``."""
+def score(docs: DataFrame, model: Model, keep_text: bool = False) -> DataFrame:
+    """``docs`` (doc_id, text, ...) with a ``score``, and without ``text`` unless it is kept."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     others = [c for c in docs.columns if c != "text"]
-    schema = docs.select(*others, F.lit(0.0).alias("score")).schema
+    out = [*others, "text"] if keep_text else others
+    rows = docs.select(*others, F.col("text").cast("string").alias("text"))
+    schema = rows.select(*out, F.lit(0.0).alias("score")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             scores = sent.value.score(batch.column(len(others)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores)], [*others, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(out)], pa.array(scores)], [*out, "score"])
 
-    return docs.select(*others, F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def thresholds(scored: DataFrame, labels: DataFrame, most_false: float = MOST_FALSE) -> DataFrame:
@@ -251,3 +255,15 @@ def judge(scored: DataFrame, limits: DataFrame) -> DataFrame:
     joined = scored.join(F.broadcast(own), F.col("lang") == F.col("_lang"), "left").join(F.broadcast(general))
     return joined.withColumn("threshold", F.coalesce("threshold", "_general")).drop("_lang", "_general").withColumn(
         "toxic", F.col("score") > F.col("threshold"))
+
+
+def remove_toxic(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most_false: float = MOST_FALSE) -> DataFrame:
+    """``docs`` without those whose score is over the threshold of their language.
+
+    The calibration fold is scored ahead for the thresholds, so no text is shuffled or written twice.
+    """
+    model = fit(docs, labels, sample)
+    fold_rows = docs.select("doc_id", "lang", "text").where(fold() == CALIBRATION)
+    limits = materialize(thresholds(score(fold_rows, model), labels, most_false), "thresholds")
+    rows = apart(docs, ["doc_id", "text", "lang"])
+    return together(judge(score(rows, model), limits).where("not toxic"), docs)
