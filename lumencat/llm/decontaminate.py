@@ -127,10 +127,11 @@ def _merged(windows: str) -> Column:
 
 
 def judge(docs: DataFrame, items: DataFrame, window: int = WINDOW, share: float = 0.05) -> DataFrame:
-    """Every row of ``docs`` with n_words, n_hit, spans, item_ids and contaminated.
+    """Every row of ``docs`` with n_words, n_hit, spans, item_ids and contaminated, for columns so named.
 
     Contaminated: a word is hit, and hit words are at least ``share`` of all.
     """
+    docs = docs.drop("n_words", "n_hit", "spans", "item_ids", "contaminated", "hit_id", "hit_hash")
     found = hits(docs, items, window)
     found = found.withColumnRenamed("doc_id", "hit_id").withColumnRenamed("text_hash", "hit_hash")
     counted = docs.withColumn("n_words", F.coalesce(F.regexp_count("text", F.lit(_WORD)), F.lit(0)).cast("long"))

@@ -36,6 +36,17 @@ def tempered(rows: Mapping[Source, int], exponent: float = TEMPERATURE) -> dict[
     return {s: n**exponent / total for s, n in rows.items()}
 
 
+def whole_parts(weights: Mapping[Source, float], period: int = PERIOD) -> dict[Source, int]:
+    """``weights`` as parts of ``period``, by the largest remainders; a source has one part at least."""
+    total = sum(weights.values()) or 1.0
+    exact = {s: period * w / total for s, w in weights.items()}
+    parts = {s: max(1, int(x)) for s, x in exact.items()}
+    rest = max(0, period - sum(parts.values()))
+    for s in sorted(exact, key=lambda s: (parts[s] - exact[s], s is not None, s))[:rest]:
+        parts[s] += 1
+    return parts
+
+
 def segments(blocks: Mapping[Source, int], parts: Mapping[Source, int]) -> list[tuple[int, dict[Source, int]]]:
     """(periods, blocks of each source in a period), in order; together they use all blocks up."""
     left, out = {s: n for s, n in blocks.items() if n > 0}, []
@@ -104,9 +115,8 @@ def mix(
     counted = {r["source"]: r["n"] for r in rows.groupBy("source").agg(F.count(F.lit(1)).alias("n")).collect()}
     weights = weights or tempered(counted)
     least = min((weights[s] for s in counted if s in weights), default=1.0)
-    total = sum(weights.get(s, least) for s in counted) or 1.0
     names = sorted(counted, key=lambda s: (s is not None, s))
-    parts = {s: max(1, round(period * weights.get(s, least) / total)) for s in names}
+    parts = whole_parts({s: weights.get(s, least) for s in names}, period)
     plan = segments({s: -(-counted[s] // block_rows) for s in names}, parts)
 
     # One line per segment and source: which of its blocks fall there, and where the segment begins.

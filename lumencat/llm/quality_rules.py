@@ -10,7 +10,7 @@ probability 1 - ``error`` over the labels, in no stratum more than ``risk`` of t
 Defined cases: null and empty texts have no words and fail the base rules; labels of unknown
 documents, null labels and documents of a null doc_id teach nothing; a doc_id labelled twice is good
 if every label says so; a null stratum is a stratum of its own; without labels only the base rules
-hold; other columns are kept.
+hold; other columns are kept, but for those named as in ``OWN``.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ from lumencat.sources.storage import materialize
 
 RISK, ERROR = 0.05, 0.05
 REPEATED, FEWEST_WORDS, MOST_REPEATED = 8, 20, 30
+#: What this operator adds, in place of columns so named.
+OWN = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed", "rules", "kept", "measure", "limits")
 _WHITE = r"[\x20\x09-\x0D]+"
 #: rule -> candidate cutoffs, lenient to strict; a document is beyond if its measure is over the
 #: cutoff ("under": below it).
@@ -40,6 +42,7 @@ def _adjacent(values: str, f) -> Column:
 
 def measured(docs: DataFrame) -> DataFrame:
     """``docs`` with n_words, word_chars, n_symbols, n_lines, n_dup_lines and n_repeat_words."""
+    docs = docs.drop(*OWN)
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n", -1), lambda line: F.regexp_replace(line, _WHITE, "") != "")
     df = docs.withColumn("_words", F.array_remove(F.split(text, _WHITE), "")).withColumn("_lines", lines)

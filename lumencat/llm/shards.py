@@ -7,7 +7,7 @@ again until it falls inside (cycle walking). The permuted number gives shard (mo
 
 Defined cases: null and empty texts are rows like others; rows that share a key are numbered by the
 rest of the row and stay all; a null key comes first; an empty table gives no rows; other columns
-are kept.
+are kept, but for those named shard or slot.
 """
 
 from __future__ import annotations
@@ -46,7 +46,7 @@ def permute(x: np.ndarray, n: int, seed: int = SEED, rounds: int = ROUNDS) -> np
 
 
 def assign(rows: DataFrame, order: Sequence[Column | str], shards: int = SHARDS, seed: int = SEED) -> DataFrame:
-    """``rows`` with shard and slot (gapless from 0 in each shard)."""
+    """``rows`` with shard and slot (gapless from 0 in each shard), in place of columns so named."""
     ranked = rank_rows(rows, order, "_number")
     n = ranked.count()
 
@@ -56,7 +56,7 @@ def assign(rows: DataFrame, order: Sequence[Column | str], shards: int = SHARDS,
 
     placed = ranked.withColumn("_place", place("_number"))
     return placed.select(
-        *rows.columns,
+        *rows.drop("shard", "slot").columns,
         (F.col("_place") % shards).cast("int").alias("shard"),
         F.floor(F.col("_place") / shards).alias("slot"),
     )
