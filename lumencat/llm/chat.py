@@ -60,8 +60,8 @@ INST = Template(opening="<s>[", middle="INST] ", closing=" [/INST]</s>")
 
 def escape(text: Column, template: Template) -> Column:
     begins = "|".join(re.escape(c) for c in template.controls)
-    doubled = F.regexp_replace(text, r"\\", r"\\\\\\\\")
-    return F.regexp_replace(doubled, f"(?s)(?={begins})(.)", r"$1\\\\")
+    doubled = F.regexp_replace(text, r"\\", r"\\\\")
+    return F.regexp_replace(doubled, f"(?s)(?={begins})(.)", r"$1\\")
 
 
 def unescape(text: Column) -> Column:

@@ -13,7 +13,7 @@ calibration fold, so that at most ``MOST_FALSE`` of the clean ones lie above.
 Defined cases: null and empty texts get the score of a text without a known word; null labels teach
 nothing; a doc_id labelled twice is toxic if any label says so; a null or unlabelled language gets the
 threshold of all languages; without both classes every score is the share of toxic labels; other
-columns are kept. Memory: the words of the longest document.
+columns are kept, but for those named score, threshold or toxic. Memory: the words of the longest document.
 """
 
 from __future__ import annotations
@@ -97,6 +97,8 @@ class Model:
                 place = np.arange(sizes.sum()) + np.repeat(np.arange(last - first) * (1 + _PAD), sizes)
                 rows[:, place] = self.rows(hashes[:, begins[first] : begins[last]])
                 said = self.answers(self.words(np.pad(rows, ((0, 0), (0, _PAD)))))
+                for k in range(1, _PAD + 1):  # where a filter would reach into the next text
+                    said[starts + sizes + 1 + _PAD - k] = -np.inf
                 pooled[first:last] = np.maximum.reduceat(said, starts)
             first = last
         return self.probability(self.logit(pooled))
@@ -224,6 +226,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
 def score(docs: DataFrame, model: Model, keep_text: bool = False) -> DataFrame:
     """``docs`` (doc_id, text, ...) with a ``score``, and without ``text`` unless it is kept."""
+    docs = docs.drop("score", "threshold", "toxic")
     sent = docs.sparkSession.sparkContext.broadcast(model)
     others = [c for c in docs.columns if c != "text"]
     out = [*others, "text"] if keep_text else others
