@@ -659,5 +659,5 @@ def audit_replay_now(spark, sf_dir):
 
 # --- streaming forms ----------------------------------------------------------------------------
 
-for _stream in (streams.stream_counts, streams.stream_cache, streams.stream_queue, streams.stream_audit):
+for _stream in (streams.stream_counts, streams.stream_cache, streams.stream_queue, streams.stream_audit, streams.stream_audit_rows):
     query(_stream)

@@ -61,6 +61,14 @@ def stream_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _audited(spark: SparkSession, sf_dir: str, *feed: DataFrame) -> DataFrame:
+    """The log of a feed of whole rows with seq, deleted and at, a micro-batch per part."""
+    log = fresh_path(spark, "log")
+    columns = [c for c in feed[0].columns if c not in ("seq", "deleted", "at")]
+    change_log.log_changes(_feed("writes", *feed), columns, log, fresh_path(spark, "checkpoint")).awaitTermination()
+    return change_log.read_changes(spark, log)
+
+
 def stream_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """I1 + I3 as a stream: the old snapshot arrives, then what the new one deletes and writes; the
     logged images must amount to the new snapshot."""
@@ -72,12 +80,24 @@ def stream_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
             "*", F.lit(deleted).alias("deleted"), F.lit(seq).alias("seq"), F.lit(at).cast("timestamp").alias("at")
         )
 
-    feed = _feed(
-        "writes", writes(old, 0, False, "2024-01-01"),
+    logged = _audited(
+        spark, sf_dir, writes(old, 0, False, "2024-01-01"),
         writes(gone, 1, True, "2024-01-16").unionByName(writes(new, 1, False, "2024-01-16")),
     )
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    log = fresh_path(spark, "log")
-    change_log.log_changes(feed, old.columns, log, fresh_path(spark, "checkpoint")).awaitTermination()
-    logged = spark.read.schema(change_log.CHANGES).parquet(log)
     return audit.replay(logged.withColumnRenamed("seq", "id"), tables.AS_OF, old.schema)
+
+
+def stream_audit_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """I1 as a stream: every event writes the row of its user, views delete it; all changes, in order."""
+    events = tables.read(spark, sf_dir, "events")
+    writes = events.select(
+        F.col("user_id").alias("id"), F.col("event_type").alias("name"), F.get_json_object("props", "$.k").cast("long").alias("k"),
+        (F.col("event_type") == "view").alias("deleted"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("at"),
+    )
+    late = F.col("seq") > events.agg(F.avg("event_id")).first()[0]
+    logged = _audited(spark, sf_dir, writes.where(~late), writes.where(late))
+
+    def k(image: str):
+        return F.get_json_object(image, "$.k").cast("long")
+
+    return logged.select("record_id", "action", k("old_data").alias("old_k"), k("new_data").alias("new_k"), "seq")

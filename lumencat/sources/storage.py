@@ -12,7 +12,6 @@ import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 
@@ -97,51 +96,85 @@ def append(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
+def _children(spark: SparkSession, folder: str) -> list[str]:
+    """Names in ``folder``, none where it does not exist."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [entry.getPath().getName() for entry in store.listStatus(path)] if store.exists(path) else []
+
+
 class SnapshotTable:
-    """A table kept as numbered Parquet versions plus a log of committed versions.
+    """A table kept as numbered Parquet versions, and a log that says which folder each version is.
 
-    A version becomes visible when its row lands in the log, so readers keep the version they
-    resolved until the next one is whole. Writing a version again replaces its files first, which
-    makes a retried batch harmless. One writer at a time.
+    Every commit writes a folder of its own and then a whole new log, so a reader goes on with the
+    folder it resolved, also while a repeated commit gives its version new rows. A log names the
+    newest ``keep`` versions; logs that were replaced long ago are removed, and so are the folders
+    that no log names any more. One writer at a time.
     """
 
-    _LOG = T.StructType([
+    _ENTRY = T.StructType([
         T.StructField("version", T.LongType()), T.StructField("path", T.StringType()),
     ])
-
-    def __init__(self, spark: SparkSession, root: str, schema: T.StructType):
-        self.spark, self.root, self.schema = spark, root.rstrip("/"), schema
-
-    def _log(self) -> DataFrame:
-        try:
-            return self.spark.read.schema(self._LOG).parquet(f"{self.root}/versions")
-        except AnalysisException as missing:
-            if missing.getCondition() != "PATH_NOT_FOUND":
-                raise
-            return self.spark.createDataFrame([], self._LOG)
+    _OLD_LOGS = 8
+
+    def __init__(self, spark: SparkSession, root: str, schema: T.StructType, keep: int = 64):
+        self.spark, self.root, self.schema, self.keep = spark, root.rstrip("/"), schema, keep
+
+    def _logs(self) -> list[str]:
+        """Complete logs, oldest first."""
+        names = sorted(_children(self.spark, f"{self.root}/log"))
+        while names and "_SUCCESS" not in _children(self.spark, f"{self.root}/log/{names[-1]}"):
+            names.pop()
+        return names
+
+    def _entries(self) -> dict[int, str]:
+        """The folder of each version; at most ``keep`` of them."""
+        logs = self._logs()
+        if not logs:
+            return {}
+        rows = self.spark.read.schema(self._ENTRY).parquet(f"{self.root}/log/{logs[-1]}").collect()
+        return {r["version"]: r["path"] for r in rows}
 
     def current_version(self, before: int | None = None) -> int | None:
         """The newest committed version, or the newest one older than ``before``."""
-        log = self._log()
-        if before is not None:
-            log = log.where(F.col("version") < before)
-        return log.agg(F.max("version")).first()[0]
+        return max((v for v in self._entries() if before is None or v < before), default=None)
 
     def read(self, version: int | None = None) -> DataFrame:
         """Rows of ``version`` (default: the newest); no rows while nothing is committed."""
-        version = self.current_version() if version is None else version
+        entries = self._entries()
+        version = max(entries, default=None) if version is None else version
         if version is None:
             return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.root}/v{version}")
+        if version not in entries:
+            raise ValueError(f"{self.root} has no version {version}")
+        return self.spark.read.schema(self.schema).parquet(entries[version])
 
     def commit(self, df: DataFrame, version: int | None = None) -> int:
-        """Write ``df`` as ``version`` (default: next) and publish it."""
-        current = self.current_version()
+        """Write ``df`` as ``version`` (default: next) and publish it; a known version gets new rows."""
+        entries = self._entries()
         if version is None:
-            version = 0 if current is None else current + 1
-        path = f"{self.root}/v{version}"
-        df.select(*[F.col(f.name).cast(f.dataType) for f in self.schema]).write.mode("overwrite").parquet(path)
-        if current is None or version > current:
-            (self.spark.createDataFrame([(version, path)], self._LOG)
-             .coalesce(1).write.mode("append").parquet(f"{self.root}/versions"))
+            version = max(entries, default=-1) + 1
+        path = f"{self.root}/v{version}-{uuid.uuid4().hex}"
+        df.select(*[F.col(f.name).cast(f.dataType) for f in self.schema]).write.parquet(path)
+        entries[version] = path
+        kept = sorted(entries.items())[-self.keep:]
+        names = _children(self.spark, f"{self.root}/log")
+        log = f"{self.root}/log/{int(max(names, default='-1')) + 1:012d}"
+        self.spark.createDataFrame(kept, self._ENTRY).coalesce(1).write.parquet(log)
+        self._expire()
         return version
+
+    def _expire(self) -> None:
+        """Remove old logs, and the folders that only they named."""
+        logs = self._logs()
+        old, live = logs[:-self._OLD_LOGS], logs[-self._OLD_LOGS:]
+        if not old:
+            return
+
+        def named(names: list[str]) -> set[str]:
+            rows = self.spark.read.schema(self._ENTRY).parquet(*[f"{self.root}/log/{n}" for n in names])
+            return {r["path"] for r in rows.select("path").distinct().collect()}
+
+        for path in sorted(named(old) - named(live)) + [f"{self.root}/log/{n}" for n in old]:
+            folder = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)

@@ -66,20 +66,26 @@ class _Expiry(StatefulProcessor):
 
 
 def maintain_cache(
-    entries: DataFrame, path: str, checkpoint: str, lateness: str = "1 hour",
+    entries: DataFrame, path: str, checkpoint: str, lateness: str = "1 hour", trigger: dict | None = None,
 ) -> StreamingQuery:
     """G1 + G3: append a 'put' row per accepted write and a 'purge' row per expired entry.
 
-    The clock is the watermark: the newest write time seen, less ``lateness``. Needs the RocksDB
-    state store.
+    The clock is the watermark: the newest write time seen, less ``lateness``. It only moves the
+    timers: writes carry no event time of their own, so none is dropped for being late; whether one
+    counts is decided against the entry that is stored. Needs the RocksDB state store. ``trigger``
+    defaults to all that is there.
     """
     numbered = entries.select(
         "key", "value", F.unix_micros("expires_at").alias("expires_us"), "write_ts",
         F.unix_micros("write_ts").alias("write_us"), "seq",
     )
+    # Beside every write goes a tick that moves the clock and ends here.
+    thinned = numbered.mapInPandas(_newest_per_batch, _INPUT)
+    clock = F.explode(F.array(F.lit(None).cast("timestamp"), F.col("write_ts"))).alias("clock")
     events = (
-        numbered.mapInPandas(_newest_per_batch, _INPUT)
-        .withWatermark("write_ts", lateness)
+        thinned.select("key", "value", "expires_us", "write_us", "seq", clock)
+        .withWatermark("clock", lateness)
+        .where("clock IS NULL")
         .groupBy("key")
         .transformWithState(
             statefulProcessor=_Expiry(), outputStructType=_OUTPUT, outputMode="Append", timeMode="EventTime",
@@ -92,7 +98,7 @@ def maintain_cache(
     return (
         events.writeStream.format("parquet").outputMode("append")
         .option("path", path).option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True).start()
+        .trigger(**(trigger or {"availableNow": True})).start()
     )
 
 

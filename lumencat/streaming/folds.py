@@ -16,11 +16,13 @@ from lumencat.operators import counts, work_queue
 from lumencat.sources.storage import SnapshotTable
 
 
-def _start(source: DataFrame, step: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
+def _start(
+    source: DataFrame, step: Callable[[DataFrame, int], None], checkpoint: str, trigger: dict | None,
+) -> StreamingQuery:
     return (
         source.writeStream.foreachBatch(step)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
 
@@ -29,18 +31,20 @@ def _before(table: SnapshotTable, batch_id: int) -> DataFrame:
     return table.read(table.current_version(before=batch_id))
 
 
-def maintain_counts(changes: DataFrame, table: SnapshotTable, checkpoint: str) -> StreamingQuery:
+def maintain_counts(
+    changes: DataFrame, table: SnapshotTable, checkpoint: str, trigger: dict | None = None,
+) -> StreamingQuery:
     """Counts per type kept up to date from a stream of change rows."""
 
     def step(batch: DataFrame, batch_id: int) -> None:
         table.commit(counts.apply_count_changes(_before(table, batch_id), batch), batch_id)
 
-    return _start(changes, step, checkpoint)
+    return _start(changes, step, checkpoint, trigger)
 
 
 def hand_out(
     messages: DataFrame, pending: SnapshotTable, claims_path: str, checkpoint: str,
-    per_worker: int, workers: int,
+    per_worker: int, workers: int, trigger: dict | None = None,
 ) -> StreamingQuery:
     """H1 + H2: every micro-batch enqueues its messages and hands the oldest pending ones out.
 
@@ -58,4 +62,4 @@ def hand_out(
         taken = queue.sparkSession.read.parquet(folder)
         pending.commit(queue.join(taken.select("id"), "id", "left_anti"), batch_id)
 
-    return _start(messages, step, checkpoint)
+    return _start(messages, step, checkpoint, trigger)

@@ -75,14 +75,14 @@ def test_change_log(spark, tmp_path):
         append(data.coalesce(1), feed)
         writes = scan_stream(spark, feed, data.schema)
         change_log.log_changes(writes, columns, log, str(tmp_path / "cp")).awaitTermination()
-    logged = spark.read.schema(change_log.CHANGES).parquet(log)
+    logged = change_log.read_changes(spark, log)
 
     def name(image):
         return image and json.loads(image)["name"]
 
     got = sorted((r.seq, r.record_id, r.action, name(r.old_data), name(r.new_data)) for r in logged.collect())
     assert got == [
-        (0, 2, "INSERT", None, "b"), (1, 1, "INSERT", None, "a2"), (2, 1, "UPDATE", "a2", "a3"), (2, 2, "DELETE", "b", None),
+        (0, 1, "INSERT", None, "a"), (0, 2, "INSERT", None, "b"), (1, 1, "UPDATE", "a", "a2"), (2, 1, "UPDATE", "a2", "a3"), (2, 2, "DELETE", "b", None),
         (2, 3, "INSERT", None, "c"), (3, 2, "INSERT", None, "back"), (3, 3, "UPDATE", "c", "c"),
     ]
 
@@ -93,6 +93,9 @@ def test_cache_purges_by_event_time(spark, tmp_path):
         [("a", "1", 0, 3600), ("b", "1", 0, None), ("c", "1", 0, 36000)],
         [("c", "2", 1, 1800), ("d", "1", 2, None)],
         [("a", "late", 6, 3600), ("e", "1", 6, None)],
+        # Far behind the clock: a key that never expires, one long expired, one older than what is stored.
+        [("f", "1", -12, None), ("g", "1", -12, 3600), ("e", "old", -12, None)],
+        [("h", "1", 6, None)],
     ]
     everything = []
     for n, step in enumerate(steps):
@@ -103,4 +106,51 @@ def test_cache_purges_by_event_time(spark, tmp_path):
     live = expiry.live_entries(spark.read.schema(expiry.EVENTS).parquet(out))
     batch = cache.entries(spark.createDataFrame(everything, schemas.CACHE_PUTS))
     want = cache.purge(cache.put(batch.limit(0), spark.createDataFrame(everything, schemas.CACHE_PUTS)), T0 + 5 * HOUR)
-    assert rows(live, "key", "value") == rows(want, "key", "value") == [("a", "late"), ("b", "1"), ("d", "1"), ("e", "1")]
+    assert rows(live, "key", "value") == rows(want, "key", "value") == [
+        ("a", "late"), ("b", "1"), ("d", "1"), ("e", "1"), ("f", "1"), ("h", "1")]
+
+
+@pytest.mark.parametrize("files", [1, 10])
+def test_every_write_of_a_busy_record_is_logged(spark, tmp_path, files):
+    """Many writes of one record in one micro-batch, however the batch is filed."""
+    n = 400
+    data = [(1, f"v{k}", k, k % 7 == 3) for k in range(n)] + [(2, f"w{k}", k, False) for k in range(5)]
+    rows_ = spark.createDataFrame(data, "id long, name string, seq long, deleted boolean").withColumn("at", F.lit(T0))
+    feed, log = str(tmp_path / "feed"), str(tmp_path / "log")
+    append(rows_.repartition(files), feed)
+    writes = scan_stream(spark, feed, rows_.schema)
+    change_log.log_changes(writes, ["id", "name"], log, str(tmp_path / "cp")).awaitTermination()
+    got = {(r.record_id, r.seq): (r.action, r.old_data and json.loads(r.old_data)["name"], r.new_data and json.loads(r.new_data)["name"])
+           for r in change_log.read_changes(spark, log).collect()}
+    want, image = {}, {}
+    for record, name, seq, deleted in data:
+        old, new = image.get(record), None if deleted else name
+        if old or new:
+            want[record, seq] = ("INSERT" if old is None else "DELETE" if new is None else "UPDATE", old, new)
+        image[record] = new
+    assert got == want
+
+
+def test_images_survive_folding(spark, tmp_path):
+    images = change_log.Images(spark, str(tmp_path / "images"), fold_after=2)
+    for batch in range(6):
+        rows_ = [(batch, f"i{batch}"), (100, f"h{batch}"), (batch - 1, None)]
+        images.write(spark.createDataFrame(rows_, "record_id long, image string"), batch)
+    got = {r.record_id: r.image for r in images.before(6).where("image IS NOT NULL").collect()}
+    assert got == {100: "h5", 5: "i5"} and images.base.current_version() == 4
+    assert {r.record_id: r.image for r in images.before(3).where("image IS NOT NULL").collect()} == {100: "h2", 2: "i2"}
+
+
+def test_a_reader_outlives_a_repeated_commit(spark, tmp_path):
+    table = SnapshotTable(spark, str(tmp_path / "t"), schemas.ASSET_COUNTS, keep=3)
+    make_rows = lambda n: spark.createDataFrame([("image", n)], schemas.ASSET_COUNTS)
+    table.commit(make_rows(1), 7)
+    opened = table.read()
+    table.commit(make_rows(2), 7)
+    assert rows(opened) == [("image", 1)] and rows(table.read()) == [("image", 2)]
+    for n in range(12):
+        table.commit(make_rows(n))
+    assert rows(table.read()) == [("image", 11)] and table.current_version() == 19
+    assert len(list((tmp_path / "t" / "log").iterdir())) == 8
+    with pytest.raises(ValueError):
+        table.read(7)
