@@ -10,6 +10,27 @@ def json_document(value: Column) -> Column:
     return F.to_json(value, {"ignoreNullFields": "false"})
 
 
+def is_json(document: Column) -> Column:
+    """Whether a text is one JSON value; an object may name a member twice."""
+    alone = F.json_array_length(F.concat(F.lit("["), document, F.lit("]"))) == 1
+    twice = F.try_parse_json(document).isNull() & ~document.contains("'") & alone
+    return F.coalesce(F.try_parse_json(document).isNotNull() | twice, F.lit(False))
+
+
 def json_type(document: Column) -> Column:
-    """'OBJECT', 'ARRAY', ... of a JSON text; NULL when it is not JSON at all."""
-    return F.regexp_extract(F.schema_of_variant(F.try_parse_json(document)), r"^[A-Z]+", 0)
+    """'OBJECT', 'ARRAY', 'STRING', 'BOOLEAN', 'NULL' or 'NUMBER'; NULL when it is not JSON at all."""
+    begin = F.substring(F.ltrim(F.regexp_replace(document, r"^\s+", "")), 1, 1)
+    names = {"{": "OBJECT", "[": "ARRAY", '"': "STRING", "t": "BOOLEAN", "f": "BOOLEAN", "n": "NULL"}
+    kind = F.lit("NUMBER")
+    for first, name in names.items():
+        kind = F.when(begin == first, name).otherwise(kind)
+    return F.when(is_json(document), kind)
+
+
+def json_with(document: Column, member: str, stored: Column) -> Column:
+    """The JSON object ``document`` with one more member: the text ``stored`` as it is.
+
+    What is not JSON is written as null; C7 reports it.
+    """
+    kept = F.when(is_json(stored), F.trim(stored)).otherwise(F.lit("null"))
+    return F.concat(F.left(document, F.length(document) - 1), F.lit(f',"{member}":'), kept, F.lit("}"))

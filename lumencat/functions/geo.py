@@ -12,8 +12,12 @@ EARTH_RADIUS = 6_371_008.8
 
 def point(lon: Column, lat: Column) -> Column:
     """A4: a point, or NULL when a coordinate is missing or out of range."""
-    valid = lon.between(-180, 180) & lat.between(-90, 90)
-    return F.when(valid, F.struct(lon.cast("double").alias("lon"), lat.cast("double").alias("lat")))
+    return F.when(on_earth(lon, lat), F.struct(lon.cast("double").alias("lon"), lat.cast("double").alias("lat")))
+
+
+def on_earth(lon: Column, lat: Column) -> Column:
+    """Both coordinates are there and in range; not so for NaN and infinities."""
+    return F.coalesce(lon.between(-180, 180) & lat.between(-90, 90), F.lit(False))
 
 
 def planar(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
@@ -31,12 +35,12 @@ def haversine(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
 
 
 def sphere_cell(lon: Column, lat: Column, size: float) -> Column:
-    """Cell of a cubic grid of ``size`` metres that holds the point on the sphere.
+    """Cell of a cubic grid of ``size`` metres, 1 at least, that holds the point on the sphere.
 
     The straight line between two points is never longer than the arc, so points within ``size``
     of each other lie in the same or touching cells, at the poles and the date line too.
     """
-    scale = F.lit(EARTH_RADIUS / size)
+    scale = F.lit(EARTH_RADIUS / max(size, 1.0))
     flat = F.cos(F.radians(lat))
     axes = {
         "x": flat * F.cos(F.radians(lon)), "y": flat * F.sin(F.radians(lon)), "z": F.sin(F.radians(lat)),

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from lumencat.operators.merge import latest, upsert_latest
 from lumencat.operators.ordered import carry_forward
-from lumencat.operators.skew import narrowed
 from lumencat.sources.storage import materialize
 
 
@@ -43,7 +42,7 @@ def get(table: DataFrame, keys: DataFrame, as_of: datetime | Column) -> DataFram
     """
     as_of = _instant(as_of)
     asked = materialize(keys.select("key").distinct(), "asked")
-    seen = narrowed(table.where(F.col("write_ts") <= as_of), asked, "key")
+    seen = table.where(F.col("write_ts") <= as_of).join(asked, "key", "left_semi")
     newest = latest(seen, ["key"], ["write_ts", "seq"])
     return purge(newest, as_of).select("key", "value").join(asked, "key", "right")
 

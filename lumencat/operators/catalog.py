@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lumencat.functions.documents import json_document
-from lumencat.operators.skew import balanced_join, narrowed, sized
+from lumencat.functions.documents import json_document, json_with
 
 
 def tag_names(links: DataFrame, tags: DataFrame) -> DataFrame:
@@ -19,7 +19,7 @@ def tag_names(links: DataFrame, tags: DataFrame) -> DataFrame:
     """
     names = tags.select(F.col("id").alias("tag_id"), "name")
     return (
-        balanced_join(links.select("asset_id", "tag_id"), names, "tag_id")
+        links.select("asset_id", "tag_id").join(names, "tag_id")
         .groupBy("asset_id")
         .agg(F.sort_array(F.collect_set("name")).alias("tags"))
     )
@@ -49,7 +49,7 @@ def lookup(assets: DataFrame, asset_id: int) -> DataFrame:
 def lookup_batch(assets: DataFrame, ids: DataFrame) -> DataFrame:
     """D2 for many ids (column ``id``): every asked id once, with a ``found`` flag."""
     ids = ids.select("id").distinct()
-    found = narrowed(assets, ids, "id").withColumn("found", F.lit(True))
+    found = assets.join(ids, "id", "left_semi").withColumn("found", F.lit(True))
     return found.join(ids, "id", "right").withColumn("found", F.coalesce("found", F.lit(False)))
 
 
@@ -78,7 +78,7 @@ def substring_search(
     pattern = substring_pattern(query, literal)
     hit_tags = tags.where(F.col("name").ilike(pattern)).select(F.col("id").alias("tag_id"))
     tagged = (
-        balanced_join(links.select("asset_id", "tag_id"), hit_tags, "tag_id", "left_semi")
+        links.select("asset_id", "tag_id").join(hit_tags, "tag_id", "left_semi")
         .select(F.col("asset_id").alias("id"))
         .distinct()
         .withColumn("__tagged", F.lit(True))
@@ -93,14 +93,15 @@ def asset_json(
 ) -> DataFrame:
     """(id, document) for all assets or the given ids.
 
-    ``dimensions`` is always an object; ``tags`` is null, not [], for an asset without tags.
+    ``dimensions`` is always an object; ``tags`` is null, not [], for an asset without tags. Metadata
+    are the stored text, so numbers and repeated members stay as they are.
     """
     if ids is not None:
         wanted = ids.select("id").distinct()
-        assets = assets.join(sized(wanted), "id", "left_semi")
+        assets = assets.join(wanted, "id", "left_semi")
         owners = wanted.withColumnRenamed("id", "asset_id")
-        links = balanced_join(links, owners, "asset_id", "left_semi")
-        dimensions, metadata = (narrowed(side, owners, "asset_id") for side in (dimensions, metadata))
+        links = links.join(owners, "asset_id", "left_semi")
+        dimensions, metadata = (side.join(owners, "asset_id", "left_semi") for side in (dimensions, metadata))
     joined = (
         assets.select("id", "asset_type", "file_name")
         .join(dimensions.withColumnRenamed("asset_id", "id"), "id", "left")
@@ -110,9 +111,8 @@ def asset_json(
     document = F.struct(
         "id", F.col("asset_type").alias("type"), "file_name",
         F.struct("width", "height").alias("dimensions"), "tags",
-        F.try_parse_json("metadata").alias("metadata"),
     )
-    return joined.select("id", json_document(document).alias("document"))
+    return joined.select("id", json_with(json_document(document), "metadata", F.col("metadata")).alias("document"))
 
 
 def recent(rows: DataFrame, order: str = "changed_at", tie: str = "id", n: int = 10) -> DataFrame:
@@ -129,17 +129,48 @@ def table_stats(tables: Mapping[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionAll, counts).orderBy(F.desc_nulls_first("row_count"), "table_name")
 
 
-_VARIANT_TYPES = {bool: "boolean", int: "bigint", float: "double", str: "string"}
+def _all(tests: list[Column]) -> Column:
+    return reduce(Column.__and__, tests, F.lit(True))
+
+
+def _has_element(items: Column, value: object) -> Column:
+    return F.exists(items, lambda x: F.coalesce(_holds(x, "$", value), F.lit(False)))
+
+
+def _holds(document: Column, path: str, value: object) -> Column:
+    """Whether the value at ``path`` contains ``value``: equal type and value, member by member."""
+    kind = F.schema_of_variant(F.try_variant_get(document, path, "variant"))
+    if isinstance(value, Mapping):
+        return kind.startswith("OBJECT") & _all([_holds(document, f"{path}['{k}']", v) for k, v in value.items()])
+    if isinstance(value, (list, tuple)):
+        items = F.try_variant_get(document, path, "array<variant>")
+        return kind.startswith("ARRAY") & _all([_has_element(items, v) for v in value])
+    if value is None:
+        return kind == "VOID"
+    if isinstance(value, bool):
+        return (kind == "BOOLEAN") & (F.try_variant_get(document, path, "boolean") == F.lit(value))
+    if isinstance(value, str):
+        return (kind == "STRING") & (F.try_variant_get(document, path, "string") == F.lit(value))
+    numbers = kind.rlike("^(BIGINT|DECIMAL|DOUBLE)")
+    if isinstance(value, int):
+        return numbers & (F.try_variant_get(document, path, "decimal(38,9)") == F.lit(Decimal(value)))
+    return numbers & (F.try_variant_get(document, path, "double") == F.lit(float(value)))
 
 
 def metadata_contains(metadata: DataFrame, members: Mapping[str, object], column: str = "metadata") -> DataFrame:
-    """Rows whose document has every given member, by path such as ``camera`` or ``exif.iso``."""
+    """Rows whose document contains ``members``: objects by member, arrays by element, the rest by
+    type and value; numbers are equal by value. A name such as ``exif.iso`` goes down into objects.
+
+    A document that names a member twice counts with the last one where the session has
+    ``spark.sql.variant.allowDuplicateKeys`` (``session.configure`` sets it), else it holds nothing.
+    """
     document = F.try_parse_json(column)
-    tests: list[Column] = [
-        F.try_variant_get(document, f"$.{path}", _VARIANT_TYPES[type(value)]) == F.lit(value)
-        for path, value in members.items()
-    ]
-    return metadata.where(reduce(Column.__and__, tests))
+    tests = []
+    for path, value in members.items():
+        for name in reversed(path.split(".")):
+            value = {name: value}
+        tests.append(_holds(document, "$", value))
+    return metadata.where(F.coalesce(_all(tests), F.lit(False)))
 
 
 def metadata_has_key(metadata: DataFrame, key: str, column: str = "metadata") -> DataFrame:

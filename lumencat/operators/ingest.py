@@ -11,7 +11,6 @@ from lumencat import schemas
 from lumencat.functions.geo import point
 from lumencat.operators.merge import get_or_create_tags
 from lumencat.operators.ordered import next_id, rank_rows
-from lumencat.operators.skew import balanced_join
 
 
 def _instant(as_of: datetime | Column) -> Column:
@@ -57,7 +56,7 @@ def ingest(
     named = numbered.select("asset_id", F.explode("tags").alias("name")).where("name IS NOT NULL")
     all_tags, created = get_or_create_tags(tags, named)
     ids = all_tags.select(F.col("id").alias("tag_id"), "name")
-    links = balanced_join(named.distinct(), ids, "name").select("asset_id", "tag_id")
+    links = named.distinct().join(ids, "name").select("asset_id", "tag_id")
     return {
         "assets": new_assets,
         "asset_dimensions": numbered.where("dimensions IS NOT NULL").select(

@@ -13,7 +13,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lumencat.operators.ordered import next_id, rank_rows
-from lumencat.operators.skew import balanced_join, narrowed, sized
 from lumencat.sources.storage import materialize
 
 PATCHABLE = ("asset_type", "file_name", "file_path", "file_size", "lon", "lat")
@@ -25,7 +24,7 @@ def get_or_create_tags(tags: DataFrame, names: DataFrame) -> tuple[DataFrame, Da
     New ids follow the highest one in name order, so a rerun gives the same ids.
     """
     wanted = materialize(names.select("name").where(F.col("name").isNotNull()).distinct(), "names")
-    missing = wanted.join(narrowed(tags.select("name"), wanted, "name"), "name", "left_anti")
+    missing = wanted.join(tags.select("name"), "name", "left_anti")
     created = rank_rows(missing, ["name"], "id", start=next_id(tags)).select("id", "name")
     return tags.select("id", "name").unionByName(created), created
 
@@ -34,20 +33,18 @@ def insert_or_ignore(state: DataFrame, changes: DataFrame, keys: Sequence[str])
     """B2: (new state, inserted rows); rows whose key exists, or repeats, are ignored."""
     keys = list(keys)
     changes = materialize(changes.dropDuplicates(keys), "changes")
-    existing = narrowed(state.select(*keys), changes.select(*keys), keys)
-    inserted = changes.join(existing, keys, "left_anti")
+    inserted = changes.join(state.select(*keys), keys, "left_anti")
     return state.unionByName(inserted), inserted
 
 
 def split_by_parent(
     rows: DataFrame, parent: DataFrame, column: str, parent_column: str = "id",
 ) -> tuple[DataFrame, DataFrame]:
-    """(rows whose parent exists, rejected rows)."""
-    parents = parent.select(F.col(parent_column).alias(column))
-    return (
-        balanced_join(rows, parents, column, "left_semi"),
-        balanced_join(rows, parents, column, "left_anti"),
-    )
+    """(rows whose parent exists, rejected rows): one join, written once and read twice."""
+    parents = parent.select(F.col(parent_column).alias(column)).distinct().withColumn("__parent", F.lit(True))
+    flagged = materialize(rows.join(parents, column, "left"), "flagged")
+    found = F.col("__parent").isNotNull()
+    return flagged.where(found).drop("__parent"), flagged.where(~found).drop("__parent")
 
 
 def add_tags(
@@ -59,10 +56,9 @@ def add_tags(
     """
     requests = requests.select("asset_id", "name").distinct()
     accepted, rejected = split_by_parent(requests, assets, "asset_id")
-    accepted = materialize(accepted, "requests")
     all_tags, created = get_or_create_tags(tags, accepted)
     by_name = all_tags.select(F.col("id").alias("tag_id"), "name")
-    wanted = balanced_join(accepted, by_name, "name").select("asset_id", "tag_id")
+    wanted = accepted.join(by_name, "name").select("asset_id", "tag_id")
     new_links, inserted = insert_or_ignore(links, wanted, ["asset_id", "tag_id"])
     return {
         "tags": all_tags, "created": created, "links": new_links, "inserted": inserted,
@@ -88,14 +84,14 @@ def patch(
     )
     changed = {c: F.when(F.col(f"__has_{c}"), F.col(f"__new_{c}")).otherwise(F.col(c)) for c in columns}
     changed["updated_at"] = F.when(F.col("__patched"), as_of).otherwise(F.col("updated_at"))
-    return state.join(sized(materialize(folded, "patches")), "id", "left").select(
+    return state.join(materialize(folded, "patches"), "id", "left").select(
         *[changed[c].alias(c) if c in changed else F.col(c) for c in state.columns]
     )
 
 
 def delete(state: DataFrame, ids: DataFrame, key: str = "id") -> tuple[DataFrame, DataFrame]:
     """(kept rows, deleted rows); unknown ids delete nothing."""
-    ids = sized(ids.select(key).distinct())
+    ids = ids.select(key).distinct()
     return state.join(ids, key, "left_anti"), state.join(ids, key, "left_semi")
 
 
@@ -110,11 +106,11 @@ def delete_restricted(
     ids = materialize(ids.select(key).distinct(), "ids")
     referenced = reduce(
         DataFrame.unionByName,
-        [balanced_join(child.select(F.col(fk).alias(key)), ids, key, "left_semi") for child, fk in children],
+        [child.select(F.col(fk).alias(key)).join(ids, key, "left_semi") for child, fk in children],
     ).distinct()
     referenced = materialize(referenced, "referenced")
     kept, deleted = delete(state, ids.join(referenced, key, "left_anti"), key)
-    blocked = state.select(key).join(sized(referenced), key, "left_semi")
+    blocked = state.select(key).join(referenced, key, "left_semi")
     return {"kept": kept, "deleted": deleted, "blocked": blocked}
 
 

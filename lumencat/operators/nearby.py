@@ -8,7 +8,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lumencat.functions import geo
-from lumencat.operators.skew import balanced_join
 from lumencat.sources.storage import materialize
 
 # Cells of the nearest-neighbour tree: edge of the root cells in degrees, and the finest level. Every
@@ -37,10 +36,11 @@ def nearby(assets: DataFrame, latitude: float, longitude: float, radius: float =
 def nearby_join(assets: DataFrame, centres: DataFrame, radius: float) -> DataFrame:
     """F5 for many centres (centre_id, lon, lat): (centre_id, id, distance).
 
-    Equi-join on the cells of a grid on the sphere, then the exact distance. A crowded cell is
-    split on whichever side it is crowded.
+    Equi-join on the cells of a grid on the sphere, then the exact distance; a crowded cell is split
+    at run time on whichever side it is crowded. Places that are not on earth match nothing.
     """
-    located = assets.select("id", "lon", "lat").where("lon IS NOT NULL AND lat IS NOT NULL")
+    located = assets.select("id", "lon", "lat").where(geo.on_earth(F.col("lon"), F.col("lat")))
+    centres = centres.where(geo.on_earth(F.col("lon"), F.col("lat")))
     points = located.withColumn("cell", geo.sphere_cell(F.col("lon"), F.col("lat"), radius)).select(
         "id", "lon", "lat", "cell.*"
     )
@@ -50,16 +50,17 @@ def nearby_join(assets: DataFrame, centres: DataFrame, radius: float) -> DataFra
     ).select("centre_id", "c_lon", "c_lat", "cell.*")
     distance = geo.haversine(F.col("lon"), F.col("lat"), F.col("c_lon"), F.col("c_lat"))
     return (
-        balanced_join(points, around, ["x", "y", "z"])
+        points.join(around, ["x", "y", "z"])
         .select("centre_id", "id", distance.alias("distance"))
         .where(F.col("distance") <= radius)
     )
 
 
 def knn(assets: DataFrame, longitude: float, latitude: float, k: int = 5, metric: str = "planar") -> DataFrame:
-    """the ``k`` nearest assets to one point; assets without a location come last."""
+    """the ``k`` nearest assets to one point; assets without a location on earth come last."""
     measure = {"planar": geo.planar, "haversine": geo.haversine}[metric]
-    distance = measure(F.col("lon"), F.col("lat"), F.lit(longitude), F.lit(latitude))
+    lon, lat = F.col("lon"), F.col("lat")
+    distance = F.when(geo.on_earth(lon, lat), measure(lon, lat, F.lit(longitude), F.lit(latitude)))
     return (
         assets.select("id", "file_name", distance.alias("distance"))
         .orderBy(F.asc_nulls_last("distance"), "id")
@@ -100,7 +101,7 @@ def _tree(points: DataFrame, crowd: int) -> tuple[DataFrame, int]:
         crowded = cells.where((F.col("level") == last) & (F.col("held") > crowd)).select("cx", "cy")
         if last == FINEST or crowded.isEmpty():
             break
-        inside = balanced_join(_on_levels(inside, [last]), crowded, ["cx", "cy"], "left_semi").select("lon", "lat")
+        inside = _on_levels(inside, [last]).join(crowded, ["cx", "cy"], "left_semi").select("lon", "lat")
     split = (F.col("held") > crowd) & (F.col("level") < last)
     return reduce(DataFrame.unionByName, counted).withColumn("split", split), last
 
@@ -141,7 +142,7 @@ def knn_join(assets: DataFrame, centres: DataFrame, k: int = 5, crowd: int = CRO
     What remains are a few cells of at most ``crowd`` points each, and only their points are
     compared. Points at one place are cut to their k lowest ids first, which no answer can exceed.
     """
-    located = assets.select("id", "lon", "lat").where("lon IS NOT NULL AND lat IS NOT NULL")
+    located = assets.select("id", "lon", "lat").where(geo.on_earth(F.col("lon"), F.col("lat")))
     same_place = Window.partitionBy("lon", "lat").orderBy("id")
     points = materialize(
         located.withColumn("__n", F.row_number().over(same_place)).where(F.col("__n") <= k).drop("__n"), "knn-points"
@@ -150,9 +151,8 @@ def knn_join(assets: DataFrame, centres: DataFrame, k: int = 5, crowd: int = CRO
 
     # Root cells: four for longitudes and latitudes in range.
     roots = [tuple(r) for r in tree.where("level = 0").select("cx", "cy", "held", "split").collect()]
-    places = centres.select(F.col("lon").alias("c_lon"), F.col("lat").alias("c_lat")).where(
-        "c_lon IS NOT NULL AND c_lat IS NOT NULL"
-    ).distinct()
+    centres = centres.where(geo.on_earth(F.col("lon"), F.col("lat")))
+    places = centres.select(F.col("lon").alias("c_lon"), F.col("lat").alias("c_lat")).distinct()
     root_cells = F.array(*[
         F.struct(
             F.lit(0).alias("level"), F.lit(cx).cast("long").alias("cx"), F.lit(cy).cast("long").alias("cy"),
@@ -170,7 +170,7 @@ def knn_join(assets: DataFrame, centres: DataFrame, k: int = 5, crowd: int = CRO
             "c_lon", "c_lat", (F.col("level") + 1).alias("level"),
             (F.col("cx") * 4 + F.col("i")).alias("cx"), (F.col("cy") * 4 + F.col("j")).alias("cy"),
         )
-        finer = balanced_join(asked, tree, ["level", "cx", "cy"])
+        finer = asked.join(tree, ["level", "cx", "cy"])
         frontier = walked.where("NOT split").drop("bound").unionByName(finer)
         walked = materialize(_closing_in(frontier, k), "knn-walk")
 
@@ -180,7 +180,7 @@ def knn_join(assets: DataFrame, centres: DataFrame, k: int = 5, crowd: int = CRO
     distance = geo.planar(F.col("lon"), F.col("lat"), F.col("c_lon"), F.col("c_lat"))
     nearest = Window.partitionBy("c_lon", "c_lat").orderBy("distance", "id")
     answers = materialize(
-        balanced_join(laid, walked.select("c_lon", "c_lat", "level", "cx", "cy", "bound"), ["level", "cx", "cy"])
+        laid.join(walked.select("c_lon", "c_lat", "level", "cx", "cy", "bound"), ["level", "cx", "cy"])
         .select("c_lon", "c_lat", "id", distance.alias("distance"), "bound")
         .where(F.col("distance") <= F.col("bound"))
         .withColumn("rank", F.row_number().over(nearest))
@@ -189,4 +189,4 @@ def knn_join(assets: DataFrame, centres: DataFrame, k: int = 5, crowd: int = CRO
         "knn-answers",
     )
     asked = centres.select("centre_id", F.col("lon").alias("c_lon"), F.col("lat").alias("c_lat"))
-    return balanced_join(asked, answers, ["c_lon", "c_lat"]).select("centre_id", "rank", "id", "distance")
+    return asked.join(answers, ["c_lon", "c_lat"]).select("centre_id", "rank", "id", "distance")

@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from lumencat.functions.text import counted_terms, query_terms, terms
 from lumencat.operators.catalog import tag_names
-from lumencat.operators.skew import balanced_join
 from lumencat.sources.storage import materialize
 
 # The documented default weights of the four classes.
@@ -42,7 +41,7 @@ def build_index(
     )
     words = counted_terms(tags.select(F.col("id").alias("tag_id"), "name"), "name", config, keep_compound)
     tagged = (
-        balanced_join(links.select("asset_id", "tag_id"), words, "tag_id")
+        links.select("asset_id", "tag_id").join(words, "tag_id")
         .groupBy(F.col("asset_id").alias("id"), F.lit("B").alias("weight"), "term")
         .agg(F.sum("tf").alias("tf"))
     )
@@ -130,13 +129,13 @@ def match_batch(
     words = materialize(words, "query-terms")
     asked = words.select("term").distinct()
     sizes = materialize(
-        balanced_join(postings.select("term"), asked, "term", "left_semi")
+        postings.select("term").join(asked, "term", "left_semi")
         .groupBy("term").agg(F.count(F.lit(1)).alias("df")),
         "query-term-sizes",
     )
-    sized = balanced_join(words, sizes, "term", "left")
+    counted = words.join(sizes, "term", "left")
     plans = materialize(
-        sized.groupBy("query_id").agg(
+        counted.groupBy("query_id").agg(
             F.min_by("term", F.struct("df", "term")).alias("term"),
             F.count(F.lit(1)).alias("needed"),
             F.count("df").alias("known"),
@@ -144,14 +143,14 @@ def match_batch(
         ).where("known = needed").drop("known"),
         "query-plans",
     )
-    starts = balanced_join(postings.select("id", "term"), plans.select("term", "query_id"), "term")
+    starts = postings.select("id", "term").join(plans.select("term", "query_id"), "term")
     candidates = starts.select("query_id", "id").distinct()
     probes = materialize(
-        balanced_join(candidates, plans.select("query_id", "terms", "needed"), "query_id")
+        candidates.join(plans.select("query_id", "terms", "needed"), "query_id")
         .select("query_id", "id", "needed", F.explode("terms").alias("term")),
         "query-probes",
     )
-    hits = balanced_join(postings, probes, ["id", "term"])
+    hits = postings.join(probes, ["id", "term"])
     found = _holding_all(hits, ["query_id", "needed", "id"], F.col("needed"))
     return found.select("query_id", "id", "score")
 
@@ -167,7 +166,7 @@ def search(
 ) -> DataFrame:
     """(id, file_name, asset_type, tags, score) of matching assets, best first."""
     found = materialize(match(postings, query, config, keep_compound, scorer), "matches")
-    named = tag_names(balanced_join(links, found.select(F.col("id").alias("asset_id")), "asset_id", "left_semi"), tags)
+    named = tag_names(links.join(found.select(F.col("id").alias("asset_id")), "asset_id", "left_semi"), tags)
     rows = (
         assets.select("id", "file_name", "asset_type")
         .join(found, "id")

@@ -243,6 +243,20 @@ ORACLE: dict[str, str] = {
                   "embeddings", "pages", "benchmark", "labels", "conversations")
     ),
     "metadata_contains": f"WITH {_METADATA} SELECT asset_id, k FROM meta WHERE k = 42",
+    "metadata_contains_types": """WITH e AS (SELECT event_id AS id, event_id % 8 AS kind, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events)
+        SELECT * FROM (
+        SELECT 0 AS test, id AS asset_id FROM e WHERE kind = 0 AND k = 42 UNION ALL SELECT 1, id FROM e WHERE kind = 1 AND k = 42
+        UNION ALL SELECT 2, id FROM e WHERE kind = 2 AND k = 42 UNION ALL SELECT 3, id FROM e WHERE kind = 5
+        UNION ALL SELECT 4, id FROM e WHERE kind = 4 AND k = 42 UNION ALL SELECT 5, id FROM e WHERE kind = 4
+        UNION ALL SELECT 6, id FROM e WHERE kind = 4 UNION ALL SELECT 7, id FROM e WHERE kind = 4 AND k = 42
+        UNION ALL SELECT 8, id FROM e WHERE kind = 4 UNION ALL SELECT 9, id FROM e WHERE kind = 4
+        UNION ALL SELECT 10, id FROM e WHERE kind = 4)""",
+    "asset_json_edge": """WITH e AS (SELECT event_id AS id, event_id % 8 AS kind, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events)
+        SELECT id, '{"id":' || id || ',"type":"F","file_name":"f","dimensions":{"width":null,"height":null},"tags":null,"metadata":' || CASE kind
+          WHEN 0 THEN '{"k": ' || k || '}' WHEN 1 THEN '{"k": "' || k || '"}' WHEN 2 THEN '{"k": ' || k || '.70}'
+          WHEN 3 THEN '{"k": 1, "k": ' || k || '}' WHEN 4 THEN '{"tags": ["a", ' || k || ', null], "o": {"k": ' || k || ', "z": null}}'
+          WHEN 5 THEN '{"k": null, "big": 12345678901234567890123456789012345678901}' WHEN 6 THEN '[' || k || ']' ELSE 'null' END || '}' AS document,
+          CASE WHEN kind >= 6 THEN 'metadata' END AS field FROM e""",
     "metadata_has_key": "SELECT event_id AS asset_id FROM events WHERE list_contains(json_keys(props), 'k')",
     "metadata_keys": """SELECT key, count(*) AS documents FROM (SELECT unnest(json_keys(props)) AS key FROM events)
         GROUP BY key""",
@@ -345,5 +359,10 @@ ORACLE: dict[str, str] = {
     "audit_tail": f"WITH {_LOG} SELECT * FROM log ORDER BY changed_at DESC, id DESC LIMIT 10",
     "audit_replay": f"WITH {_SNAPSHOTS} SELECT * FROM old",
     "audit_replay_now": f"WITH {_SNAPSHOTS} SELECT * FROM new",
+    "stream_audit_rows": """WITH w AS (SELECT user_id AS record_id, event_id AS seq,
+          CASE WHEN event_type <> 'view' THEN CAST(json_extract(props, '$.k') AS BIGINT) END AS k, event_type <> 'view' AS there FROM events),
+        c AS (SELECT *, lag(k) OVER o AS old_k, coalesce(lag(there) OVER o, false) AS was FROM w WINDOW o AS (PARTITION BY record_id ORDER BY seq))
+        SELECT record_id, CASE WHEN NOT was THEN 'INSERT' WHEN NOT there THEN 'DELETE' ELSE 'UPDATE' END AS action,
+          CASE WHEN was THEN old_k END AS old_k, k AS new_k, seq FROM c WHERE was OR there""",
     "stream_audit": f"WITH {_SNAPSHOTS} SELECT * FROM new",
 }

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -376,6 +377,55 @@ def metadata_contains(spark, sf_dir):
     return catalog.metadata_contains(tables.metadata(spark, sf_dir), {"k": 42}).select("asset_id", _k())
 
 
+# JSON of every kind from one event: member values of other types, nested, repeated, and no JSON.
+_EDGES = (
+    """'{"k": ' || k || '}'""", """'{"k": "' || k || '"}'""", """'{"k": ' || k || '.70}'""", """'{"k": 1, "k": ' || k || '}'""",
+    """'{"tags": ["a", ' || k || ', null], "o": {"k": ' || k || ', "z": null}}'""", """'{"k": null, "big": 12345678901234567890123456789012345678901}'""",
+    """'[' || k || ']'""", """'no json ' || k""",
+)
+
+
+def _edges(spark, sf_dir) -> DataFrame:
+    """(asset_id, metadata): for every event a document, its kind by the event's turn."""
+    kinds = " ".join(f"WHEN {n} THEN {text}" for n, text in enumerate(_EDGES))
+    return _events(spark, sf_dir).select(
+        F.col("event_id").alias("asset_id"), _k("props").cast("string").alias("k"),
+    ).select("asset_id", F.expr(f"CASE asset_id % {len(_EDGES)} {kinds} END").alias("metadata"))
+
+
+CONTAINED = (
+    {"k": 42}, {"k": "42"}, {"k": 42.7}, {"k": None}, {"o": {"k": 42}}, {"o.z": None}, {"tags": ["a"]}, {"tags": [42, "a"]},
+    {"tags": [None]}, {"tags": []}, {"o": {}}, {"k": True}, {"k": {}}, {"tags": {}},
+)
+
+
+@query
+def metadata_contains_types(spark, sf_dir):
+    """D8 for values of every type; documents that name a member twice are left to ``asset_json_edge``."""
+    documents = _edges(spark, sf_dir).where(F.col("asset_id") % len(_EDGES) != 3)
+    found = [
+        catalog.metadata_contains(documents, members).select(F.lit(n).alias("test"), "asset_id") for n, members in enumerate(CONTAINED)
+    ]
+    return reduce(DataFrame.unionByName, found)
+
+
+@query
+def asset_json_edge(spark, sf_dir):
+    """D5 and C7 over documents of every kind: the stored text, and what is reported as no object."""
+    metadata = _edges(spark, sf_dir)
+    owners = metadata.select(F.col("asset_id").alias("id"), F.lit("F").alias("asset_type"), F.lit("f").alias("file_name"))
+    none = spark.createDataFrame([], "asset_id long, width int, height int, tag_id long, id long, name string")
+    documents = catalog.asset_json(
+        owners, none.select("asset_id", "width", "height"), none.select("asset_id", "tag_id"), none.select("id", "name"), metadata)
+    records = metadata.select(
+        "asset_id", F.lit("F").alias("asset_type"), F.lit("f").alias("file_name"), F.lit("p").alias("file_path"), F.lit(1).alias("file_size"),
+        F.lit(None).cast("struct<latitude:double,longitude:double>").alias("location"),
+        F.lit(None).cast("struct<width:int,height:int>").alias("dimensions"), "metadata",
+    )
+    reported = quality.shape(records, "asset_id", quality.record_shape(["F"])).withColumnRenamed("asset_id", "id")
+    return documents.join(reported, "id", "left").select("id", "document", "field")
+
+
 @query
 def metadata_has_key(spark, sf_dir):
     """D8"""

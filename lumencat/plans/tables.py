@@ -10,7 +10,6 @@ import datetime as dt
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from lumencat.operators.skew import balanced_join
 from lumencat.sources.storage import scan, spread
 
 NAMES = (
@@ -92,18 +91,18 @@ def order_part_names(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_orderkey").alias("asset_id"), F.col("l_partkey").alias("p_partkey")
     )
     parts = read(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("name"))
-    return balanced_join(lines, parts, "p_partkey").select("asset_id", "name")
+    return lines.join(parts, "p_partkey").select("asset_id", "name")
 
 
 def links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(asset_id, tag_id), one row per pair; parts turn into tags before they meet the line items."""
     parts = read(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("name"))
     ids = tags(spark, sf_dir).withColumnRenamed("id", "tag_id")
-    part_tags = balanced_join(parts, ids, "name").select("p_partkey", "tag_id")
+    part_tags = parts.join(ids, "name").select("p_partkey", "tag_id")
     lines = read(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("asset_id"), F.col("l_partkey").alias("p_partkey")
     )
-    return balanced_join(lines, part_tags, "p_partkey").select("asset_id", "tag_id").distinct()
+    return lines.join(part_tags, "p_partkey").select("asset_id", "tag_id").distinct()
 
 
 def places(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,6 +25,8 @@ def configure(builder: SparkSession.Builder, data_bytes: int | None = None) -> S
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        # As in the documents' store: of members of one name, the last counts.
+        .config("spark.sql.variant.allowDuplicateKeys", "true")
         .config("spark.ui.enabled", "false")
     )
 

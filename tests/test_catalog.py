@@ -97,3 +97,35 @@ def test_refresh_keeps_the_old_version(c, spark, tmp_path):
     assert rows(before) == [("video", 1)]
     assert rows(stored.read()) == [("image", 4), ("video", 2)]
     assert stored.current_version() == 1 and stored.current_version(before=1) == 0
+
+
+def test_json_containment_compares_types(spark):
+    texts = ['{"k": 42}', '{"k": "42"}', '{"k": 42.0}', '{"k": 1, "k": 42}', '{"a": [1, {"b": null}]}', "not json", None, '{"k": true}']
+    data = spark.createDataFrame(list(enumerate(texts)), "asset_id long, metadata string")
+
+    def found(members):
+        return {r.asset_id for r in catalog.metadata_contains(data, members).collect()}
+
+    assert found({"k": 42}) == {0, 2, 3} and found({"k": "42"}) == {1} and found({"k": True}) == {7}
+    assert found({"a": [{"b": None}]}) == {4} and found({"a": [1]}) == {4} and found({"a": {"b": None}}) == set()
+    assert found({}) == {0, 1, 2, 3, 4, 7} or found({}) == set(range(8))
+
+
+def test_json_keeps_the_stored_text(c, spark):
+    stored = {1: '{"a": 1, "a": 2}', 2: '{"n": 1.0, "big": 12345678901234567890123456789012345678901}', 6: "oops"}
+    metadata = spark.createDataFrame(list(stored.items()), "asset_id long, metadata string")
+    got = {r.id: r.document for r in catalog.asset_json(c.assets, c.dimensions, c.links, c.tags, metadata).collect()}
+    assert got[1].endswith(',"metadata":{"a": 1, "a": 2}}') and got[2].endswith(f',"metadata":{stored[2]}}}') and got[6].endswith(',"metadata":null}')
+
+
+def test_plans_start_no_job(c, spark):
+    """The joins are laid out by the planner; no table is read ahead of the query."""
+    tracker, group = spark.sparkContext.statusTracker(), "plan-only"
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        catalog.asset_details(c.assets, c.dimensions, c.links, c.tags, c.metadata).schema  # noqa: B018
+        catalog.asset_json(c.assets, c.dimensions, c.links, c.tags, c.metadata).schema  # noqa: B018
+        catalog.substring_search(c.assets, c.links, c.tags, "a").schema  # noqa: B018
+        assert not tracker.getJobIdsForGroup(group)
+    finally:
+        spark.sparkContext._jsc.sc().clearJobGroup()

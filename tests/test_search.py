@@ -161,3 +161,19 @@ def test_radius_is_inclusive_and_crosses_the_date_line(spark):
     edge = nearby.nearby(df, 0.0, 179.9, 1e6).where(F.col("id") == 2).first().distance
     assert [r.id for r in nearby.nearby(df, 0.0, 179.9, edge).collect()] == [1, 2]
     assert [r.id for r in nearby.nearby(df, 89.9, 0.0, 30_000).collect()] == [3, 4]
+
+
+def test_places_that_are_not_on_earth(spark):
+    """NaN, infinite and out-of-range coordinates answer nothing and hide no answer."""
+    from lumencat.operators import nearby
+
+    wrong = [(float("nan"), 1.0), (1.0, float("inf")), (200.0, 1.0), (1.0, -91.0), (None, 1.0)]
+    data = [(k, *wrong[k % 5]) for k in range(20)] + [(100 + k, float(k), 1.0) for k in range(20)]
+    assets = spark.createDataFrame(data, "id long, lon double, lat double").selectExpr("*", "'f' AS file_name")
+    centres = spark.createDataFrame([(1, 0.0, 1.0), (2, float("nan"), 0.0), (3, 500.0, 0.0)], "centre_id long, lon double, lat double")
+    got = nearby.knn_join(assets, centres, 5)
+    assert sorted((r.centre_id, r["rank"], r.id) for r in got.collect()) == [(1, n + 1, 100 + n) for n in range(5)]
+    assert [r.id for r in nearby.knn(assets, 0.0, 1.0, 3).collect()] == [100, 101, 102]
+    for radius, ids in ((0, {100}), (150_000, {100, 101})):
+        assert {r.id for r in nearby.nearby_join(assets, centres, radius).collect()} == ids
+        assert {r.id for r in nearby.nearby(assets, 1.0, 0.0, radius).collect()} == ids

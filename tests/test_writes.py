@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumencat import schemas
-from lumencat.operators import ingest, merge, ordered, quality, skew
+from lumencat.operators import ingest, merge, ordered, quality
 from tests.catalog_rows import BARE, rows
 from tests.catalog_rows import catalog as make
 
@@ -42,16 +42,6 @@ def test_carry_forward_matches_a_loop(spark, hot):
     assert {(r.key, r.at, r.found) for r in got.collect()} == want
 
 
-@pytest.mark.parametrize("how", ["inner", "left_semi", "left_anti", "left"])
-def test_split_join_equals_plain_join(spark, how):
-    left = spark.range(3000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 50).alias("k"), "id")
-    right = spark.range(400).select(F.when(F.col("id") % 4 == 0, 7).otherwise(F.col("id") % 45).alias("k"), F.col("id").alias("r"))
-    plain = left.join(right, "k", how)
-    split = skew.balanced_join(left, right, "k", how, broadcast_rows=0, hot_rows=100)
-    assert skew.hot_keys(left, ["k"], 100) and split.count() == plain.count()
-    assert split.select(*plain.columns).exceptAll(plain).isEmpty()
-
-
 def test_insert_assets_continues_ids_and_defaults_times(c, spark):
     new = spark.createDataFrame([("video", "b", "/b", 2), ("image", "a", "/a", 1)], "asset_type string, file_name string, file_path string, file_size long")
     made = ingest.insert_assets(c.assets, new, NOW, ["file_name"])
