@@ -41,6 +41,35 @@ def asset_details(
     )
 
 
+def records(
+    assets: DataFrame, dimensions: DataFrame, links: DataFrame, tags: DataFrame, metadata: DataFrame,
+) -> DataFrame:
+    """The nested record of each of ``assets``: its columns without lon and lat, then location,
+    dimensions, tags and metadata.
+
+    ``assets`` may be what D2, D3, D4 or F5 found; the sides are cut to it before they are joined.
+    Location and dimensions are NULL where the asset has none; tags are [] then.
+    """
+    owners = assets.select(F.col("id").alias("asset_id")).distinct()
+    links, dimensions, metadata = (side.join(owners, "asset_id", "left_semi") for side in (links, dimensions, metadata))
+    sized = dimensions.select(F.col("asset_id").alias("id"), F.struct("width", "height").alias("dimensions"))
+    described = metadata.select(F.col("asset_id").alias("id"), "metadata")
+    own = [c for c in assets.columns if c not in ("lon", "lat")]
+    location = F.when(
+        F.col("lon").isNotNull() & F.col("lat").isNotNull(),
+        F.struct(F.col("lat").alias("latitude"), F.col("lon").alias("longitude")),
+    )
+    return (
+        assets.join(sized, "id", "left")
+        .join(tag_names(links, tags).withColumnRenamed("asset_id", "id"), "id", "left")
+        .join(described, "id", "left")
+        .select(
+            *own, location.alias("location"), "dimensions",
+            F.coalesce("tags", F.array().cast("array<string>")).alias("tags"), "metadata",
+        )
+    )
+
+
 def lookup(assets: DataFrame, asset_id: int) -> DataFrame:
     """One asset by id; the comparison reaches the Parquet scan."""
     return assets.where(F.col("id") == F.lit(asset_id))

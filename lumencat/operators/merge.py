@@ -66,6 +66,15 @@ def add_tags(
     }
 
 
+def _folded(patches: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Per id and column: whether a patch names it, and the value of the last that does."""
+    named = {c: F.array_contains("set_fields", c) for c in columns}
+    return patches.groupBy("id").agg(
+        *[F.max(named[c]).alias(f"__has_{c}") for c in columns],
+        *[F.max_by(c, F.when(named[c], F.col("seq"))).alias(f"__new_{c}") for c in columns],
+    )
+
+
 def patch(
     state: DataFrame, patches: DataFrame, as_of: datetime | Column, columns: Sequence[str] = PATCHABLE,
 ) -> DataFrame:
@@ -76,12 +85,7 @@ def patch(
     ``updated_at``. Patches to unknown ids change nothing.
     """
     as_of = as_of if isinstance(as_of, Column) else F.lit(as_of)
-    named = {c: F.array_contains("set_fields", c) for c in columns}
-    folded = patches.groupBy("id").agg(
-        *[F.max(named[c]).alias(f"__has_{c}") for c in columns],
-        *[F.max_by(c, F.when(named[c], F.col("seq"))).alias(f"__new_{c}") for c in columns],
-        F.lit(True).alias("__patched"),
-    )
+    folded = _folded(patches, columns).withColumn("__patched", F.lit(True))
     changed = {c: F.when(F.col(f"__has_{c}"), F.col(f"__new_{c}")).otherwise(F.col(c)) for c in columns}
     changed["updated_at"] = F.when(F.col("__patched"), as_of).otherwise(F.col("updated_at"))
     return state.join(materialize(folded, "patches"), "id", "left").select(
@@ -89,6 +93,39 @@ def patch(
     )
 
 
+def patch_side(
+    side: DataFrame, owners: DataFrame, patches: DataFrame, columns: Sequence[str], key: str = "asset_id",
+) -> DataFrame:
+    """B4 for a side table such as dimensions or metadata: (key, columns) after the patches.
+
+    A missing row is inserted, an explicitly set NULL clears, what is not named stays, and a row with
+    nothing left goes. Patches to ids that ``owners`` (column id) lacks change nothing.
+    """
+    known = patches.join(owners.select("id"), "id", "left_semi")
+    folded = _folded(known, columns).withColumnRenamed("id", key)
+    merged = side.select(key, *columns).join(materialize(folded, "patches"), key, "full_outer").select(
+        key, *[F.when(F.col(f"__has_{c}"), F.col(f"__new_{c}")).otherwise(F.col(c)).alias(c) for c in columns]
+    )
+    return merged.where(F.coalesce(*[F.col(c).cast("string") for c in columns]).isNotNull())
+
+
+def patch_tags(
+    links: DataFrame, tags: DataFrame, owners: DataFrame, patches: DataFrame,
+) -> tuple[DataFrame, DataFrame]:
+    """B4 for tags: (links, tags) after patches whose ``tags`` array replaces what an asset has.
+
+    NULL or [] takes all tags away; names without an id get one; repeated names count once. Patches
+    to ids that ``owners`` lacks change nothing.
+    """
+    known = patches.join(owners.select("id"), "id", "left_semi")
+    folded = materialize(_folded(known, ["tags"]).where("__has_tags"), "patches")
+    wanted = folded.select(F.col("id").alias("asset_id"), F.explode("__new_tags").alias("name")).where("name IS NOT NULL").distinct()
+    all_tags, _ = get_or_create_tags(tags, wanted)
+    kept = links.select("asset_id", "tag_id").join(folded.select(F.col("id").alias("asset_id")), "asset_id", "left_anti")
+    made = wanted.join(all_tags.select(F.col("id").alias("tag_id"), "name"), "name").select("asset_id", "tag_id")
+    return kept.unionByName(made), all_tags
+
+
 def delete(state: DataFrame, ids: DataFrame, key: str = "id") -> tuple[DataFrame, DataFrame]:
     """(kept rows, deleted rows); unknown ids delete nothing."""
     ids = ids.select(key).distinct()

@@ -116,6 +116,16 @@ _DETAILS = """SELECT a.id, asset_type, file_name, {path}file_size, width, height
 FROM assets a LEFT JOIN dims d ON d.asset_id = a.id LEFT JOIN lists t ON t.asset_id = a.id
 LEFT JOIN meta m ON m.asset_id = a.id"""
 
+# The folded patches of the sides: own event first, then the height of the event before, if it has one.
+_SIDES = """sides AS (
+  SELECT coalesce(e.event_id, l.event_id + 1) AS id, coalesce(e.event_type <> 'view', false) AS has_width,
+    coalesce(e.event_id IS NOT NULL OR l.event_id IS NOT NULL, false) AS has_height, e.user_id,
+    CASE WHEN e.event_type = 'click' THEN e.user_id END AS width,
+    CASE WHEN l.event_id IS NOT NULL THEN CAST(floor(l.value) AS INTEGER) WHEN e.event_type <> 'error' THEN CAST(floor(e.value) AS INTEGER) END AS height,
+    CASE WHEN e.event_type = 'click' THEN CAST(json_extract(e.props, '$.k') AS BIGINT) END AS k
+  FROM events e FULL JOIN (SELECT * FROM events WHERE event_type <> 'error') l ON l.event_id + 1 = e.event_id
+  WHERE coalesce(e.event_id, l.event_id + 1) IN (SELECT id FROM assets))"""
+
 ORACLE: dict[str, str] = {
     # A
     "scan_assets": f"""WITH {_ASSETS} SELECT id, asset_type, file_name, file_path, file_size,
@@ -149,7 +159,24 @@ ORACLE: dict[str, str] = {
     "link_rejects": f"""WITH {_SNAPSHOTS}, {_LINKS} SELECT asset_id, tag_id FROM links
         WHERE asset_id NOT IN (SELECT id FROM new)""",
     "add_tags": f"""WITH {_SNAPSHOTS}, {_LINKS} SELECT asset_id, tag_id FROM links
-        WHERE asset_id IN (SELECT id FROM new)""",
+        WHERE asset_id IN (SELECT id FROM new) AND asset_id NOT IN (SELECT id FROM old)""",
+    "patch_dimensions": f"""WITH {_ASSETS}, {_DIMENSIONS}, {_SIDES}
+        SELECT asset_id, width, height FROM (
+          SELECT coalesce(d.asset_id, p.id) AS asset_id, CASE WHEN p.has_width THEN p.width ELSE d.width END AS width,
+            CASE WHEN p.has_height THEN p.height ELSE d.height END AS height
+          FROM dims d FULL JOIN sides p ON p.id = d.asset_id) WHERE width IS NOT NULL OR height IS NOT NULL""",
+    "patch_metadata": f"""WITH {_ASSETS}, {_METADATA}, {_SIDES}
+        SELECT * FROM (SELECT coalesce(m.asset_id, p.id) AS asset_id, CASE WHEN p.has_width THEN p.k ELSE m.k END AS k
+          FROM meta m FULL JOIN sides p ON p.id = m.asset_id) WHERE k IS NOT NULL""",
+    "patch_tags": f"""WITH {_ASSETS}, {_LINKS}, {_SIDES}
+        SELECT asset_id, name FROM links JOIN tags ON tags.id = tag_id
+        WHERE asset_id NOT IN (SELECT id FROM sides WHERE has_width)
+        UNION ALL SELECT id, unnest(['user ' || user_id, 'click']) FROM sides WHERE width IS NOT NULL""",
+    "asset_records": f"""WITH {_ASSETS}, {_DIMENSIONS}, {_METADATA}, {_TAG_LISTS}
+        SELECT a.id, asset_type, file_name, round(lat, 2) AS latitude, round(lon, 2) AS longitude, width, height,
+          coalesce(array_to_string(names, ','), '') AS tags, k
+        FROM (SELECT * FROM assets ORDER BY id LIMIT 100 OFFSET 200) a LEFT JOIN dims d ON d.asset_id = a.id
+        LEFT JOIN lists t ON t.asset_id = a.id LEFT JOIN meta m ON m.asset_id = a.id""",
     "patch_assets": f"""WITH {_ASSETS}
         SELECT a.id, asset_type,
                CASE WHEN d.doc_id IS NOT NULL THEN d.source WHEN event_type = 'click' THEN event_type
@@ -218,8 +245,10 @@ ORACLE: dict[str, str] = {
     "asset_lookup": f"WITH {_ASSETS} SELECT id, asset_type, file_name, file_size FROM assets WHERE id = 99",
     "asset_lookup_batch": f"""WITH {_ASSETS} SELECT p_partkey * 11 AS id, CAST(a.id IS NOT NULL AS INTEGER) AS found,
         asset_type, file_name FROM part LEFT JOIN assets a ON a.id = p_partkey * 11""",
-    "page": f"WITH {_ASSETS} SELECT id, asset_type, file_name FROM assets ORDER BY id LIMIT 100 OFFSET 200",
-    "page_after": f"WITH {_ASSETS} SELECT id, asset_type, file_name FROM assets WHERE id > 700 ORDER BY id LIMIT 100",
+    "page": f"""WITH {_ASSETS} SELECT *, row_number() OVER (ORDER BY id) AS rank FROM (
+        SELECT id, asset_type, file_name FROM assets ORDER BY id LIMIT 100 OFFSET 200)""",
+    "page_after": f"""WITH {_ASSETS} SELECT id, asset_type, file_name, row_number() OVER (ORDER BY id) AS rank
+        FROM assets WHERE id > 700 ORDER BY id LIMIT 100""",
     **{
         name: f"""WITH {_ASSETS}, {_TAG_LISTS}, hits AS (
               SELECT DISTINCT asset_id FROM links JOIN tags ON tags.id = tag_id WHERE name ILIKE '%{text}%')
@@ -235,13 +264,14 @@ ORACLE: dict[str, str] = {
                'id,type,file_name,dimensions,tags,metadata' AS members, 'width,height' AS dimension_members
         FROM assets a LEFT JOIN dims d ON d.asset_id = a.id LEFT JOIN lists t ON t.asset_id = a.id
         LEFT JOIN meta m ON m.asset_id = a.id""",
-    "recent": f"""WITH {_MESSAGES} SELECT id, k, {_TIME.format('m.created_at')} AS created_at FROM messages m
+    "recent": f"""WITH {_MESSAGES} SELECT id, k, {_TIME.format('m.created_at')} AS created_at,
+          row_number() OVER (ORDER BY m.created_at DESC NULLS FIRST, id DESC) AS rank FROM messages m
         ORDER BY m.created_at DESC NULLS FIRST, id DESC LIMIT 10""",
-    "table_stats": " UNION ALL ".join(
+    "table_stats": "SELECT *, row_number() OVER (ORDER BY row_count DESC, table_name) AS rank FROM (" + " UNION ALL ".join(
         f"SELECT '{t}' AS table_name, count(*) AS row_count FROM {t}"
         for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
                   "embeddings", "pages", "benchmark", "labels", "conversations")
-    ),
+    ) + ")",
     "metadata_contains": f"WITH {_METADATA} SELECT asset_id, k FROM meta WHERE k = 42",
     "metadata_contains_types": """WITH e AS (SELECT event_id AS id, event_id % 8 AS kind, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events)
         SELECT * FROM (
@@ -307,9 +337,11 @@ ORACLE: dict[str, str] = {
         FROM (SELECT *, {_haversine(*_CENTRE)} AS d FROM places) WHERE d <= 2000000""",
     "nearby_batch": f"""WITH {_PLACES}, {_CENTRES} SELECT centre_id, id, round(d, 1) AS distance
         FROM (SELECT centre_id, id, {_haversine('clon', 'clat')} AS d FROM places, centres) WHERE d <= 500000""",
-    "knn_planar": f"""WITH {_PLACES} SELECT id, file_name, round({_planar(*_CENTRE)}, 6) AS distance FROM places
+    "knn_planar": f"""WITH {_PLACES} SELECT id, file_name, round({_planar(*_CENTRE)}, 6) AS distance,
+        row_number() OVER (ORDER BY {_planar(*_CENTRE)}, id) AS rank FROM places
         ORDER BY {_planar(*_CENTRE)}, id LIMIT 5""",
-    "knn_haversine": f"""WITH {_PLACES} SELECT id, file_name, round({_haversine(*_CENTRE)}, 1) AS distance FROM places
+    "knn_haversine": f"""WITH {_PLACES} SELECT id, file_name, round({_haversine(*_CENTRE)}, 1) AS distance,
+        row_number() OVER (ORDER BY {_haversine(*_CENTRE)}, id) AS rank FROM places
         ORDER BY {_haversine(*_CENTRE)}, id LIMIT 10""",
     "knn_batch": f"""WITH {_PLACES}, {_CENTRES}, ranked AS (
           SELECT centre_id, id, d, row_number() OVER (PARTITION BY centre_id ORDER BY d, id) AS rank
@@ -348,15 +380,19 @@ ORACLE: dict[str, str] = {
         SELECT status, count(*) AS messages, {_TIME.format('min(created_at)')} AS oldest FROM marked GROUP BY status""",
     "queue_backlog": f"""WITH {_MESSAGES} SELECT status, count(*) AS messages, {_TIME.format('min(created_at)')} AS oldest
         FROM messages GROUP BY status""",
-    "stream_queue": """SELECT count(*) AS messages, count(DISTINCT event_id) AS distinct_messages FROM events
-        WHERE event_type <> 'view'""",
+    "stream_queue": f"""WITH {_MESSAGES}, ranked AS (
+          SELECT id, row_number() OVER (ORDER BY created_at, id) - 1 AS place FROM messages WHERE status = 'pending')
+        SELECT id, CASE WHEN place < 200 THEN CAST(place % 4 AS INTEGER) END AS worker,
+               CASE WHEN place < 200 THEN CAST(place // 4 + 1 AS BIGINT) END AS turn,
+               CASE WHEN place < 200 THEN CAST(0 AS BIGINT) END AS batch FROM ranked""",
     # I
     "audit_diff": f"WITH {_CHANGES} SELECT {_IMAGE_COLUMNS.format(at=_AS_OF)} FROM changes",
     "audit_feed": f"""WITH {_CHANGES} SELECT record_id,
         CASE WHEN NOT had THEN 'INSERT' WHEN NOT has THEN 'DELETE' ELSE 'UPDATE' END AS action, 'assets' AS table_name,
         '{_AS_OF}' AS changed_at, old_type, old_size, new_type, new_size FROM pairs""",
     "audit_log": f"WITH {_LOG} SELECT * FROM log",
-    "audit_tail": f"WITH {_LOG} SELECT * FROM log ORDER BY changed_at DESC, id DESC LIMIT 10",
+    "audit_tail": f"""WITH {_LOG} SELECT *, row_number() OVER (ORDER BY changed_at DESC, id DESC) AS rank FROM log
+        ORDER BY changed_at DESC, id DESC LIMIT 10""",
     "audit_replay": f"WITH {_SNAPSHOTS} SELECT * FROM old",
     "audit_replay_now": f"WITH {_SNAPSHOTS} SELECT * FROM new",
     "stream_audit_rows": """WITH w AS (SELECT user_id AS record_id, event_id AS seq,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from lumencat import schemas
 from lumencat.functions import geo
@@ -33,6 +33,11 @@ def _k(column: str = "metadata") -> Column:
     return F.get_json_object(column, "$.k").cast("long").alias("k")
 
 
+def _ranked(rows: DataFrame) -> DataFrame:
+    """A short result with the place of each row in it, so that a wrong order shows."""
+    return rows.select("*", F.row_number().over(Window.orderBy(F.monotonically_increasing_id())).alias("rank"))
+
+
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.read(spark, sf_dir, "events")
 
@@ -139,11 +144,11 @@ def link_rejects(spark, sf_dir):
 
 @query
 def add_tags(spark, sf_dir):
-    """B1 + B2 + B3 as one batch."""
-    _, remaining = tables.snapshots(spark, sf_dir)
+    """B1 + B2 + B3 as one batch, over the links that assets of the old snapshot have."""
+    old, remaining = tables.snapshots(spark, sf_dir)
+    linked = tables.links(spark, sf_dir).join(old.select(F.col("id").alias("asset_id")), "asset_id", "left_semi")
     done = merge.add_tags(
-        remaining, tables.tags(spark, sf_dir), tables.links(spark, sf_dir).limit(0),
-        tables.order_part_names(spark, sf_dir),
+        remaining, tables.tags(spark, sf_dir), linked, tables.order_part_names(spark, sf_dir),
     )
     return done["inserted"]
 
@@ -159,6 +164,61 @@ def patch_assets(spark, sf_dir):
     )
 
 
+def _side_patches(spark, sf_dir) -> DataFrame:
+    """Events patch the sides of the asset of their number: a click sets both lengths and the tags, an
+    error clears all, a view sets the height alone; a second patch of the next number follows."""
+    kind, n = F.col("event_type"), F.col("event_id")
+    fields = F.when(kind == "view", F.array(F.lit("height"))).otherwise(
+        F.array(*[F.lit(c) for c in ("width", "height", "tags", "metadata")]))
+    some = kind == "click"
+    patches = _events(spark, sf_dir).select(
+        n.alias("id"), n.alias("seq"), fields.alias("set_fields"),
+        F.when(some, F.col("user_id").cast("int")).alias("width"),
+        F.when(kind != "error", F.floor("value").cast("int")).alias("height"),
+        F.when(some, F.array(F.concat(F.lit("user "), F.col("user_id")), kind, kind, F.lit(None).cast("string"))).alias("tags"),
+        F.when(some, F.col("props")).alias("metadata"),
+    )
+    later = patches.where("height IS NOT NULL").select(
+        (F.col("id") + 1).alias("id"), (F.col("seq") + F.lit(1 << 40)).alias("seq"), F.array(F.lit("height")).alias("set_fields"),
+        "width", "height", "tags", "metadata")
+    return patches.unionByName(later)
+
+
+@query
+def patch_dimensions(spark, sf_dir):
+    """B4 for a side table of two columns"""
+    return merge.patch_side(
+        tables.dimensions(spark, sf_dir), tables.assets(spark, sf_dir), _side_patches(spark, sf_dir), ["width", "height"])
+
+
+@query
+def patch_metadata(spark, sf_dir):
+    """B4 for documents"""
+    done = merge.patch_side(
+        tables.metadata(spark, sf_dir), tables.assets(spark, sf_dir), _side_patches(spark, sf_dir), ["metadata"])
+    return done.select("asset_id", _k())
+
+
+@query
+def patch_tags(spark, sf_dir):
+    """B4 for tags: the names of every asset afterwards"""
+    links, names = merge.patch_tags(
+        tables.links(spark, sf_dir), tables.tags(spark, sf_dir), tables.assets(spark, sf_dir), _side_patches(spark, sf_dir))
+    return links.join(names.select(F.col("id").alias("tag_id"), "name"), "tag_id").select("asset_id", "name")
+
+
+@query
+def asset_records(spark, sf_dir):
+    """D3 with the nested record: a page of assets"""
+    page_ = catalog.page(tables.assets(spark, sf_dir), 200, 100).select("id", "asset_type", "file_name", "lon", "lat")
+    found = catalog.records(
+        page_, tables.dimensions(spark, sf_dir), tables.links(spark, sf_dir), tables.tags(spark, sf_dir), tables.metadata(spark, sf_dir))
+    return found.select(
+        "id", "asset_type", "file_name", F.round("location.latitude", 2).alias("latitude"), F.round("location.longitude", 2).alias("longitude"),
+        "dimensions.width", "dimensions.height", _tag_text(), _k(),
+    )
+
+
 def _error_ids(spark, sf_dir) -> DataFrame:
     events = tables.read(spark, sf_dir, "events")
     return events.where("event_type = 'error'").select(F.col("event_id").alias("id"))
@@ -305,13 +365,13 @@ def asset_lookup_batch(spark, sf_dir):
 @query
 def page(spark, sf_dir):
     """D3"""
-    return catalog.page(tables.assets(spark, sf_dir), 200, 100).select("id", "asset_type", "file_name")
+    return _ranked(catalog.page(tables.assets(spark, sf_dir), 200, 100).select("id", "asset_type", "file_name"))
 
 
 @query
 def page_after(spark, sf_dir):
     """D3 by key"""
-    return catalog.page_after(tables.assets(spark, sf_dir), 700, 100).select("id", "asset_type", "file_name")
+    return _ranked(catalog.page_after(tables.assets(spark, sf_dir), 700, 100).select("id", "asset_type", "file_name"))
 
 
 def _substring(spark, sf_dir, text: str, literal: bool = False) -> DataFrame:
@@ -362,13 +422,14 @@ def asset_json(spark, sf_dir):
 @query
 def recent(spark, sf_dir):
     """D6"""
-    return catalog.recent(tables.messages(_events(spark, sf_dir)), "created_at").select("id", _k("payload"), _text("created_at"))
+    rows = catalog.recent(tables.messages(_events(spark, sf_dir)), "created_at")
+    return _ranked(rows.select("id", _k("payload"), _text("created_at")))
 
 
 @query
 def table_stats(spark, sf_dir):
     """D7"""
-    return catalog.table_stats({n: tables.read(spark, sf_dir, n) for n in tables.NAMES})
+    return _ranked(catalog.table_stats({n: tables.read(spark, sf_dir, n) for n in tables.NAMES}))
 
 
 @query
@@ -554,14 +615,14 @@ def nearby_batch(spark, sf_dir):
 def knn_planar(spark, sf_dir):
     """F6"""
     near = nearby.knn(tables.places(spark, sf_dir), tables.CENTRE_LON, tables.CENTRE_LAT)
-    return near.withColumn("distance", F.round("distance", 6))
+    return _ranked(near.withColumn("distance", F.round("distance", 6)))
 
 
 @query
 def knn_haversine(spark, sf_dir):
     """F6 on the sphere"""
     near = nearby.knn(tables.places(spark, sf_dir), tables.CENTRE_LON, tables.CENTRE_LAT, 10, "haversine")
-    return near.withColumn("distance", F.round("distance", 1))
+    return _ranked(near.withColumn("distance", F.round("distance", 1)))
 
 
 @query
@@ -573,11 +634,20 @@ def knn_batch(spark, sf_dir):
 
 # --- G: keyed values with expiry ----------------------------------------------------------------
 
+def _early() -> Column:
+    return F.col("write_ts") < F.lit("2024-01-09").cast("timestamp")
+
+
+def _cached(puts: DataFrame) -> DataFrame:
+    """The table as earlier puts left it."""
+    return cache.put(cache.entries(puts.limit(0)), puts.where(_early()))
+
+
 @query
 def cache_put(spark, sf_dir):
     """G1"""
     puts = tables.cache_puts(_events(spark, sf_dir))
-    table = cache.put(cache.entries(puts.limit(0)), puts)
+    table = cache.put(_cached(puts), puts.where(~_early()))
     return table.select("key", _k("value"), _text("expires_at"))
 
 
@@ -600,7 +670,7 @@ def cache_get_many(spark, sf_dir):
 def cache_purge(spark, sf_dir):
     """G3"""
     puts = tables.cache_puts(_events(spark, sf_dir))
-    table = cache.put(cache.entries(puts.limit(0)), puts.where(F.col("write_ts") <= AS_OF))
+    table = cache.put(_cached(puts), puts.where(~_early() & (F.col("write_ts") <= AS_OF)))
     return cache.purge(table, AS_OF).select("key", _k("value"), _text("expires_at"))
 
 
@@ -690,7 +760,7 @@ def audit_log(spark, sf_dir):
 @query
 def audit_tail(spark, sf_dir):
     """I2"""
-    return _images(catalog.recent(_log(spark, sf_dir)))
+    return _ranked(_images(catalog.recent(_log(spark, sf_dir))))
 
 
 @query

@@ -50,15 +50,15 @@ def stream_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """H1 + H2 as a stream: claimed and waiting messages together are all messages, each once."""
+    """H1 + H2 as a stream: every message with who got it, in which turn and micro-batch, if anyone."""
     messages = tables.messages(_events(spark, sf_dir))
     pending = SnapshotTable(spark, fresh_path(spark, "pending"), schemas.MESSAGE_QUEUE)
     claims = fresh_path(spark, "claims")
     folds.hand_out(messages, pending, claims, fresh_path(spark, "checkpoint"), 50, 4).awaitTermination()
-    everything = spark.read.parquet(claims).select("id").unionByName(pending.read().select("id"))
-    return everything.agg(
-        F.count(F.lit(1)).alias("messages"), F.count_distinct("id").alias("distinct_messages")
-    )
+    given = spark.read.parquet(claims).select("id", "worker", "turn", F.col("batch").cast("long").alias("batch"))
+    none = F.lit(None)
+    waiting = pending.read().select("id", none.cast("int").alias("worker"), none.cast("long").alias("turn"), none.cast("long").alias("batch"))
+    return given.unionByName(waiting)
 
 
 def _audited(spark: SparkSession, sf_dir: str, *feed: DataFrame) -> DataFrame:
