@@ -9,9 +9,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lumencat.operators.ordered import next_id, rank_rows
 
-# Up to this many claimed rows are numbered in one task; more go through the distributed ranking.
-SMALL_CLAIM = 100_000
-
 
 def enqueue(queue: DataFrame, payloads: DataFrame, as_of: datetime | Column, order: Sequence[str]) -> DataFrame:
     """H1: the new messages, pending, with ids after the highest one in the total order ``order``."""
@@ -34,13 +31,11 @@ def claim(queue: DataFrame, claims: DataFrame, per_worker: int, workers: int = 1
     total = per_worker * workers
     pending = queue.where(F.col("status") == "pending").join(claims.select("id"), "id", "left_anti")
     age = [F.asc_nulls_last("created_at"), F.asc("id")]
-    if total <= SMALL_CLAIM:
-        oldest = pending.orderBy(*age).limit(total)
-        ranked = oldest.withColumn("__rank", F.row_number().over(Window.orderBy(*age)))
-    else:
-        ranked = rank_rows(pending, age, "__rank").where(F.col("__rank") <= total)
+    # Only ids and times of the claimed messages meet in one task; payloads join them afterwards.
+    oldest = pending.select("id", "created_at").orderBy(*age).limit(total)
+    ranked = oldest.select("id", F.row_number().over(Window.orderBy(*age)).alias("__rank"))
     place = F.col("__rank") - 1
-    return ranked.select(
+    return queue.select("id", "payload").join(ranked, "id").select(
         "id", "payload",
         F.pmod(place, F.lit(workers)).cast("int").alias("worker"),
         (F.floor(place / workers) + 1).cast("long").alias("turn"),

@@ -144,6 +144,17 @@ ORACLE: dict[str, str] = {
     "ingest_asset_tags": f"""WITH {_RECORD_TAGS} SELECT asset_id, coalesce(t.id, c.id) AS tag_id
         FROM wanted w LEFT JOIN tags t ON t.name = w.name LEFT JOIN created c ON c.name = w.name""",
     "ingest_metadata": f"WITH {_RECORDS} SELECT asset_id, lang, n_chars FROM records WHERE quality = 1",
+    "ingest_rejected_locations": """SELECT (SELECT max(o_orderkey) FROM orders) + row_number() OVER (ORDER BY event_id) AS asset_id,
+        value AS latitude, CAST(user_id - 60 AS DOUBLE) AS longitude FROM events
+        QUALIFY NOT (value BETWEEN -90 AND 90 AND user_id - 60 BETWEEN -180 AND 180)""",
+    "write_job_audit": f"""WITH {_RECORDS} SELECT asset_id AS record_id, 'INSERT' AS action, 'assets' AS table_name,
+        '{_AS_OF}' AS changed_at, CAST(NULL AS VARCHAR) AS old_type, CAST(NULL AS BIGINT) AS old_size, lang AS new_type,
+        n_chars AS new_size FROM records""",
+    "write_job_counts": f"""WITH {_ASSETS} SELECT asset_type, count(*) AS "count" FROM (
+        SELECT asset_type FROM assets UNION ALL SELECT lang FROM documents) GROUP BY asset_type""",
+    "write_job_postings": f"""WITH {_RECORDS} SELECT id, weight, term, count(*) AS tf FROM (
+        SELECT asset_id AS id, 'A' AS weight, unnest([lower(source), CAST(doc_id AS VARCHAR)]) AS term FROM records
+        UNION ALL SELECT asset_id, 'B', unnest([lower(source), lower(lang)]) FROM records) GROUP BY ALL""",
     "point_build": """SELECT event_id,
         CASE WHEN value BETWEEN -90 AND 90 AND user_id * 2 - 100 BETWEEN -180 AND 180
              THEN CAST(user_id * 2 - 100 AS DOUBLE) END AS lon,

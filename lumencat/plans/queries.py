@@ -107,6 +107,38 @@ def ingest_metadata(spark, sf_dir):
     )
 
 
+@query
+def ingest_rejected_locations(spark, sf_dir):
+    """A3: what the load could not place"""
+    rows = tables.event_records(spark, sf_dir).withColumn("tags", F.array(F.col("asset_type")))
+    made = ingest.ingest(rows, tables.assets(spark, sf_dir), tables.tags(spark, sf_dir), AS_OF, ["event_id"])
+    return made["rejected_locations"]
+
+
+def _written(spark, sf_dir) -> dict[str, DataFrame]:
+    assets = tables.assets(spark, sf_dir)
+    return ingest.write_job(
+        tables.records(spark, sf_dir), assets, tables.tags(spark, sf_dir), counts.count_by_type(assets), AS_OF, ["doc_id"])
+
+
+@query
+def write_job_audit(spark, sf_dir):
+    """I1 of one loaded batch"""
+    return _images(_written(spark, sf_dir)["audit_log"])
+
+
+@query
+def write_job_counts(spark, sf_dir):
+    """E4 of one loaded batch"""
+    return _written(spark, sf_dir)["asset_counts"]
+
+
+@query
+def write_job_postings(spark, sf_dir):
+    """F1 of one loaded batch"""
+    return _written(spark, sf_dir)["postings"]
+
+
 @query
 def point_build(spark, sf_dir):
     """A4"""
