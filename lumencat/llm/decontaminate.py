@@ -12,7 +12,6 @@ columns are ignored by ``hits`` and kept by the functions that remove.
 from __future__ import annotations
 
 import string
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -22,59 +21,38 @@ WINDOW = 13
 #: The benchmark's windows are broadcast up to this many; beyond, the join shuffles.
 BROADCAST_WINDOWS = 1_000_000
 
-_APART = "".join(chr(c) for c in [*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)])
 _WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-_GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*"
+_GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 
 
 def words(text: Column) -> Column:
     """The words of a text, A-Z lowered: digits, letters and all that is not ASCII."""
-    plain = F.translate(
-        F.coalesce(text, F.lit("")),
-        string.ascii_uppercase + _APART,
-        string.ascii_lowercase + " " * len(_APART),
-    )
-    return F.array_remove(F.split(plain, " "), "")
-
-
-def _joined(df: DataFrame, left: str, a: int, right: str, b: int, name: str) -> DataFrame:
-    """Add the hashes of windows of a + b words, from those of a words and, behind them, of b words."""
-    n = F.greatest(F.size("words") - (a + b) + 1, F.lit(0))
-    pair = F.zip_with(F.slice(left, 1, n), F.slice(right, a + 1, n), lambda x, y: F.xxhash64(x, y))
-    return df.withColumn(name, pair)
+    text = F.coalesce(text, F.lit(""))
+    # ``lower`` does the same to plain ASCII, and faster.
+    lowered = F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(
+        F.translate(text, string.ascii_uppercase, string.ascii_lowercase))
+    return F.array_remove(F.split(lowered, f"{_GAP}+"), "")
 
 
-def with_window_hashes(df: DataFrame, lengths: list[int]) -> DataFrame:
-    """Add ``w<L>`` for each L: the hash of every window of L ``words``, in order.
+def _windows(texts: DataFrame, lengths: Column) -> DataFrame:
+    """``texts`` with a row per window: its length, the number of its first word, its hash.
 
-    Hashes of 2, 4, 8, ... words are built from those of half as many.
+    Only built-in expressions without lambdas, so that all of it is one stage of compiled code and
+    ``words`` is never copied.
     """
-    df = df.withColumn("w1", F.transform("words", lambda w: F.xxhash64(w)))
-    size = 1
-    while 2 * size <= max(lengths, default=1):
-        df = _joined(df, f"w{size}", size, f"w{size}", size, f"w{2 * size}")
-        size *= 2
-    for length in lengths:
-        parts = [1 << k for k in reversed(range(length.bit_length())) if length >> k & 1]
-        name, done = f"w{parts[0]}", parts[0]
-        for part in parts[1:]:
-            df = _joined(df, name, done, f"w{part}", part, f"w{done + part}")
-            done += part
-            name = f"w{done}"
-    return df
+    rows = texts.select("*", F.posexplode("words").alias("first", "_word")).drop("_word")
+    rows = rows.select("*", F.explode(lengths).alias("length"))
+    return rows.where(F.col("first") + F.col("length") <= F.size("words")).withColumn(
+        "hash", F.xxhash64(F.slice("words", F.col("first") + 1, F.col("length"))))
 
 
 def benchmark_windows(items: DataFrame, window: int = WINDOW) -> tuple[DataFrame, list[int]]:
     """(hash, length, gram, item_ids) of the distinct windows, and the lengths that occur."""
     parsed = items.where("item_id is not null").select("item_id", words(F.col("text")).alias("words")).where("size(words) > 0")
-    lengths = sorted(
-        r[0] for r in parsed.select(F.least(F.size("words"), F.lit(window)).alias("n")).distinct().collect()
-    )  # at most ``window`` of them
-    hashed = with_window_hashes(parsed, lengths)
-    length = F.least(F.size("words"), F.lit(window))
-    own = reduce(lambda rest, n: F.when(length == n, F.col(f"w{n}")).otherwise(rest), lengths, F.array().cast("array<long>"))
-    grams = hashed.select("item_id", "words", length.alias("length"), F.posexplode(own).alias("pos", "hash"))
-    return grams.groupBy("hash", "length", F.slice("words", F.col("pos") + 1, F.col("length")).alias("gram")).agg(
+    own = F.least(F.size("words"), F.lit(window))
+    lengths = sorted(r[0] for r in parsed.select(own).distinct().collect())  # at most ``window`` of them
+    gram = F.slice("words", F.col("first") + 1, F.col("length"))
+    return _windows(parsed, F.array(own)).groupBy("hash", "length", gram.alias("gram")).agg(
         F.collect_set("item_id").alias("item_ids")), lengths
 
 
@@ -86,19 +64,9 @@ def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, broadcast_wind
     grams, lengths = benchmark_windows(items, window)
     small = grams.limit(broadcast_windows + 1).count() <= broadcast_windows
     parsed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), words(F.col("text")).alias("words"))
-    hashed = with_window_hashes(parsed, lengths)
-    every = F.concat(*[F.col(f"w{n}") for n in lengths]) if lengths else F.array().cast("array<long>")
-    # The windows of each length follow each other; where a length begins tells the word number.
-    begin, begins = F.lit(0), {}
-    for n in lengths:
-        begins[n] = begin
-        begin = begin + F.greatest(F.size("words") - n + 1, F.lit(0))
-    windows = hashed.select("doc_id", "text_hash", "words", every.alias("every")).select(
-        "doc_id", "text_hash", "words", F.posexplode("every").alias("at", "hash"))
-    found = windows.join(F.broadcast(grams) if small else grams, "hash")
-    offset = reduce(lambda rest, n: F.when(F.col("length") == n, begins[n]).otherwise(rest), lengths, F.lit(0))
-    placed = found.withColumn("first", F.col("at") - offset).where(
-        (F.col("first") >= 0) & (F.slice("words", F.greatest("first", F.lit(0)) + 1, F.col("length")) == F.col("gram")))
+    every = F.array(*[F.lit(n) for n in lengths]) if lengths else F.array().cast("array<int>")
+    found = _windows(parsed, every).join(F.broadcast(grams) if small else grams, ["hash", "length"])
+    placed = found.where(F.slice("words", F.col("first") + 1, F.col("length")) == F.col("gram"))
     by_doc = placed.groupBy("doc_id", "text_hash").agg(
         F.array_sort(F.collect_set(F.struct("first", (F.col("first") + F.col("length")).alias("past")))).alias("windows"),
         F.array_distinct(F.flatten(F.collect_set("item_ids"))).alias("item_ids"),
@@ -152,8 +120,8 @@ def remove_documents(docs: DataFrame, items: DataFrame, window: int = WINDOW, sh
 
 def remove_spans(judged: DataFrame) -> DataFrame:
     """The rows of ``judge`` with the hit words, and the gap before each, taken out of the text."""
-    pieces = F.regexp_extract_all("text", F.lit(f"({_GAP}{_WORD})"), F.lit(1))
-    tail = F.regexp_extract("text", f"({_GAP})$", 1)
+    pieces = F.regexp_extract_all("text", F.lit(f"({_GAP}*{_WORD})"), F.lit(1))
+    tail = F.regexp_extract("text", f"({_GAP}*)$", 1)
     hit = lambda i: F.exists("spans", lambda s: (s["first"] <= i) & (i < s["past"]))
     rest = F.concat(F.array_join(F.filter(pieces, lambda _, i: ~hit(i)), ""), tail)
     return judged.withColumn("text", F.when(F.size("spans") > 0, rest).otherwise(F.col("text")))
