@@ -22,7 +22,7 @@ WORDS = regex.compile(
 )
 # Pieces whose letters and white space every Unicode version classes alike.
 _PLAIN = re.compile(r"[\t\n\r -~¡-ɏ]*")
-REMEMBERED = 600_000
+REMEMBERED = 250_000
 
 
 def _byte_letters() -> list[str]:
@@ -77,13 +77,31 @@ class Encoder:
             self.words[word] = ids
         return ids
 
+    def _letters_only(self, text: str, blank: bool) -> bytes | None:
+        """Letters with a full stop or comma after them, or not; None for anything else."""
+        end = b""
+        if text[-1:] in (".", ","):
+            end, text = self._word(text[-1]), text[:-1]
+        if not text.isalpha() or not (text.isascii() or _PLAIN.fullmatch(text)):
+            return None
+        if not blank:
+            return self._word(text) + end
+        ids = self.pieces.get(text) or self.old_pieces.get(text)
+        if ids is None:
+            letters = text if text.isascii() else text.encode("utf-8").decode("latin-1").translate(self.letters)
+            ids = self.pieces[text] = self._merge(self.blank + letters)
+        return ids + end
+
     def _piece(self, piece: str) -> bytes:
         """A piece without the blank before it."""
-        if piece.isascii() and piece.isalpha():
-            return self._merge(self.blank + piece)
-        stem, end = piece[:-1], piece[-1]
-        if end in ".," and stem.isascii() and stem.isalpha():
-            return self._word(" " + stem) + self._word(end)
+        ids = self._letters_only(piece, True)
+        if ids is not None:
+            return ids
+        line, found, rest = piece.partition("\n")
+        if found:
+            first, last = self._letters_only(line, True), self._letters_only(rest, False)
+            if first is not None and last is not None:
+                return first + self._word("\n") + last
         if _PLAIN.fullmatch(piece):
             return b"".join(map(self._word, WORDS.findall(" " + piece)))
         return self.whole(" " + piece)

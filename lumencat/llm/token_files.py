@@ -56,11 +56,15 @@ def id_counts(tokens: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack, total = zstandard.ZstdDecompressor(), np.zeros(0, np.int64)
         for batch in batches:
-            for ids in batch.column(0):
-                seen = np.bincount(np.frombuffer(unpack.decompress(ids.as_py()), f"<u{width}"))
-                if len(seen) > len(total):
-                    total = np.concatenate([total, np.zeros(len(seen) - len(total), np.int64)])
-                total[: len(seen)] += seen
+            held: list[bytes] = []
+            for n, ids in enumerate(batch.column(0), 1):
+                held.append(unpack.decompress(ids.as_py()))
+                if n == len(batch) or n % 512 == 0:  # a count spans the vocabulary: many documents at once
+                    seen = np.bincount(np.frombuffer(b"".join(held), f"<u{width}"))
+                    if len(seen) > len(total):
+                        total = np.concatenate([total, np.zeros(len(seen) - len(total), np.int64)])
+                    total[: len(seen)] += seen
+                    held.clear()
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], ["id", "n"])
 
