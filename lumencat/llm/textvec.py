@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -55,6 +56,16 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
+def stretches(column: pa.Array, most: int = 4 << 20) -> Iterator[pa.Array]:
+    """The texts in runs of at most ``most`` bytes, or of one longer text: what is hashed at a time."""
+    _, begins = text_bytes(column)
+    first = 0
+    while first < len(column):
+        last = max(first + 1, int(np.searchsorted(begins, begins[first] + most, side="right")) - 1)
+        yield column.slice(first, last - first)
+        first = last
+
+
 def _cut(separated: np.ndarray, begins: np.ndarray, at: int) -> int:
     """The first place from ``at`` on where no word goes on: a separator or the start of a text."""
     n = len(separated)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lumencat.llm.columns import apart, together
-from lumencat.llm.textvec import separators, word_hashes
+from lumencat.llm.textvec import separators, stretches, word_hashes
 from lumencat.sources.storage import materialize
 
 #: The sample: so many documents of each class, none longer than MOST_CHARS.
@@ -83,6 +83,10 @@ class Model:
         return np.max(best, axis=0)
 
     def score(self, column: pa.Array) -> np.ndarray:
+        scores = [self._score(part) for part in stretches(column)]
+        return np.concatenate(scores) if scores else np.zeros(0)
+
+    def _score(self, column: pa.Array) -> np.ndarray:
         hashes, begins = word_hashes(column, _APART, heads=HEADS)
         pooled, first = np.zeros((len(column), len(self.biases)), np.float32), 0
         while first < len(column):
@@ -141,6 +145,7 @@ def train(texts: pa.Array, toxic: np.ndarray, calibrate: np.ndarray) -> Model:
         return model
     model.embeddings[1:] = rng.normal(0, 0.1, (len(known) - 1, SIZE))
     rows = model.rows(hashes)
+    del hashes
     texts_rows = [np.pad(rows[:, a:b], ((0, 0), (0, 1 + 2 * _PAD))) for a, b in zip(begins[:-1], begins[1:])]
     dense = [*model.kernels, model.biases, model.out]
     first, second = [np.zeros_like(p) for p in dense], [np.zeros_like(p) for p in dense]
