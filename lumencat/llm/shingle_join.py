@@ -10,9 +10,13 @@ costs no comparison, and a passage that many texts share counts only for texts t
 else. Sets with too few filled parts (``m <= k``; tiny ones) meet under a partition into single
 elements instead.
 
-Sets that share a signature are compared with the first few of their bucket; buckets whose sets then
-lie in one component are done, the others go on with more pivots until all their pairs of different
-components were compared. So no link is lost, and groups of copies cost a few comparisons per member.
+Sets that share a signature are compared with the first few of their bucket, those with the fewest
+signatures of their own, as the text that others were made from has. Buckets whose sets then lie in
+one component are done, the others go on with more pivots until all their pairs of different
+components were looked at. So no link is lost, and groups of copies cost a few comparisons per
+member. Before two sets are fetched and compared, the parities of their elements over ``BITS`` bits
+are: every element that only one set has flips one bit, so more unequal bits than a link allows rule
+it out, and in the later rounds the join itself drops such pairs.
 
 Defined cases: texts of 1 to n - 1 words are one n-gram; null, empty and blank texts have no set and
 link with nothing; rows of a null doc_id link with nothing and have no component; rows that share a
@@ -22,13 +26,14 @@ doc_id are one node with the links of all of them; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lumencat.llm.components import components
-from lumencat.llm.textvec import mix, word_hashes
+from lumencat.llm.textvec import mix, stretches, word_hashes
 from lumencat.sources.storage import materialize
 
 WORDS, P, Q = 5, 75, 100
@@ -36,13 +41,21 @@ WORDS, P, Q = 5, 75, 100
 BAND = 4
 FEWEST_PARTS = 64
 #: Pivots of the first round; each later round has so many times more.
-PIVOTS, MORE = 4, 16
+PIVOTS, MORE = 2, 512
+BITS = 1024
+_PARITY = [f"s{k}" for k in range(BITS // 64)]
 _U = np.uint64
+_FIELD = 28
 _SINGLE = 64  # instances from here on are partitions into single elements
 
 
 def shingle_sets(column: pa.Array, words: int = WORDS) -> Iterator[np.ndarray]:
     """The sorted distinct n-gram hashes of each text."""
+    for part in stretches(column):
+        yield from _sets_of(part, words)
+
+
+def _sets_of(column: pa.Array, words: int) -> Iterator[np.ndarray]:
     hashes, begins = word_hashes(column)
     grams = np.zeros(max(0, len(hashes) - words + 1), np.uint64)
     for k in range(words):
@@ -110,7 +123,10 @@ def describe(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
 
 def signature_rows(docs: DataFrame, words: int = WORDS, p: int = P, q: int = Q) -> DataFrame:
-    """(sig, doc, instance, slack): what each text shows; of equal sets, a task shows the first."""
+    """(sig, doc, part): the signatures that each text shows; of equal sets, a task shows the first.
+
+    ``part`` packs the instance, the number shown and the slack: these rows are most of what travels.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
@@ -118,11 +134,9 @@ def signature_rows(docs: DataFrame, words: int = WORDS, p: int = P, q: int = Q)
         def batch_of(rows: list) -> pa.RecordBatch:
             sizes = [len(s) for _, _, _, s in rows]
             sigs = np.concatenate([s for _, _, _, s in rows]) if rows else np.zeros(0, np.uint64)
-            column = lambda k, kind: pa.array(np.repeat(np.array([r[k] for r in rows], np.int64), sizes), pa.int64()).cast(kind)
-            return pa.RecordBatch.from_arrays(
-                [_as_long(sigs), column(0, pa.int64()), column(1, pa.int16()), column(2, pa.int32())],
-                ["sig", "doc", "instance", "slack"],
-            )
+            part = [instance << 2 * _FIELD | len(s) << _FIELD | slack for _, instance, slack, s in rows]
+            columns = [np.repeat(np.array(c, np.int64), sizes) for c in ([r[0] for r in rows], part)]
+            return pa.RecordBatch.from_arrays([_as_long(sigs), *map(pa.array, columns)], ["sig", "doc", "part"])
 
         for batch in batches:
             rows: list = []
@@ -140,16 +154,41 @@ def signature_rows(docs: DataFrame, words: int = WORDS, p: int = P, q: int = Q)
                     rows, held = [], 0
             yield batch_of(rows)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "sig long, doc long, instance short, slack int")
+    return docs.select("doc_id", "text").mapInArrow(run, "sig long, doc long, part long")
 
 
 def _sets(docs: DataFrame, words: int) -> DataFrame:
+    """(doc, size, s0 .., grams): the set of each text, and the parities of its elements by their bits."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = pa.array([g.tobytes() for g in shingle_sets(batch.column(1), words)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), sets], ["doc", "grams"])
+        for batch in (part for whole in batches for part in _parts(whole)):
+            sets = list(shingle_sets(batch.column(1), words))
+            parity = np.zeros((len(sets), BITS // 64), np.int64)
+            for k, grams in enumerate(sets):
+                odd = np.bincount((grams & _U(BITS - 1)).astype(np.int64), minlength=BITS) & 1
+                parity[k] = np.packbits(odd.astype(np.uint8)).view(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([len(g) for g in sets], pa.int64()), *(pa.array(c) for c in parity.T.copy()),
+                 pa.array([g.tobytes() for g in sets], pa.binary())],
+                ["doc", "size", *_PARITY, "grams"],
+            )
+
+    kind = f"doc long, size long, {', '.join(f'{c} long' for c in _PARITY)}, grams binary"
+    return docs.select("doc_id", "text").mapInArrow(run, kind)
+
+
+def _parts(batch: pa.RecordBatch, rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    return (batch.slice(at, rows) for at in range(0, batch.num_rows, rows))
+
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc long, grams binary")
+def _sketch(sets: DataFrame, mark: str) -> DataFrame:
+    return sets.select(*[F.col(c).alias(f"{mark}_{c}") for c in ("doc", "size", *_PARITY)])
+
+
+def _may_link(p: int, q: int) -> Column:
+    """Whether the parities of sets x and y leave room for a link: never wrong about one that is."""
+    unequal = reduce(lambda n, c: n + F.bit_count(F.col(f"x_{c}").bitwiseXOR(F.col(f"y_{c}"))), _PARITY, F.lit(0))
+    return (q + p) * unequal <= (q - p) * (F.col("x_size") + F.col("y_size"))
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
@@ -170,19 +209,24 @@ def _similar(pairs: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
 
 
 def buckets(rows: DataFrame) -> DataFrame:
-    """(sig, doc, place, n): who meets under a signature, after each set kept its rarest ones."""
+    """(sig, doc, place, n): who meets under a signature, after each set kept its rarest ones.
+
+    ``place`` 1 has the fewest signatures that nobody else shows.
+    """
     sharing = rows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("sig"))).where("n > 1")
-    own = Window.partitionBy("doc", "instance")
+    own = Window.partitionBy("doc", "part")
+    field = (1 << _FIELD) - 1
+    slack, shown = F.col("part").bitwiseAND(field), F.shiftright("part", _FIELD).bitwiseAND(field)
     kept = (
         sharing.withColumn("place", F.row_number().over(own.orderBy("n", "sig")))
         .withColumn("shared", F.count(F.lit(1)).over(own))
-        .where("place <= shared - slack")
-        .groupBy("sig", "doc").agg(F.lit(1).alias("one"))
+        .where(F.col("place") <= F.col("shared") - slack)
+        .groupBy("sig", "doc").agg(F.min(shown - F.col("shared")).alias("alone"))
     )
     bucket = Window.partitionBy("sig")
     return (
         kept.withColumn("n", F.count(F.lit(1)).over(bucket)).where("n > 1")
-        .select("sig", "doc", F.row_number().over(bucket.orderBy("doc")).alias("place"), "n")
+        .select("sig", "doc", F.row_number().over(bucket.orderBy("alone", "doc")).alias("place"), "n")
     )
 
 
@@ -197,30 +241,30 @@ def join(docs: DataFrame, words: int = WORDS, p: int = P, q: int = Q) -> DataFra
     meeting = materialize(buckets(signature_rows(docs, words, p, q)), "buckets")
     members = meeting.select(F.col("doc").alias("doc_id")).distinct()
     sets = materialize(_sets(docs.join(members, "doc_id", "left_semi"), words), "sets")
-    links = materialize(links, "links")
 
-    open_, compared, low, high = meeting, None, 0, PIVOTS
+    x, y = _sketch(sets, "x"), _sketch(sets, "y")
+    pivots = meeting.where(F.col("place") <= PIVOTS).select("sig", F.col("doc").alias("a"), F.col("place").alias("pivot"))
+    pairs = meeting.join(pivots, "sig").where("place > pivot").select("a", F.col("doc").alias("b")).distinct()
+    pairs = pairs.join(x, F.col("a") == F.col("x_doc")).join(y, F.col("b") == F.col("y_doc")).where(_may_link(p, q))
+    links = materialize(links.unionByName(_similar(pairs.select("a", "b").distinct(), sets, p, q)), "links")
+    low, high = PIVOTS, PIVOTS * MORE
     while True:
-        pivots = open_.where(F.col("place").between(low + 1, high)).select(
-            "sig", F.col("doc").alias("a"), F.col("place").alias("pivot"), *([F.col("label").alias("la")] if low else []),
-        )
-        pairs = open_.join(pivots, "sig").where("place > pivot" + (" and label != la" if low else ""))
-        pairs = pairs.select("a", F.col("doc").alias("b")).distinct()
-        if compared is not None:
-            pairs = pairs.join(compared, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "pairs")
-        links = materialize(links.unionByName(_similar(pairs, sets, p, q)), "links")
-        compared = pairs if compared is None else compared.unionByName(pairs)
         labels = components(links)
-        low, high = high, high * MORE
         # Buckets beyond the pivots so far that still hold several components.
-        large = meeting.where(F.col("n") > low)
-        named = large.join(labels.withColumnRenamed("node", "doc"), "doc", "left").withColumn(
+        named = meeting.where(F.col("n") > low).join(labels.withColumnRenamed("node", "doc"), "doc", "left").withColumn(
             "label", F.coalesce("label", "doc"))
-        mixed = named.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y")
+        mixed = named.groupBy("sig").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least != most")
         open_ = materialize(named.join(mixed.select("sig"), "sig", "left_semi"), "open")
         if open_.isEmpty():
             break
+        pivots = open_.where(F.col("place").between(low + 1, high)).select(
+            "sig", F.col("doc").alias("a"), F.col("place").alias("pivot"), F.col("label").alias("pivot_label"))
+        pivots = pivots.join(x, F.col("a") == F.col("x_doc"))
+        members = open_.join(y, F.col("doc") == F.col("y_doc"))
+        pairs = members.join(pivots, (members["sig"] == pivots["sig"]) & _may_link(p, q) & F.expr("place > pivot and label != pivot_label"))
+        pairs = pairs.select("a", F.col("doc").alias("b")).distinct()
+        links = materialize(links.unionByName(_similar(pairs, sets, p, q)), "links")
+        low, high = high, high * MORE
     return each.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
         "doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("component_id"),
     )
