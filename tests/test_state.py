@@ -67,9 +67,7 @@ def _queue(spark, n=1000):
     return data, spark.createDataFrame(data, schemas.MESSAGE_QUEUE)
 
 
-@pytest.mark.parametrize("small", [work_queue.SMALL_CLAIM, 10])
-def test_claims_are_oldest_first_and_never_repeat(spark, monkeypatch, small):
-    monkeypatch.setattr(work_queue, "SMALL_CLAIM", small)
+def test_claims_are_oldest_first_and_never_repeat(spark):
     data, queue = _queue(spark)
     order = [i for i, _, s, _ in sorted(data, key=lambda m: (m[3], m[0])) if s == "pending"]
     claims = spark.createDataFrame([], "id long, payload string, worker int, turn long, batch_id long")
