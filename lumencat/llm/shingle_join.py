@@ -149,7 +149,7 @@ def signature_rows(docs: DataFrame, words: int = WORDS, p: int = P, q: int = Q)
                 for instance, slack, sigs in signatures(grams, p, q):
                     rows.append((doc, instance, slack, sigs))
                     held += len(sigs)
-                if held > 500_000:
+                if held > 200_000:
                     yield batch_of(rows)
                     rows, held = [], 0
             yield batch_of(rows)

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SEGMENT = 1 << 20
+SEGMENT = 1 << 18
 _BASE = 0x9E3779B97F4A7C15 | 5
 _WORD = 1 << 64
 
@@ -56,7 +56,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def stretches(column: pa.Array, most: int = 4 << 20) -> Iterator[pa.Array]:
+def stretches(column: pa.Array, most: int = 1 << 20) -> Iterator[pa.Array]:
     """The texts in runs of at most ``most`` bytes, or of one longer text: what is hashed at a time."""
     _, begins = text_bytes(column)
     first = 0

@@ -117,9 +117,11 @@ class Model:
 
 def _vocabulary(hashes: np.ndarray, begins: np.ndarray) -> np.ndarray:
     """The hashes that at least FEWEST_DOCS documents have, one for each bucket."""
-    own = [np.unique(hashes[:, a:b]) for a, b in zip(begins[:-1], begins[1:])]
-    values, counts = np.unique(np.concatenate([*own, np.zeros(0, np.uint64)]), return_counts=True)
-    often = values[counts >= FEWEST_DOCS]
+    often = np.zeros(0, np.uint64)
+    for head in hashes:  # one after the other, for the driver's memory
+        own = [np.unique(head[a:b]) for a, b in zip(begins[:-1], begins[1:])]
+        values, counts = np.unique(np.concatenate([*own, np.zeros(0, np.uint64)]), return_counts=True)
+        often = np.union1d(often, values[counts >= FEWEST_DOCS])
     _, one = np.unique(often & np.uint64(BUCKETS - 1), return_index=True)
     return np.concatenate([np.zeros(1, np.uint64), often[one]])
 
@@ -144,7 +146,7 @@ def train(texts: pa.Array, toxic: np.ndarray, calibrate: np.ndarray) -> Model:
         model.scale = (0.0, float(np.log((share + 1e-3) / (1 - share + 1e-3))))
         return model
     model.embeddings[1:] = rng.normal(0, 0.1, (len(known) - 1, SIZE))
-    rows = model.rows(hashes)
+    rows = np.stack([model.rows(head) for head in hashes])
     del hashes
     texts_rows = [np.pad(rows[:, a:b], ((0, 0), (0, 1 + 2 * _PAD))) for a, b in zip(begins[:-1], begins[1:])]
     dense = [*model.kernels, model.biases, model.out]
