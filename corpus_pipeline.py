@@ -85,7 +85,7 @@ def _written_order(docs: DataFrame) -> list:
 @_stage
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 1: token ids in files, in mixed order; returns what is read back of each document."""
-    path = token_files.write(docs, public_tokenizers.path("byte_bpe_50k.json"), order=_written_order(docs))
+    path = token_files.write(docs, public_tokenizers.path("byte_bpe_50k.json"), order=_written_order(docs), added_tokens=True)
     return token_files.read(spark, path).select(
         "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"),
     )

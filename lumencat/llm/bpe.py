@@ -3,7 +3,8 @@
 The ids are those of the tokenizers library on the whole text. Its pattern always starts a new word
 at a blank that is followed by something else than white space, so a text may be cut there and each
 distinct piece encoded once. Pieces of common Latin letters are cut into words here and merged by
-the library's model; any other piece goes through the library whole.
+the library's model; any other piece goes through the library whole, and so does a text that holds
+an added token such as <|endoftext|> where those are asked for.
 """
 
 from __future__ import annotations
@@ -37,12 +38,14 @@ def _byte_letters() -> list[str]:
 class Encoder:
     """Encodes texts to little-endian ids of ``dtype``; keeps at most ``remembered`` pieces."""
 
-    def __init__(self, path: str, remembered: int = REMEMBERED):
+    def __init__(self, path: str, remembered: int = REMEMBERED, added_tokens: bool = False):
+        """``added_tokens`` as in the library by default: texts that spell one out hold its id."""
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not added_tokens
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if added_tokens else []
         self.model = self.tokenizer.model
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.remembered = remembered
@@ -115,6 +118,8 @@ class Encoder:
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
+        if any(content in text for content in self.added):
+            return self.whole(text)
         self._age()
         first, *rest = text.split(" ")
         found = list(map(self.pieces.get, rest))

@@ -17,7 +17,7 @@ TOKENIZER = "byte_bpe_50k.json"
 @query
 def op1_token_files(spark, sf_dir):
     """Encode, write and read back; the digests come from the files."""
-    path = token_files.write(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+    path = token_files.write(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), added_tokens=True)
     return token_files.read(spark, path).select(
         "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"),
     )

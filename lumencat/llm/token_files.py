@@ -26,12 +26,14 @@ BLOCK_IDS = 1 << 17
 
 
 @functools.lru_cache(maxsize=2)
-def _encoder(tokenizer: str) -> Encoder:
+def _encoder(tokenizer: str, added_tokens: bool = False) -> Encoder:
     """One per worker, so that its pieces serve all its tasks."""
-    return Encoder(tokenizer)
+    return Encoder(tokenizer, added_tokens=added_tokens)
 
 
-def tokenize(docs: DataFrame, tokenizer: str, end_id: int = 0, order: Sequence[Column] | None = None) -> DataFrame:
+def tokenize(
+    docs: DataFrame, tokenizer: str, end_id: int = 0, order: Sequence[Column] | None = None, added_tokens: bool = False,
+) -> DataFrame:
     """(key, doc_id, ids): the ids of each text with ``end_id`` after them, compressed.
 
     ``key`` is the struct that the files are ordered by, by default the doc_id.
@@ -41,7 +43,7 @@ def tokenize(docs: DataFrame, tokenizer: str, end_id: int = 0, order: Sequence[C
     schema = rows.select("key", "doc_id", F.lit(b"").alias("ids")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, squeeze = _encoder(tokenizer), zstandard.ZstdCompressor(3)
+        encoder, squeeze = _encoder(tokenizer, added_tokens), zstandard.ZstdCompressor(3)
         end = np.array([end_id], encoder.dtype).tobytes()
         for batch in batches:
             ids = pa.array([squeeze.compress(encoder.encode(t.as_py()) + end) for t in batch.column(2)], pa.binary())
@@ -114,16 +116,18 @@ def write(
     order: Sequence[Column] | None = None,
     longest: int = LONGEST,
     block_ids: int = BLOCK_IDS,
+    added_tokens: bool = False,
 ) -> str:
     """Encode ``docs`` (doc_id, text) and write the files in ascending ``order``; returns their folder.
 
-    ``order`` defaults to doc_id. What the driver holds is the counts of the vocabulary, which its
+    ``order`` defaults to doc_id. With ``added_tokens`` the ids are those that the library gives by
+    default; else a text that spells an added token out gets the ids of its letters. What the driver holds is the counts of the vocabulary, which its
     size bounds.
     """
     spark = docs.sparkSession
     path = path or fresh_path(spark, "token-files")
-    width = _encoder(tokenizer).dtype.itemsize
-    tokens = materialize(tokenize(docs, tokenizer, end_id, order), "ids")
+    width = _encoder(tokenizer, added_tokens).dtype.itemsize
+    tokens = materialize(tokenize(docs, tokenizer, end_id, order, added_tokens), "ids")
     counts = id_counts(tokens, width).toPandas()
     totals = np.zeros(int(counts["id"].max()) + 1 if len(counts) else 1, np.int64)
     totals[counts["id"].to_numpy(np.int64)] = counts["n"]

@@ -9,9 +9,11 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from lumencat.llm import token_files
 from lumencat.llm.bpe import Encoder
 from lumencat.llm.huffman import Code, code_lengths
+from lumencat.llm.queries import QUERIES
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 PLAIN = Tokenizer.from_file(PATH)
@@ -107,3 +109,23 @@ def test_files_are_in_order_and_blocks_alone(spark, odd_docs):
     ids = [d for b in blocks for d in b.doc_ids]
     assert ids == sorted(ids, key=lambda d: (d is not None, d or 0))
     assert all(sum(b.doc_lengths) == b.n_ids for b in blocks) and len(blocks) > 1
+
+
+LIBRARY = Tokenizer.from_file(PATH)  # unchanged
+DEFAULT = Encoder(PATH, remembered=40, added_tokens=True)
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.one_of(st.text(max_size=30), st.lists(_PARTS, max_size=12).map("".join)))
+def test_added_tokens_are_those_of_the_library(text):
+    ids = np.frombuffer(DEFAULT.encode(text), DEFAULT.dtype).tolist()
+    assert ids == LIBRARY.encode(text, add_special_tokens=False).ids
+
+
+def test_query_and_pipeline_give_the_ids_of_the_unchanged_library(spark, odd_docs, tmp_path):
+    odd_docs.write.parquet(f"{tmp_path}/documents.parquet")
+    ids = np.array(LIBRARY.encode("naïve <|endoftext|> 漢字 \x00 end", add_special_tokens=False).ids + [0], "<u4")
+    assert 50256 in ids
+    for got in (QUERIES["op1_token_files"](spark, str(tmp_path)), corpus_pipeline.encode(spark, odd_docs, str(tmp_path))):
+        row = got.where("doc_id = 6").first()
+        assert (row.n_tokens, row.ids_crc32) == (len(ids), zlib.crc32(ids.tobytes()))
