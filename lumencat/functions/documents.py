@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, SparkSession, functions as F
 
 
 def json_document(value: Column) -> Column:
@@ -34,3 +34,44 @@ def json_with(document: Column, member: str, stored: Column) -> Column:
     """
     kept = F.when(is_json(stored), F.trim(stored)).otherwise(F.lit("null"))
     return F.concat(F.left(document, F.length(document) - 1), F.lit(f',"{member}":'), kept, F.lit("}"))
+
+
+def _last_of_repeated():
+    """A JSON text with each member once, the last of its name; numbers stay as written, no JSON is null."""
+
+    def rebuilt(document):
+        import json
+
+        class Number(str):
+            pass
+
+        def no_json(name):
+            raise ValueError(name)
+
+        def text(value):
+            if isinstance(value, Number):
+                return str(value)
+            if isinstance(value, dict):
+                return "{" + ",".join(f"{json.dumps(k)}:{text(v)}" for k, v in value.items()) + "}"
+            if isinstance(value, list):
+                return "[" + ",".join(map(text, value)) + "]"
+            return json.dumps(value)
+
+        try:
+            return None if document is None else text(json.loads(document, parse_int=Number, parse_float=Number, parse_constant=no_json))
+        except (ValueError, RecursionError):
+            return None
+
+    return F.udf(rebuilt, "string")
+
+
+def json_variant(spark: SparkSession, document: Column) -> Column:
+    """The JSON text as a variant, the last of members of one name counting; NULL when it is not JSON.
+
+    A session without ``spark.sql.variant.allowDuplicateKeys`` refuses such texts: there those that do
+    not parse are rebuilt, in Python, with each member once.
+    """
+    parsed = F.try_parse_json(document)
+    if spark.conf.get("spark.sql.variant.allowDuplicateKeys") == "true":
+        return parsed
+    return F.coalesce(parsed, F.try_parse_json(_last_of_repeated()(F.when(parsed.isNull(), document))))

@@ -8,7 +8,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lumencat.functions.documents import json_document, json_with
+from lumencat.functions.documents import json_document, json_variant, json_with
 
 
 def tag_names(links: DataFrame, tags: DataFrame) -> DataFrame:
@@ -190,16 +190,16 @@ def metadata_contains(metadata: DataFrame, members: Mapping[str, object], column
     """Rows whose document contains ``members``: objects by member, arrays by element, the rest by
     type and value; numbers are equal by value. A name such as ``exif.iso`` goes down into objects.
 
-    A document that names a member twice counts with the last one where the session has
-    ``spark.sql.variant.allowDuplicateKeys`` (``session.configure`` sets it), else it holds nothing.
+    A document that names a member twice counts with the last one, in any session.
     """
-    document = F.try_parse_json(column)
+    document = F.col("__document")
     tests = []
     for path, value in members.items():
         for name in reversed(path.split(".")):
             value = {name: value}
         tests.append(_holds(document, "$", value))
-    return metadata.where(F.coalesce(_all(tests), F.lit(False)))
+    parsed = metadata.withColumn("__document", json_variant(metadata.sparkSession, F.col(column)))
+    return parsed.where(F.coalesce(_all(tests), F.lit(False))).drop("__document")
 
 
 def metadata_has_key(metadata: DataFrame, key: str, column: str = "metadata") -> DataFrame:

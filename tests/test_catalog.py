@@ -8,6 +8,7 @@ import pytest
 
 from lumencat import schemas
 from lumencat.operators import catalog, counts
+from lumencat.plans import queries
 from lumencat.sources.storage import SnapshotTable
 from tests.catalog_rows import BARE, TAGS, rows
 from tests.catalog_rows import catalog as make
@@ -129,3 +130,26 @@ def test_plans_start_no_job(c, spark):
         assert not tracker.getJobIdsForGroup(group)
     finally:
         spark.sparkContext._jsc.sc().clearJobGroup()
+
+
+@pytest.mark.parametrize("allowed", ["true", "false"])
+def test_the_last_of_repeated_members_counts_in_any_session(spark, allowed):
+    setting = "spark.sql.variant.allowDuplicateKeys"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, allowed)
+    try:
+        documents = spark.createDataFrame([
+            (1, '{"k": 1, "k": 42}'), (2, '{"k": 42, "k": 1}'), (3, '{"o": {"k": 1, "k": 42.70}}'), (4, '{"k": "it\'s", "k": "42"}'),
+            (5, '{"tags": [{"a": 1, "a": 2}]}'), (6, "no json"), (7, None), (8, '{"k": 42}'), (9, '{"k": NaN, "k": 42}'),
+            (10, '{"k": 1, "k": 12345678901234567890.5}'),
+        ], "id long, metadata string")
+        found = lambda members: sorted(r.id for r in catalog.metadata_contains(documents, members).collect())
+        assert catalog.metadata_contains(documents, {"k": 42}).columns == documents.columns
+        assert found({"k": 42}) == [1, 8] and found({"k": 1}) == [2] and found({"k": "42"}) == [4]
+        assert found({"o.k": 42.7}) == [3] and found({"tags": [{"a": 2}]}) == [5] and found({"tags": [{"a": 1}]}) == []
+        edges = queries._edges(spark, "/root/testdata/sf0.001")
+        got = sorted(r.asset_id for r in catalog.metadata_contains(edges, {"k": 42}).collect())
+        twice = edges.where("metadata IN ('{\"k\": 42}', '{\"k\": 1, \"k\": 42}')")
+        assert got == sorted(r.asset_id for r in twice.collect()) and any(i % 8 == 3 for i in got)
+    finally:
+        spark.conf.set(setting, before)
