@@ -13,7 +13,9 @@ def json_document(value: Column) -> Column:
 def is_json(document: Column) -> Column:
     """Whether a text is one JSON value; an object may name a member twice."""
     alone = F.json_array_length(F.concat(F.lit("["), document, F.lit("]"))) == 1
-    twice = F.try_parse_json(document).isNull() & ~document.contains("'") & alone
+    # A quote that is left without escapes and double-quoted strings would open a single-quoted one.
+    bare = F.regexp_replace(F.regexp_replace(document, r"(?s)\\.", ""), r'"[^"]*"', "")
+    twice = F.try_parse_json(document).isNull() & ~bare.contains("'") & alone
     return F.coalesce(F.try_parse_json(document).isNotNull() | twice, F.lit(False))
 
 

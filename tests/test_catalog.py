@@ -5,8 +5,10 @@ from __future__ import annotations
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from lumencat import schemas
+from lumencat.functions.documents import is_json
 from lumencat.operators import catalog, counts
 from lumencat.plans import queries
 from lumencat.sources.storage import SnapshotTable
@@ -153,3 +155,17 @@ def test_the_last_of_repeated_members_counts_in_any_session(spark, allowed):
         assert got == sorted(r.asset_id for r in twice.collect()) and any(i % 8 == 3 for i in got)
     finally:
         spark.conf.set(setting, before)
+
+
+@pytest.mark.parametrize("allowed", ["true", "false"])
+def test_an_apostrophe_in_a_string_is_json(spark, allowed):
+    setting = "spark.sql.variant.allowDuplicateKeys"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, allowed)
+    try:
+        texts = ["""{"a": "it's", "a": 2}""", r"""{"a": "\"it's\"", "a": 2}""", """{'a': 1, 'a': 2}""", """{"a": 'x"', "a": 2}"""]
+        documents = spark.createDataFrame([(n, x) for n, x in enumerate(texts)], "id long, document string")
+        got = {r.id for r in documents.where(is_json(F.col("document"))).collect()}
+        assert got == {0, 1}
+    finally:
+        spark.conf.set(setting, before)
