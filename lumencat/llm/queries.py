@@ -1,4 +1,4 @@
-"""Operators 1 to 10 over their whole tables, with the parameters of production."""
+"""Operators 1 to 13 over their whole tables, with the parameters of production."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from lumencat.llm import (
-    chat, decontaminate, mixing, quality_rules, rollups, shards, shingle_join, token_files, toxicity, warc,
+    chat, decontaminate, merkle, mixing, quality_rules, rollups, shards, shingle_join, token_files, toxicity, warc,
 )
 from lumencat.llm.registry import ORACLE, QUERIES, query, table  # noqa: F401
 from lumencat.sources.storage import fresh_path, materialize
@@ -245,3 +245,63 @@ SELECT page_id, CAST(size AS BIGINT) AS payload_bytes, sha256(html) AS payload_d
   CASE WHEN size >= 100 AND page_id <> first THEN first END AS refers_to
 FROM f
 """
+
+
+@query
+def op13_merkle_manifest(spark, sf_dir):
+    """Every seventh document, by the crc of its id, is folded as if its n_chars were one more."""
+    docs = table(spark, sf_dir, "documents").select(*merkle.FIELDS)
+    more = [F.col("n_chars") + 1 if f == "n_chars" else f for f in merkle.FIELDS]
+    rows = docs.select(
+        "doc_id", "lang", merkle.leaf(merkle.FIELDS).alias("leaf"),
+        F.when(F.crc32(F.col("doc_id").cast("string")) % 7 == 0, merkle.leaf(more)).alias("claimed"),
+    )
+    return merkle.prove(materialize(rows, "leaf"))
+
+
+_BITS = "list_transform(range(0, 8 * length(x)), lambda i: (ascii(x[(i // 8 + 1)::BIGINT]) >> (i % 8)::INTEGER) & 1)"
+ORACLE["op13_merkle_manifest"] = f"""
+WITH RECURSIVE d AS (
+  SELECT *, CAST(doc_id AS VARCHAR) AS x, xor(list_reduce({_BITS.replace("x", "CAST(doc_id AS VARCHAR)")},
+    lambda c, b: CASE WHEN xor(c, b) & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, 4294967295), 4294967295) AS crc
+  FROM documents
+), f AS (
+  SELECT *,
+    coalesce(octet_length(encode(x)) || ':' || x, '-') || coalesce(octet_length(encode(source)) || ':' || source, '-')
+      || coalesce(octet_length(encode(lang)) || ':' || lang, '-') AS head,
+    coalesce(octet_length(encode(text)) || ':' || text, '-') AS tail, CAST(n_chars AS VARCHAR) AS c, CAST(n_chars + 1 AS VARCHAR) AS c1
+  FROM d
+), l AS (
+  SELECT doc_id, lang, sha256(head || coalesce(length(c) || ':' || c, '-') || tail) AS leaf,
+    CASE WHEN crc % 7 = 0 THEN sha256(head || coalesce(length(c1) || ':' || c1, '-') || tail) END AS claimed,
+  FROM f
+), p AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM l
+), t AS (
+  SELECT lang, 0 AS lvl, pos, leaf AS node, count(*) OVER (PARTITION BY lang) AS n FROM p
+  UNION ALL
+  SELECT lang, lvl + 1, pos // 2, sha256(string_agg(node, '' ORDER BY pos)), (n + 1) // 2 FROM t WHERE n > 1 GROUP BY lang, lvl, pos // 2, n
+), s AS (
+  SELECT lang, node AS subroot, lvl AS height, row_number() OVER (ORDER BY encode(lang) NULLS FIRST) - 1 AS nth FROM t WHERE n = 1
+), u AS (
+  SELECT 0 AS lvl, nth AS pos, subroot AS node, count(*) OVER () AS n FROM s
+  UNION ALL
+  SELECT lvl + 1, pos // 2, sha256(string_agg(node, '' ORDER BY pos)), (n + 1) // 2 FROM u WHERE n > 1 GROUP BY lvl, pos // 2, n
+), nodes AS (
+  SELECT nth, lvl, pos, node FROM t JOIN s ON t.lang IS NOT DISTINCT FROM s.lang WHERE lvl < height
+  UNION ALL
+  SELECT nth, height + u.lvl, u.pos, u.node FROM u, s WHERE u.n > 1
+), walk AS (
+  SELECT doc_id, leaf, nth, subroot, p.pos AS own, 0 AS lvl, p.pos AS pos, coalesce(claimed, leaf) AS folded, '' AS proof,
+    height, height + (SELECT max(lvl) FROM u) AS top
+  FROM p JOIN s ON p.lang IS NOT DISTINCT FROM s.lang
+  UNION ALL
+  SELECT doc_id, leaf, w.nth, subroot, own, w.lvl + 1,
+    CASE WHEN w.lvl + 1 = height THEN w.nth ELSE w.pos // 2 END,
+    sha256(CASE WHEN w.pos % 2 = 1 THEN coalesce(o.node, '') || folded ELSE folded || coalesce(o.node, '') END), proof || coalesce(o.node, ''), height, top
+  FROM (SELECT * REPLACE (CASE WHEN lvl = height THEN nth ELSE pos END AS pos) FROM walk WHERE lvl < top) w
+  LEFT JOIN nodes o ON o.nth = w.nth AND o.lvl = w.lvl AND o.pos = xor(w.pos, 1)
+)
+SELECT doc_id, leaf, subroot, node AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = node AS verified
+FROM walk, (SELECT node FROM u WHERE n = 1) WHERE walk.lvl = top
+"""
