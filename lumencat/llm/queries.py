@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lumencat.llm import (
     chat, decontaminate, merkle, mixing, quality_rules, rollups, shards, shingle_join, token_files, toxicity, warc,
+    whitening,
 )
 from lumencat.llm.registry import ORACLE, QUERIES, query, table  # noqa: F401
 from lumencat.sources.storage import fresh_path, materialize
@@ -247,6 +248,11 @@ FROM f
 """
 
 
+@query
+def op12_whitening(spark, sf_dir):
+    return whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 @query
 def op13_merkle_manifest(spark, sf_dir):
     """Every seventh document, by the crc of its id, is folded as if its n_chars were one more."""
