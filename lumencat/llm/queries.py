@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from lumencat.llm import (
-    chat, decontaminate, merkle, mixing, quality_rules, rollups, shards, shingle_join, token_files, toxicity, warc,
+    chat, decontaminate, hamming_join, merkle, mixing, quality_rules, rollups, shards, shingle_join, token_files, toxicity, warc,
     whitening,
 )
 from lumencat.llm.registry import ORACLE, QUERIES, query, table  # noqa: F401
@@ -248,6 +248,11 @@ FROM f
 """
 
 
+@query
+def op11_hamming_join(spark, sf_dir):
+    return hamming_join.join(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @query
 def op12_whitening(spark, sf_dir):
     return whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
