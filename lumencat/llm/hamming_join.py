@@ -10,12 +10,12 @@ every choice of ``ERRORS`` places left out; texts that show the same under one k
 and no pair under the distance threshold is missed. Links are confirmed on the whole sets.
 
 Texts of equal sets are one class and go through all this once. The classes under a key are not
-compared pair by pair: first each class is compared with one pivot, the most central among those of
-its keys (the one that meets most others), then, under the keys that still hold several components,
-with the pivots of those. Only then the rest follows: the pairs of different components under one
-key, outside the component that most of the key belongs to on one side. Within the join they must
-pass the distance and a bound from the parities of the elements over ``BITS`` bits (every element
-that only one set has flips one), which never rules out a link.
+compared pair by pair: the pivot of a key is its most central class (the one that meets most
+others), and each class is compared with the ``PIVOTS`` most central pivots that may link with it.
+Only then the rest follows: the pairs of different components under one key, outside the component
+that most of the key belongs to on one side. Before sets are compared, pairs must pass the distance
+and a bound from the parities of the elements over ``BITS`` bits (every element that only one set
+has flips one), which never rules out a link; the last join applies that bound to folded parities.
 
 Defined cases: texts of 1 to n - 1 words are one n-gram; null, empty and blank texts have no set and
 link with nothing; rows that share a doc_id are one node with the links of all of them; rows of a
@@ -43,10 +43,12 @@ WORDS, P, Q = 5, 85, 100
 PARTS, EACH, ERRORS, HASH_BITS = 13, 5, 1, 16
 #: The distance up to which every pair is found.
 MOST = PARTS * (ERRORS + 1) - 1
-BITS = 1024
+BITS, FOLDS = 1024, 4
+PIVOTS = 2
 _U = np.uint64
 _SIGNS = [f"g{k}" for k in range(-(-PARTS * EACH * HASH_BITS // 64))]
 _PARITY = [f"s{k}" for k in range(BITS // 64)]
+_FOLDED = [f"f{k}" for k in range(FOLDS)]
 _LIGHT = ["doc", "size", *_SIGNS, *_PARITY]
 _STEP = 1 << 12
 _SEEDS = mix(np.arange(1, 2 * PARTS * EACH + 1, dtype=_U) * _U(0x9E3779B97F4A7C15))
@@ -159,17 +161,28 @@ def _distance() -> Column:
     return total
 
 
-def _may_link(p: int, q: int) -> Column:
-    """Whether x and y are near by their signatures, and sizes and parities leave room for a link."""
-    unequal = reduce(lambda n, c: n + F.bit_count(F.col(f"x_{c}").bitwiseXOR(F.col(f"y_{c}"))), _PARITY, F.lit(0))
+def _room(parities: list[str], p: int, q: int) -> Column:
+    """Whether sizes and parities of x and y leave room for a link."""
+    unequal = reduce(lambda n, c: n + F.bit_count(F.col(f"x_{c}").bitwiseXOR(F.col(f"y_{c}"))), parities, F.lit(0))
     x, y = F.col("x_size"), F.col("y_size")
-    return (q * F.least(x, y) >= p * F.greatest(x, y)) & ((q + p) * unequal <= (q - p) * (x + y)) & (_distance() <= MOST)
+    return (q * F.least(x, y) >= p * F.greatest(x, y)) & ((q + p) * unequal <= (q - p) * (x + y))
+
+
+def _may_link(p: int, q: int) -> Column:
+    """Whether x and y are near by their signatures and leave room for a link."""
+    return _room(_PARITY, p, q) & (_distance() <= MOST)
 
 
 def _light(sets: DataFrame, mark: str) -> DataFrame:
     return sets.select(*[F.col(c).alias(f"{mark}_{c}") for c in _LIGHT])
 
 
+def _folded(sets: DataFrame, mark: str) -> DataFrame:
+    """Document, size and the parities over fewer bits: bits that meet are added."""
+    parts = [reduce(Column.bitwiseXOR, [F.col(c) for c in _PARITY[k::FOLDS]]) for k in range(FOLDS)]
+    return sets.select(*[c.alias(f"{mark}_{name}") for c, name in zip([F.col("doc"), F.col("size"), *parts], ["doc", "size", *_FOLDED])])
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
     """The pairs (a, b) whose whole sets are similar enough."""
 
@@ -187,18 +200,10 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
     return pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _near(pairs: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
-    """The pairs (a, b) that may link."""
+def _near(pairs: DataFrame, sets: DataFrame, p: int, q: int, *others: str) -> DataFrame:
+    """The pairs (a, b, others ..) that may link."""
     x, y = _light(sets, "x"), _light(sets, "y")
-    return pairs.join(y, F.col("b") == F.col("y_doc")).join(x, (F.col("a") == F.col("x_doc")) & _may_link(p, q)).select("a", "b").distinct()
-
-
-def _open(meeting: DataFrame, links: DataFrame) -> DataFrame:
-    """(key, doc, label) under the keys that hold several components of ``links``."""
-    labels = components(links).withColumnRenamed("node", "doc")
-    named = meeting.join(labels, "doc", "left").select("key", "doc", F.coalesce("label", "doc").alias("label"))
-    mixed = named.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least != most")
-    return materialize(named.join(mixed.select("key"), "key", "left_semi"), "open")
+    return pairs.join(y, F.col("b") == F.col("y_doc")).join(x, (F.col("a") == F.col("x_doc")) & _may_link(p, q)).select("a", "b", *others).distinct()
 
 
 def links_of(classes: DataFrame, docs: DataFrame, words: int = WORDS, p: int = P, q: int = Q) -> DataFrame:
@@ -216,27 +221,23 @@ def links_of(classes: DataFrame, docs: DataFrame, words: int = WORDS, p: int = P
     met = materialize(
         meeting.join(pivots, "key").where("doc != pivot.a").groupBy("doc", "pivot").agg(F.count(F.lit(1)).alias("keys")), "pivots")
 
-    first = met.groupBy(F.col("doc").alias("b")).agg(F.min("pivot").alias("pivot")).select("pivot.a", "b")
-    links = materialize(_confirmed(_near(first, sets, p, q), sets, p, q), "links")
+    near = _near(met.select("pivot.a", F.col("doc").alias("b"), "pivot.w"), sets, p, q, "w")
+    best = near.groupBy("b").agg(F.slice(F.sort_array(F.collect_list(F.struct("w", "a"))), 1, PIVOTS).alias("best"))
+    best = best.select("b", F.explode("best.a").alias("a"))
+    links = materialize(_confirmed(best, sets, p, q), "links")
 
-    open_ = _open(meeting, links)
-    label = open_.select("doc", "label").distinct()
-    second = (
-        met.select("pivot.a", F.col("doc").alias("b")).join(label.withColumnRenamed("doc", "b"), "b")
-        .join(label.select(F.col("doc").alias("a"), F.col("label").alias("other")), "a").where("label != other")
-    )
-    links = materialize(links.union(_confirmed(_near(second.select("a", "b"), sets, p, q), sets, p, q)), "links")
-
-    open_ = _open(meeting, links)
-    light = _light(sets, "y")
-    rows = open_.join(light, F.col("doc") == F.col("y_doc")).drop("doc")
-    main = open_.groupBy("key", "label").count().groupBy("key").agg(F.max(F.struct("count", "label")).alias("main")).select("key", F.col("main.label").alias("main"))
-    others = rows.select("key", F.col("label").alias("x_label"), *[F.col(f"y_{c}").alias(f"x_{c}") for c in _LIGHT])
-    others = others.join(main, "key").where("x_label != main").withColumnRenamed("key", "x_key")
+    labels = components(links).withColumnRenamed("node", "doc")
+    named = meeting.join(labels, "doc", "left").select("key", "doc", F.coalesce("label", "doc").alias("label"))
+    mixed = named.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least != most")
+    open_ = materialize(named.join(mixed.select("key"), "key", "left_semi"), "open")
+    main = open_.groupBy("key", "label").count().groupBy("key").agg(F.max(F.struct("count", "label")).alias("main"))
+    rows = open_.join(_folded(sets, "y"), F.col("doc") == F.col("y_doc")).select("key", F.col("label").alias("y_label"), "y_doc", "y_size", *[f"y_{c}" for c in _FOLDED])
+    others = rows.join(main.select(F.col("key").alias("x_key"), F.col("main.label").alias("main")), F.col("key") == F.col("x_key"))
+    others = others.where("y_label != main").select("x_key", "main", *[F.col(f"y_{c}").alias(f"x_{c}") for c in ("label", "doc", "size", *_FOLDED)])
     rest = others.join(
-        rows, (F.col("x_key") == F.col("key")) & (F.col("x_label") != F.col("label"))
-        & ((F.col("label") == F.col("main")) | (F.col("x_doc") < F.col("y_doc"))) & _may_link(p, q))
-    rest = rest.select(F.col("x_doc").alias("a"), F.col("y_doc").alias("b")).distinct()
+        rows, (F.col("x_key") == F.col("key")) & (F.col("x_label") != F.col("y_label"))
+        & ((F.col("y_label") == F.col("main")) | (F.col("x_doc") < F.col("y_doc"))) & _room(_FOLDED, p, q))
+    rest = _near(rest.select(F.col("x_doc").alias("a"), F.col("y_doc").alias("b")).distinct(), sets, p, q)
     return materialize(links.union(_confirmed(rest, sets, p, q)), "links")
 
 
