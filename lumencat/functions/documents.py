@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def json_document(value: Column) -> Column:
@@ -67,13 +67,16 @@ def _last_of_repeated():
     return F.udf(rebuilt, "string")
 
 
-def json_variant(spark: SparkSession, document: Column) -> Column:
-    """The JSON text as a variant, the last of members of one name counting; NULL when it is not JSON.
+def with_variant(df: DataFrame, column: str, name: str) -> DataFrame:
+    """``df`` with ``name``: its JSON text as a variant, of members of one name the last; NULL when it is not JSON.
 
-    A session without ``spark.sql.variant.allowDuplicateKeys`` refuses such texts: there those that do
-    not parse are rebuilt, in Python, with each member once.
+    A session without ``spark.sql.variant.allowDuplicateKeys`` refuses texts that repeat a member:
+    there the rows that do not parse, and only they, are rebuilt in Python with each member once.
     """
-    parsed = F.try_parse_json(document)
-    if spark.conf.get("spark.sql.variant.allowDuplicateKeys") == "true":
+    text = F.col(f"`{column}`")
+    parsed = df.withColumn(name, F.try_parse_json(text))
+    if df.sparkSession.conf.get("spark.sql.variant.allowDuplicateKeys") == "true":
         return parsed
-    return F.coalesce(parsed, F.try_parse_json(_last_of_repeated()(F.when(parsed.isNull(), document))))
+    refused = F.try_parse_json(text).isNull() & text.isNotNull()
+    rebuilt = df.where(refused).withColumn(name, F.try_parse_json(_last_of_repeated()(text)))
+    return parsed.where(~refused).unionByName(rebuilt)

@@ -8,7 +8,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lumencat.functions.documents import json_document, json_variant, json_with
+from lumencat.functions.documents import json_document, json_with, with_variant
 
 
 def tag_names(links: DataFrame, tags: DataFrame) -> DataFrame:
@@ -166,11 +166,34 @@ def _has_element(items: Column, value: object) -> Column:
     return F.exists(items, lambda x: F.coalesce(_holds(x, "$", value), F.lit(False)))
 
 
+def _member_holds(document: Column, path: str, name: str, value: object) -> Column:
+    """Whether the member ``name`` of the object at ``path`` contains ``value``; any name, quotes included."""
+    if name and "'" not in name:
+        return _holds(document, f"{path}['{name}']", value)
+    members = F.try_variant_get(document, path, "map<string,variant>")
+    return _holds(F.try_element_at(members, F.lit(name)), "$", value)
+
+
+def _digits(number: Column) -> Column:
+    """A decimal as text without zeros at its end, so that equal numbers are equal texts."""
+    short = F.regexp_replace(F.regexp_replace(number, r"(\.\d*?)0+$", "$1"), r"\.$", "")
+    return F.when(short == "-0", "0").otherwise(short)
+
+
+def _equals_number(document: Column, path: str, kind: Column, value: int | float | Decimal) -> Column:
+    """Equal by value: exactly for what is written with up to 38 digits, else as double precision."""
+    exact = Decimal(repr(value)) if isinstance(value, float) else Decimal(value)
+    plain = format(exact, "f")
+    plain = (plain.rstrip("0").rstrip(".") if "." in plain else plain) if exact else "0"
+    double = kind.startswith("DOUBLE") & (F.try_variant_get(document, path, "double") == F.lit(float(exact)))
+    return double | (kind.rlike("^(BIGINT|DECIMAL)") & (_digits(F.try_variant_get(document, path, "string")) == plain))
+
+
 def _holds(document: Column, path: str, value: object) -> Column:
     """Whether the value at ``path`` contains ``value``: equal type and value, member by member."""
     kind = F.schema_of_variant(F.try_variant_get(document, path, "variant"))
     if isinstance(value, Mapping):
-        return kind.startswith("OBJECT") & _all([_holds(document, f"{path}['{k}']", v) for k, v in value.items()])
+        return kind.startswith("OBJECT") & _all([_member_holds(document, path, k, v) for k, v in value.items()])
     if isinstance(value, (list, tuple)):
         items = F.try_variant_get(document, path, "array<variant>")
         return kind.startswith("ARRAY") & _all([_has_element(items, v) for v in value])
@@ -180,10 +203,7 @@ def _holds(document: Column, path: str, value: object) -> Column:
         return (kind == "BOOLEAN") & (F.try_variant_get(document, path, "boolean") == F.lit(value))
     if isinstance(value, str):
         return (kind == "STRING") & (F.try_variant_get(document, path, "string") == F.lit(value))
-    numbers = kind.rlike("^(BIGINT|DECIMAL|DOUBLE)")
-    if isinstance(value, int):
-        return numbers & (F.try_variant_get(document, path, "decimal(38,9)") == F.lit(Decimal(value)))
-    return numbers & (F.try_variant_get(document, path, "double") == F.lit(float(value)))
+    return _equals_number(document, path, kind, value)
 
 
 def metadata_contains(metadata: DataFrame, members: Mapping[str, object], column: str = "metadata") -> DataFrame:
@@ -198,7 +218,7 @@ def metadata_contains(metadata: DataFrame, members: Mapping[str, object], column
         for name in reversed(path.split(".")):
             value = {name: value}
         tests.append(_holds(document, "$", value))
-    parsed = metadata.withColumn("__document", json_variant(metadata.sparkSession, F.col(column)))
+    parsed = with_variant(metadata, column, "__document")
     return parsed.where(F.coalesce(_all(tests), F.lit(False))).drop("__document")
 
 

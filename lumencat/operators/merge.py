@@ -95,18 +95,24 @@ def patch(
 
 def patch_side(
     side: DataFrame, owners: DataFrame, patches: DataFrame, columns: Sequence[str], key: str = "asset_id",
-) -> DataFrame:
-    """B4 for a side table such as dimensions or metadata: (key, columns) after the patches.
+) -> tuple[DataFrame, DataFrame]:
+    """B4 for a side table such as dimensions or metadata: (rows after the patches, rejects), as (key, columns).
 
     A missing row is inserted, an explicitly set NULL clears, what is not named stays, and a row with
-    nothing left goes. Patches to ids that ``owners`` (column id) lacks change nothing.
+    nothing left goes. All columns of a side table are NOT NULL: where the patches of an id would
+    leave only some of them, its row stays as it was, and what it would have become is a reject.
+    Patches to ids that ``owners`` (column id) lacks change nothing.
     """
     known = patches.join(owners.select("id"), "id", "left_semi")
     folded = _folded(known, columns).withColumnRenamed("id", key)
+    after = [F.when(F.col(f"__has_{c}"), F.col(f"__new_{c}")).otherwise(F.col(c)).alias(c) for c in columns]
     merged = side.select(key, *columns).join(materialize(folded, "patches"), key, "full_outer").select(
-        key, *[F.when(F.col(f"__has_{c}"), F.col(f"__new_{c}")).otherwise(F.col(c)).alias(c) for c in columns]
-    )
-    return merged.where(F.coalesce(*[F.col(c).cast("string") for c in columns]).isNotNull())
+        key, F.struct(*columns).alias("__was"), F.struct(*after).alias("__now"))
+    missing = sum((F.col(f"__now.{c}").isNull().cast("int") for c in columns), F.lit(0))
+    half = (missing > 0) & (missing < len(columns))
+    kept = merged.select(key, F.when(half, F.col("__was")).otherwise(F.col("__now")).alias("row"))
+    kept = kept.where(F.coalesce(*[F.col(f"row.{c}").cast("string") for c in columns]).isNotNull())
+    return kept.select(key, "row.*"), merged.where(half).select(key, "__now.*")
 
 
 def patch_tags(

@@ -172,10 +172,13 @@ ORACLE: dict[str, str] = {
     "add_tags": f"""WITH {_SNAPSHOTS}, {_LINKS} SELECT asset_id, tag_id FROM links
         WHERE asset_id IN (SELECT id FROM new) AND asset_id NOT IN (SELECT id FROM old)""",
     "patch_dimensions": f"""WITH {_ASSETS}, {_DIMENSIONS}, {_SIDES}
-        SELECT asset_id, width, height FROM (
-          SELECT coalesce(d.asset_id, p.id) AS asset_id, CASE WHEN p.has_width THEN p.width ELSE d.width END AS width,
-            CASE WHEN p.has_height THEN p.height ELSE d.height END AS height
-          FROM dims d FULL JOIN sides p ON p.id = d.asset_id) WHERE width IS NOT NULL OR height IS NOT NULL""",
+        , after AS (
+          SELECT coalesce(d.asset_id, p.id) AS asset_id, d.width AS was_width, d.height AS was_height,
+            CASE WHEN p.has_width THEN p.width ELSE d.width END AS width, CASE WHEN p.has_height THEN p.height ELSE d.height END AS height
+          FROM dims d FULL JOIN sides p ON p.id = d.asset_id)
+        SELECT asset_id, width, height, false AS rejected FROM after WHERE width IS NOT NULL AND height IS NOT NULL
+        UNION ALL SELECT asset_id, was_width, was_height, false FROM after WHERE (width IS NULL) <> (height IS NULL) AND was_width IS NOT NULL
+        UNION ALL SELECT asset_id, width, height, true FROM after WHERE (width IS NULL) <> (height IS NULL)""",
     "patch_metadata": f"""WITH {_ASSETS}, {_METADATA}, {_SIDES}
         SELECT * FROM (SELECT coalesce(m.asset_id, p.id) AS asset_id, CASE WHEN p.has_width THEN p.k ELSE m.k END AS k
           FROM meta m FULL JOIN sides p ON p.id = m.asset_id) WHERE k IS NOT NULL""",
@@ -286,12 +289,16 @@ ORACLE: dict[str, str] = {
     "metadata_contains": f"WITH {_METADATA} SELECT asset_id, k FROM meta WHERE k = 42",
     "metadata_contains_types": """WITH e AS (SELECT event_id AS id, event_id % 8 AS kind, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events)
         SELECT * FROM (
-        SELECT 0 AS test, id AS asset_id FROM e WHERE kind = 0 AND k = 42 UNION ALL SELECT 1, id FROM e WHERE kind = 1 AND k = 42
+        SELECT 0 AS test, id AS asset_id FROM e WHERE kind IN (0, 3) AND k = 42 UNION ALL SELECT 1, id FROM e WHERE kind = 1 AND k = 42
         UNION ALL SELECT 2, id FROM e WHERE kind = 2 AND k = 42 UNION ALL SELECT 3, id FROM e WHERE kind = 5
         UNION ALL SELECT 4, id FROM e WHERE kind = 4 AND k = 42 UNION ALL SELECT 5, id FROM e WHERE kind = 4
         UNION ALL SELECT 6, id FROM e WHERE kind = 4 UNION ALL SELECT 7, id FROM e WHERE kind = 4 AND k = 42
         UNION ALL SELECT 8, id FROM e WHERE kind = 4 UNION ALL SELECT 9, id FROM e WHERE kind = 4
-        UNION ALL SELECT 10, id FROM e WHERE kind = 4)""",
+        UNION ALL SELECT 10, id FROM e WHERE kind = 4
+        UNION ALL SELECT 14, id FROM e WHERE id % 6 = 1 AND k = 42 UNION ALL SELECT 15, id FROM e WHERE id % 6 = 1 AND k = 42
+        UNION ALL SELECT 16, id FROM e WHERE id % 6 = 0 AND k = 42 UNION ALL SELECT 17, id FROM e WHERE id % 6 = 2 AND k = 42
+        UNION ALL SELECT 18, id FROM e WHERE id % 6 = 3 AND k = 42 UNION ALL SELECT 19, id FROM e WHERE id % 6 = 4 AND k = 42
+        UNION ALL SELECT 20, id FROM e WHERE id % 6 = 5 OR id % 6 IN (1, 4) AND k = 0)""",
     "asset_json_edge": """WITH e AS (SELECT event_id AS id, event_id % 8 AS kind, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events)
         SELECT id, '{"id":' || id || ',"type":"F","file_name":"f","dimensions":{"width":null,"height":null},"tags":null,"metadata":' || CASE kind
           WHEN 0 THEN '{"k": ' || k || '}' WHEN 1 THEN '{"k": "' || k || '"}' WHEN 2 THEN '{"k": ' || k || '.70}'

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
@@ -218,15 +219,16 @@ def _side_patches(spark, sf_dir) -> DataFrame:
 
 @query
 def patch_dimensions(spark, sf_dir):
-    """B4 for a side table of two columns"""
-    return merge.patch_side(
+    """B4 for a side table of two columns: what it holds afterwards, and the halves that were rejected"""
+    kept, rejected = merge.patch_side(
         tables.dimensions(spark, sf_dir), tables.assets(spark, sf_dir), _side_patches(spark, sf_dir), ["width", "height"])
+    return kept.withColumn("rejected", F.lit(False)).unionByName(rejected.withColumn("rejected", F.lit(True)))
 
 
 @query
 def patch_metadata(spark, sf_dir):
     """B4 for documents"""
-    done = merge.patch_side(
+    done, _ = merge.patch_side(
         tables.metadata(spark, sf_dir), tables.assets(spark, sf_dir), _side_patches(spark, sf_dir), ["metadata"])
     return done.select("asset_id", _k())
 
@@ -478,14 +480,23 @@ _EDGES = (
 )
 
 
-def _edges(spark, sf_dir) -> DataFrame:
+def _edges(spark, sf_dir, kinds=_EDGES) -> DataFrame:
     """(asset_id, metadata): for every event a document, its kind by the event's turn."""
-    kinds = " ".join(f"WHEN {n} THEN {text}" for n, text in enumerate(_EDGES))
+    cases = " ".join(f"WHEN {n} THEN {text}" for n, text in enumerate(kinds))
     return _events(spark, sf_dir).select(
         F.col("event_id").alias("asset_id"), _k("props").cast("string").alias("k"),
-    ).select("asset_id", F.expr(f"CASE asset_id % {len(_EDGES)} {kinds} END").alias("metadata"))
+    ).select("asset_id", F.expr(f"CASE asset_id % {len(kinds)} {cases} END").alias("metadata"))
 
 
+# Numbers that are equal, nearly equal or long, and a name with quotes.
+_NUMBERS = (
+    """'{"n": ' || k || '.0000000001}'""", """'{"n": ' || k || '.000}'""", """'{"n": 1234567890123456789012345678901234' || k || '}'""",
+    """'{"it''s \\\\"n\\\\"": {"n": ' || k || '}}'""", """'{"n": ' || k || 'e1}'""", """'{"n": -0.0}'""",
+)
+NUMBERS = (
+    {"n": 42}, {"n": 42.0}, {"n": Decimal("42.0000000001")}, {"n": 123456789012345678901234567890123442}, {'it\'s "n"': {"n": 42}}, {"n": 420}, {"n": 0},
+)
+
 CONTAINED = (
     {"k": 42}, {"k": "42"}, {"k": 42.7}, {"k": None}, {"o": {"k": 42}}, {"o.z": None}, {"tags": ["a"]}, {"tags": [42, "a"]},
     {"tags": [None]}, {"tags": []}, {"o": {}}, {"k": True}, {"k": {}}, {"tags": {}},
@@ -494,10 +505,11 @@ CONTAINED = (
 
 @query
 def metadata_contains_types(spark, sf_dir):
-    """D8 for values of every type; documents that name a member twice are left to ``asset_json_edge``."""
-    documents = _edges(spark, sf_dir).where(F.col("asset_id") % len(_EDGES) != 3)
+    """D8 for values of every type, documents that name a member twice, long and nearly equal numbers, and any name"""
     found = [
-        catalog.metadata_contains(documents, members).select(F.lit(n).alias("test"), "asset_id") for n, members in enumerate(CONTAINED)
+        catalog.metadata_contains(documents, members).select(F.lit(n).alias("test"), "asset_id")
+        for kinds, tests, first in ((_EDGES, CONTAINED, 0), (_NUMBERS, NUMBERS, len(CONTAINED)))
+        for documents in [_edges(spark, sf_dir, kinds)] for n, members in enumerate(tests, first)
     ]
     return reduce(DataFrame.unionByName, found)
 

@@ -169,3 +169,17 @@ def test_an_apostrophe_in_a_string_is_json(spark, allowed):
         assert got == {0, 1}
     finally:
         spark.conf.set(setting, before)
+
+
+def test_contained_numbers_are_equal_by_value_and_names_are_any(spark):
+    documents = spark.createDataFrame([
+        (1, '{"k": 42.0000000001}'), (2, '{"k": 42.0}'), (3, '{"k": 123456789012345678901234567890123456}'),
+        (4, '{"k": 1000000000000000000000000000000}'), (5, '{"it\'s": 1, "": 2}'), (6, '{"k": 42e0}'), (7, '{"k": -0}'),
+        (8, '{"a\\"b\'c": {"d": [1.50]}}'), (9, '{"k": 420}'),
+    ], "id long, metadata string")
+    found = lambda members: sorted(r.id for r in catalog.metadata_contains(documents, members).collect())
+    assert found({"k": 42}) == found({"k": 42.0}) == [2, 6]
+    assert found({"k": 42.0000000001}) == [1] and found({"k": 0}) == [7] and found({"k": 420}) == [9]
+    assert found({"k": 123456789012345678901234567890123456}) == [3] and found({"k": 10**30}) == [4]
+    assert found({"it's": 1}) == found({"": 2}) == [5] and found({"it's": 2}) == []
+    assert found({"a\"b'c": {"d": [1.5]}}) == [8]

@@ -153,3 +153,16 @@ def test_record_shape(spark):
         (3, "asset_type"), (3, "file_path"), (3, "location"), (3, "dimensions"), (3, "metadata"),
         (4, "asset_type"), (4, "location"), (4, "metadata"),
     ], key=repr)
+
+
+def test_half_a_dimension_is_rejected(spark):
+    """A patch may not leave width without height; the row stays as it was and the patch is reported."""
+    side = spark.createDataFrame([(1, 10, 20), (2, 30, 40), (3, 50, 60)], "asset_id long, width int, height int")
+    owners = spark.createDataFrame([(n,) for n in range(1, 7)], "id long")
+    patches = spark.createDataFrame([
+        (1, 1, ["width"], None, None), (2, 1, ["width", "height"], None, None), (3, 1, ["height"], None, 61),
+        (4, 1, ["height"], None, 5), (5, 1, ["width"], 7, None), (5, 2, ["height"], None, 8), (9, 1, ["width"], 1, None),
+    ], "id long, seq long, set_fields array<string>, width int, height int")
+    kept, rejected = merge.patch_side(side, owners, patches, ["width", "height"])
+    assert sorted(map(tuple, kept.collect())) == [(1, 10, 20), (3, 50, 61), (5, 7, 8)]
+    assert sorted(map(tuple, rejected.collect())) == [(1, None, 20), (4, None, 5)]
