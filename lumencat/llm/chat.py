@@ -92,7 +92,8 @@ def format_turns(conversations: DataFrame, template: Template = TEMPLATE) -> Dat
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, *shifted], [*batch.schema.names, "last_conv", "last_turn", "last_role"])
 
-    ranged = turns.repartitionByRange("conv_id", "turn", F.xxhash64("role", "text")).sortWithinPartitions(*order)
+    # Parts are cut in the order they are sorted by; what the starts of texts tie stays in one part.
+    ranged = turns.repartitionByRange("conv_id", "turn", "role", F.left("text", F.lit(64))).sortWithinPartitions(*order)
     parts = materialize(
         ranged.mapInArrow(
             with_last,

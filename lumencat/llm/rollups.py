@@ -3,7 +3,8 @@
 A batch of changes is added up before it is written, so a commit stores a row per group and not per
 document. It becomes visible by one row in the log, which names its folder. A batch whose id is in
 the log is not counted again, whether a caller repeats it or two writers race: readers take one
-folder per id. ``compact`` folds what is committed into one folder.
+folder per id. ``compact`` folds what is committed into one folder; batches that land meanwhile,
+and other compactions, neither get lost nor count twice.
 
 Defined cases: null group columns form groups of their own; null counts are 0; unknown kinds of
 change are an error; repeated rows of a batch count each (a batch is a bag of changes); an empty
@@ -12,7 +13,10 @@ batch commits; groups that fall back to nothing leave the totals; other columns
 
 from __future__ import annotations
 
+import hashlib
+import json
 import uuid
+from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
@@ -65,22 +69,35 @@ class Rollup:
         self._publish(deltas(changes), batch_id, [])
         return True
 
-    def _live(self) -> list[tuple[str, str]]:
-        """(batch_id, folder) of what counts: all but what a compaction covers. One row per commit."""
-        log = [(r["batch_id"], r["folder"], r["covers"] or []) for r in self.log().collect()]
-        covered = {b for _, _, covers in log for b in covers}
-        return [(b, folder) for b, folder, _ in log if b not in covered]
-
-    def totals(self) -> DataFrame:
-        """(source, lang, tokenizer, docs, tokens) over all commits."""
-        folders = [folder for _, folder in self._live()]
+    def _live(self) -> dict[str, str]:
+        """batch_id -> folder of what counts. The log has a row per commit, and is read once.
+
+        A compaction stands for what it covers if all of that counts so far, else it is passed over;
+        so whatever compactions race or overlap, each batch counts through one folder.
+        """
+        log = sorted(self.log().collect(), key=lambda r: (r["at"], r["folder"]))
+        live = {r["batch_id"]: r["folder"] for r in log if not r["covers"]}
+        for r in log:
+            if r["covers"] and all(b in live for b in r["covers"]):
+                for b in r["covers"]:
+                    del live[b]
+                live[r["batch_id"]] = r["folder"]
+        return live
+
+    def _sum(self, folders: Sequence[str]) -> DataFrame:
         if not folders:
             return self.spark.createDataFrame([], _TOTALS)
         rows = self.spark.read.schema(_TOTALS).parquet(*folders)
         return rows.groupBy(*GROUP).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).where("docs != 0 or tokens != 0")
 
+    def totals(self) -> DataFrame:
+        """(source, lang, tokenizer, docs, tokens) over all commits."""
+        return self._sum(sorted(self._live().values()))
+
     def compact(self) -> None:
-        """Fold all commits into one folder; the batches stay known."""
-        live = [b for b, _ in self._live()]
+        """Fold what counts now into one folder, named after it; the batches stay known."""
+        live = self._live()
         if len(live) > 1:
-            self._publish(self.totals(), f"compaction-{uuid.uuid4().hex}", live)
+            covers = sorted(live)
+            name = hashlib.sha256(json.dumps(covers).encode()).hexdigest()
+            self._publish(self._sum([live[b] for b in covers]), f"compaction-{name}", covers)

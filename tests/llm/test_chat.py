@@ -35,6 +35,20 @@ def test_round_trip(spark, template):
         assert not any(c in inner.replace(template.middle, "", 1) for c in (template.opening, template.closing))
 
 
+def test_tied_turns_over_many_parts(spark):
+    """Rows of one conversation and turn stand by role and text, wherever parts are cut."""
+    rows = [(c, 1, f"r{n % 3}", f"t{n * 37 % 400:04d}" + "x" * (n % 5)) for c in (1, 2) for n in range(400)]
+    rows += [(3, 1, "user", "same " * 40 + str(n)) for n in range(50)]
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = chat.read(spark, chat.write(chat.format_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))))
+        found = [(r.conv_id, r.role, r.text) for r in got.orderBy("place").collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    assert found == sorted((c, r, t) for c, _, r, t in rows)
+
+
 def test_order_of_turns(spark):
     turns = spark.createDataFrame(
         [(c, t, r, "x") for c, roles in enumerate(["sua", "ua", "uu", "a", "sa", "uas", "us"]) for t, r in enumerate(roles)],

@@ -46,3 +46,54 @@ def test_two_writers_of_one_batch(spark, tmp_path):
 def test_unknown_kind(spark, tmp_path):
     with pytest.raises(Exception, match="unknown kind"):
         Rollup(spark, f"{tmp_path}/r").commit("1", spark.createDataFrame([("upsert", "a", "en", "v1", 1, None, 0)], CHANGES))
+
+
+def _batch(spark, n):
+    return spark.createDataFrame([("insert", "a", "en", "v1", n, None, 0)], CHANGES)
+
+
+def test_a_commit_while_compacting(spark, tmp_path):
+    """What lands between the reads of a compaction is not in its folder and still counts, once."""
+    store = Rollup(spark, f"{tmp_path}/r")
+    store.commit("1", _batch(spark, 1))
+    store.commit("2", _batch(spark, 2))
+
+    class Slow(Rollup):
+        def _sum(self, folders):
+            Rollup(spark, self.path).commit("3", _batch(spark, 10))
+            return super()._sum(folders)
+
+    Slow(spark, store.path).compact()
+    assert _totals(store) == {("a", "en", "v1"): (3, 13)}
+    store.compact()
+    assert _totals(store) == {("a", "en", "v1"): (3, 13)} and not store.commit("3", _batch(spark, 10))
+
+
+def test_compactions_that_race(spark, tmp_path):
+    store = Rollup(spark, f"{tmp_path}/r")
+    for n in (1, 2):
+        store.commit(str(n), _batch(spark, n))
+
+    class Twice(Rollup):
+        def _sum(self, folders):
+            Rollup(spark, self.path).compact()
+            return super()._sum(folders)
+
+    Twice(spark, store.path).compact()
+    assert _totals(store) == {("a", "en", "v1"): (2, 3)}
+
+    class Later(Rollup):
+        """Another batch lands and another compaction covers it before this one is published."""
+
+        def _sum(self, folders):
+            other = Rollup(spark, self.path)
+            other.commit("4", _batch(spark, 100))
+            other.compact()
+            return super()._sum(folders)
+
+    store.commit("3", _batch(spark, 10))
+    Later(spark, store.path).compact()
+    assert _totals(store) == {("a", "en", "v1"): (4, 113)}
+    store.compact()
+    store.compact()
+    assert _totals(store) == {("a", "en", "v1"): (4, 113)}
