@@ -3,7 +3,7 @@
 A word is the sum of the embeddings of its hash and of the hashes of its first letters, so that
 inflected forms share what their stems have learnt. Filters of several widths slide over the words,
 the strongest answer of each filter over the whole text counts (max pooling), and a logistic layer
-makes the score. Trained with numpy on the driver from a bounded sample of labelled documents; the
+makes the score. Trained with numpy in one task from a bounded sample of labelled documents; the
 model is sent to the executors and scores whole texts there. A hash that the sample shows in too few
 documents has no embedding, and a hash is compared in full, so unknown words say nothing.
 
@@ -11,13 +11,15 @@ Scores know the text alone. Thresholds are set by language from all labelled doc
 calibration fold, so that at most ``MOST_FALSE`` of the clean ones lie above.
 
 Defined cases: null and empty texts get the score of a text without a known word; null labels teach
-nothing; a doc_id labelled twice is toxic if any label says so; a null or unlabelled language gets the
+nothing; a doc_id labelled twice is toxic if any label says so; of several texts of a doc_id, the
+smallest teaches; a null or unlabelled language gets the
 threshold of all languages; without both classes every score is the share of toxic labels; other
 columns are kept, but for those named score, threshold or toxic. Memory: the words of the longest document.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -214,8 +216,20 @@ def _platt(logits: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
     return max(float(w[0]), 1e-3), float(w[1])
 
 
+_SAMPLE_COLUMNS = "doc_id long, text string, _toxic long, _fold long"
+
+
+def _learn(rows: pa.Table) -> Model:
+    rows = rows.sort_by("doc_id")
+    return train(
+        rows["text"].combine_chunks(), rows["_toxic"].to_numpy().astype(np.int64), rows["_fold"].to_numpy() == CALIBRATION)
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Train on up to ``sample`` labelled documents of each class, never on those held out."""
+    """Train on up to ``sample`` labelled documents of each class, never on those held out.
+
+    The sample, a text per doc_id, goes to one task, which trains; the driver gets the model alone.
+    """
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.where(fold() != HELD_OUT)
     picked = [known.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for c in (0, 1)]
@@ -224,11 +238,18 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
         .join(F.broadcast(ids), "doc_id")  # 2 * sample rows
         .where(F.length("text") <= MOST_CHARS)
-        .select("doc_id", "text", "_toxic", fold().alias("_fold"))
-        .toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
+        .groupBy("doc_id").agg(F.min("text").alias("text"), F.max("_toxic").cast("long").alias("_toxic"))
+        .select(F.col("doc_id").cast("long").alias("doc_id"), "text", "_toxic", fold().cast("long").alias("_fold"))
     )
-    return train(
-        rows["text"].combine_chunks(), rows["_toxic"].to_numpy().astype(np.int64), rows["_fold"].to_numpy() == CALIBRATION)
+    names, kinds = zip(*[c.split() for c in _SAMPLE_COLUMNS.split(", ")])
+    schema = pa.schema([(n, pa.string() if k == "string" else pa.int64()) for n, k in zip(names, kinds)])
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = _learn(pa.Table.from_batches([b.cast(schema) for b in batches], schema))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+
+    learnt = rows.coalesce(1).mapInArrow(learn, "model binary").first()  # 2 * sample rows
+    return pickle.loads(learnt["model"]) if learnt else _learn(schema.empty_table())
 
 
 def score(docs: DataFrame, model: Model, keep_text: bool = False) -> DataFrame:
