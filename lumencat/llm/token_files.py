@@ -46,7 +46,7 @@ def tokenize(
         encoder, squeeze = _encoder(tokenizer, added_tokens), zstandard.ZstdCompressor(3)
         end = np.array([end_id], encoder.dtype).tobytes()
         for batch in batches:
-            ids = pa.array([squeeze.compress(encoder.encode(t.as_py()) + end) for t in batch.column(2)], pa.binary())
+            ids = pa.array([squeeze.compress(ids + end) for ids in encoder.encode_all(batch.column(2))], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), ids], ["key", "doc_id", "ids"])
 
     return rows.mapInArrow(run, schema)

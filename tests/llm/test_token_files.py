@@ -4,13 +4,14 @@ import heapq
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from lumencat.llm import token_files
+from lumencat.llm import bpe, token_files
 from lumencat.llm.bpe import Encoder
 from lumencat.llm.huffman import Code, code_lengths
 from lumencat.llm.queries import QUERIES
@@ -18,7 +19,7 @@ from lumencat.llm.queries import QUERIES
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 PLAIN = Tokenizer.from_file(PATH)
 PLAIN.encode_special_tokens = True
-ENCODER = Encoder(PATH, remembered=40)
+ENCODER = Encoder(PATH)
 
 #: What a cut at blanks could get wrong.
 _PARTS = st.sampled_from([
@@ -34,6 +35,17 @@ def test_pieces_give_the_ids_of_the_whole_text(text):
     assert ids == PLAIN.encode(text, add_special_tokens=False).ids
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(max_size=30), st.lists(st.one_of(_PARTS, st.sampled_from([
+    " aaaaaaaaab", " of.\nThe", " x***", " naïve×2", " 12,345", " señor.", "\nend\n", " ¿qué",
+])), max_size=12).map("".join)), min_size=1, max_size=8), st.sampled_from([1, 40, bpe.RUN]))
+def test_texts_together_give_the_ids_of_each_alone(texts, run):
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(bpe, "RUN", run)
+        got = [np.frombuffer(ids, ENCODER.dtype).tolist() for ids in ENCODER.encode_all(pa.array(texts, pa.string()))]
+    assert got == [PLAIN.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
 def _huffman_bits(counts):
     heap = list(counts)
     heapq.heapify(heap)
@@ -112,7 +124,7 @@ def test_files_are_in_order_and_blocks_alone(spark, odd_docs):
 
 
 LIBRARY = Tokenizer.from_file(PATH)  # unchanged
-DEFAULT = Encoder(PATH, remembered=40, added_tokens=True)
+DEFAULT = Encoder(PATH, added_tokens=True)
 
 
 @settings(max_examples=400, deadline=None)
