@@ -33,7 +33,7 @@ _CLASS[[*range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1), *range(0
 _CLASS[ord("\n")] = _LINE
 _SIGNS_IN_LETTERS = (0x97, 0xB7)
 #: Bytes of text whose pieces are numbered together.
-RUN = 1 << 24
+RUN = 1 << 23
 
 
 def _byte_letters() -> list[str]:
