@@ -31,6 +31,16 @@ def _encoder(tokenizer: str, added_tokens: bool = False) -> Encoder:
     return Encoder(tokenizer, added_tokens=added_tokens)
 
 
+def _id_bytes(spark: SparkSession, tokenizer: str) -> int:
+    """Bytes of an id, as a task finds them: the driver need not load the vocabulary."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([_encoder(tokenizer).dtype.itemsize])], ["n"])
+
+    return spark.range(1, numPartitions=1).mapInArrow(run, "n long").first()["n"]
+
+
 def tokenize(
     docs: DataFrame, tokenizer: str, end_id: int = 0, order: Sequence[Column] | None = None, added_tokens: bool = False,
 ) -> DataFrame:
@@ -126,7 +136,7 @@ def write(
     """
     spark = docs.sparkSession
     path = path or fresh_path(spark, "token-files")
-    width = _encoder(tokenizer, added_tokens).dtype.itemsize
+    width = _id_bytes(spark, tokenizer)
     tokens = materialize(tokenize(docs, tokenizer, end_id, order, added_tokens), "ids")
     counts = id_counts(tokens, width).toPandas()
     totals = np.zeros(int(counts["id"].max()) + 1 if len(counts) else 1, np.int64)
