@@ -12,6 +12,7 @@ a null doc_id pass every filter that their text passes.
 from __future__ import annotations
 
 import functools
+import gc
 from collections.abc import Callable
 
 import public_tokenizers
@@ -36,6 +37,9 @@ def _stage(work: Stage) -> Stage:
         ship(spark)
         remove(spark, _left_over)
         _left_over.clear()
+        # Plans, broadcasts and shuffle files of the stages before are dropped once nothing refers to them.
+        gc.collect()
+        spark._jvm.System.gc()
         with intermediates() as made:
             out = work(spark, docs, sf_dir)
         _left_over.extend(made)
@@ -74,7 +78,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def _written_order(docs: DataFrame) -> list:
     """The order of the rows in the files that ``docs`` reads; doc_id where it reads no files."""
-    order = [F.col("_metadata.file_name"), F.col("_metadata.row_index")]
+    # The number in a name is padded to five digits, beyond which names no longer sort by it.
+    number = F.regexp_extract(F.col("_metadata.file_name"), r"^part-(\d+)", 1)
+    order = [F.length(number), number, F.col("_metadata.file_name"), F.col("_metadata.row_index")]
     try:
         docs.select(*order).schema  # noqa: B018 - resolves the columns
     except AnalysisException:
