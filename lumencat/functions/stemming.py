@@ -1,135 +1,121 @@
-"""English stemming after the published Snowball "English" (Porter 2) description."""
+"""English stems after the published Snowball "English" (Porter 2) description, as column expressions.
+
+Each step of the description is a projection of its own over a table of words, so a step reads what
+the one before made and nothing is worked out twice. Meant for a dictionary of distinct words, which
+is written: a filter on stems would otherwise be taken down through the steps, and grow with each.
+"""
 
 from __future__ import annotations
 
-# Fixed values of the published algorithm: letters, suffix rules and exceptions.
-_VOWELS = frozenset("aeiouy")
-_DOUBLES = ("bb", "dd", "ff", "gg", "mm", "nn", "pp", "rr", "tt")
-_LI_BEFORE = frozenset("cdeghkmnrt")
-_WHOLE = {
+from pyspark.sql import Column, DataFrame, functions as F
+
+from lumencat.sources.storage import materialize
+
+# Fixed values of the published algorithm: suffix rules and exceptions.
+WHOLE = {
     "skis": "ski", "skies": "sky", "dying": "die", "lying": "lie", "tying": "tie", "idly": "idl",
     "gently": "gentl", "ugly": "ugli", "early": "earli", "only": "onli", "singly": "singl",
     "sky": "sky", "news": "news", "howe": "howe", "atlas": "atlas", "cosmos": "cosmos",
     "bias": "bias", "andes": "andes",
 }
-_KEPT_AFTER_PLURAL = frozenset((
-    "inning", "outing", "canning", "herring", "earring", "proceed", "exceed", "succeed",
-))
-_LONG_PREFIXES = ("gener", "commun", "arsen")
-_STEP_2 = (
-    ("ization", "ize"), ("ational", "ate"), ("fulness", "ful"), ("ousness", "ous"),
-    ("iveness", "ive"), ("tional", "tion"), ("biliti", "ble"), ("lessli", "less"),
-    ("entli", "ent"), ("ation", "ate"), ("alism", "al"), ("aliti", "al"), ("ousli", "ous"),
-    ("iviti", "ive"), ("fulli", "ful"), ("enci", "ence"), ("anci", "ance"), ("abli", "able"),
-    ("izer", "ize"), ("ator", "ate"), ("alli", "al"), ("bli", "ble"), ("ogi", "og"), ("li", ""),
-)
-_STEP_3 = (
-    ("ational", "ate"), ("tional", "tion"), ("alize", "al"), ("icate", "ic"), ("iciti", "ic"),
-    ("ative", ""), ("ical", "ic"), ("ness", ""), ("ful", ""),
-)
-_STEP_4 = (
-    "ement", "ance", "ence", "able", "ible", "ment", "ant", "ent", "ism", "ate", "iti", "ous",
-    "ive", "ize", "ion", "al", "er", "ic",
+KEPT_AFTER_PLURAL = ("inning", "outing", "canning", "herring", "earring", "proceed", "exceed", "succeed")
+LONG_PREFIXES = ("gener", "commun", "arsen")
+STEP_2 = {
+    "ization": "ize", "ational": "ate", "fulness": "ful", "ousness": "ous", "iveness": "ive", "tional": "tion",
+    "biliti": "ble", "lessli": "less", "entli": "ent", "ation": "ate", "alism": "al", "aliti": "al", "ousli": "ous",
+    "iviti": "ive", "fulli": "ful", "enci": "ence", "anci": "ance", "abli": "able", "izer": "ize", "ator": "ate",
+    "alli": "al", "bli": "ble", "ogi": "og", "li": "",
+}
+STEP_3 = {
+    "ational": "ate", "tional": "tion", "alize": "al", "icate": "ic", "iciti": "ic", "ative": "", "ical": "ic",
+    "ness": "", "ful": "",
+}
+STEP_4 = (
+    "ement", "ance", "ence", "able", "ible", "ment", "ant", "ent", "ism", "ate", "iti", "ous", "ive", "ize", "ion",
+    "al", "er", "ic",
 )
-
-
-def _region(word: str, start: int) -> int:
-    """Index just past the first consonant that follows a vowel, from ``start`` on."""
-    for i in range(start + 1, len(word)):
-        if word[i] not in _VOWELS and word[i - 1] in _VOWELS:
-            return i + 1
-    return len(word)
-
-
-def _ends_short(word: str) -> bool:
-    if len(word) == 2:
-        return word[0] in _VOWELS and word[1] not in _VOWELS
-    return (
-        len(word) > 2
-        and word[-1] not in _VOWELS and word[-1] not in "wxY"
-        and word[-2] in _VOWELS and word[-3] not in _VOWELS
+# A consonant after a vowel, from the start; a short syllable at the end; letters before -li.
+REGION = "^.*?[aeiouy][^aeiouy]"
+SHORT = "(^[aeiouy][^aeiouy]|[^aeiouy][aeiouy][^aeiouywxY])$"
+DOUBLE = "(bb|dd|ff|gg|mm|nn|pp|rr|tt)$"
+LI_BEFORE = "[cdeghkmnrt]$"
+
+
+def _without(word: Column, n: Column | int) -> Column:
+    return F.left(word, F.length(word) - n)
+
+
+def _region(word: Column) -> Column:
+    """How many letters precede the region after the first consonant that follows a vowel."""
+    found = F.length(F.regexp_extract(word, REGION, 0))
+    return F.when(found > 0, found).otherwise(F.length(word))
+
+
+def _suffix(word: Column, suffixes) -> Column:
+    """The longest of the suffixes that the word ends with; '' where there is none."""
+    return F.regexp_extract(word, f"({'|'.join(suffixes)})$", 1)
+
+
+def _chosen(value: Column, choices: dict[str, str]) -> Column:
+    out = F.lit(None).cast("string")
+    for key, new in choices.items():
+        out = F.when(value == key, new).otherwise(out)
+    return out
+
+
+def with_stems(words: DataFrame, column: str = "term", name: str = "stem") -> DataFrame:
+    """``words`` with the stem of the lower-case word in ``column`` as ``name``, in place of a column so named."""
+    kept = [F.col(f"`{c}`") for c in words.columns if c != name]
+    term, w, r1, r2, s, stem = F.col(f"`{column}`"), F.col("__w"), F.col("__r1"), F.col("__r2"), F.col("__s"), F.col("__stem")
+    regions, final = [r1, r2], F.col("__final")
+    # A y that begins the word or follows a vowel is a consonant, written Y.
+    marked = F.regexp_replace(F.regexp_replace(term, "^y", "Y"), "([aeiou])y", "$1Y")
+    df = words.select(*kept, F.when(F.length(term) < 3, term).otherwise(_chosen(term, WHOLE)).alias("__final"), marked.alias("__w"))
+    first = _region(w)
+    for prefix in LONG_PREFIXES:
+        first = F.when(w.startswith(prefix), len(prefix)).otherwise(first)
+    df = df.select(*kept, final, w, first.alias("__r1"))
+    df = df.select(*kept, final, w, r1, (r1 + _region(F.substr(w, r1 + 1))).alias("__r2"))
+    # Plurals.
+    plural = (
+        F.when(w.endswith("sses"), _without(w, 2))
+        .when(w.rlike("(ied|ies)$"), F.when(F.length(w) > 4, _without(w, 2)).otherwise(_without(w, 1)))
+        .when(w.rlike("[us]s$") | ~w.endswith("s") | ~_without(w, 2).rlike("[aeiouy]"), w)
+        .otherwise(_without(w, 1))
     )
-
-
-def _has_vowel(part: str) -> bool:
-    return any(c in _VOWELS for c in part)
-
-
-def _plural(word: str) -> str:
-    if word.endswith("sses"):
-        return word[:-2]
-    if word.endswith(("ied", "ies")):
-        return word[:-2] if len(word) > 4 else word[:-1]
-    if word.endswith(("us", "ss")) or not word.endswith("s"):
-        return word
-    return word[:-1] if _has_vowel(word[:-2]) else word
-
-
-def _past(word: str, r1: int) -> str:
-    for suffix in ("eedly", "eed"):
-        if word.endswith(suffix):
-            return word[: -len(suffix)] + "ee" if len(word) - len(suffix) >= r1 else word
-    for suffix in ("ingly", "edly", "ing", "ed"):
-        if word.endswith(suffix):
-            stem = word[: -len(suffix)]
-            if not _has_vowel(stem):
-                return word
-            if stem.endswith(("at", "bl", "iz")):
-                return stem + "e"
-            if stem.endswith(_DOUBLES):
-                return stem[:-1]
-            return stem + "e" if r1 >= len(stem) and _ends_short(stem) else stem
-    return word
-
-
-def _derived(word: str, r1: int, r2: int) -> str:
-    for suffix, new in _STEP_2:
-        if word.endswith(suffix):
-            stem = word[: -len(suffix)]
-            allowed = {"ogi": stem.endswith("l"), "li": stem[-1:] in _LI_BEFORE}.get(suffix, True)
-            if len(stem) >= r1 and allowed:
-                word = stem + new
-            break
-    for suffix, new in _STEP_3:
-        if word.endswith(suffix):
-            at = len(word) - len(suffix)
-            if at >= r1 and (suffix != "ative" or at >= r2):
-                word = word[:at] + new
-            break
-    for suffix in _STEP_4:
-        if word.endswith(suffix):
-            stem = word[: -len(suffix)]
-            if len(stem) >= r2 and (suffix != "ion" or stem[-1:] in ("s", "t")):
-                word = stem
-            break
-    return word
-
-
-def stem(word: str) -> str:
-    """The stem of one lower-case word."""
-    if len(word) < 3:
-        return word
-    if word in _WHOLE:
-        return _WHOLE[word]
-    # A consonantal y is written Y, so that it counts as a consonant.
-    word = "".join(
-        "Y" if c == "y" and (i == 0 or word[i - 1] in _VOWELS and word[i - 1] != "y") else c
-        for i, c in enumerate(word)
+    df = df.select(*kept, final, plural.alias("__w"), *regions)
+    df = df.select(*kept, F.coalesce(final, F.when(F.lower(w).isin(*KEPT_AFTER_PLURAL), F.lower(w))).alias("__final"), w, *regions)
+    # -ed and -ing.
+    df = df.select(*kept, final, w, *regions, F.coalesce(F.nullif(_suffix(w, ("eedly", "eed")), F.lit("")), _suffix(w, ("ingly", "edly", "ing", "ed"))).alias("__s"))
+    df = df.select(*kept, final, w, *regions, s, _without(w, F.length(s)).alias("__stem"))
+    past = (
+        F.when(s == "", w)
+        .when(s.startswith("eed"), F.when(F.length(stem) >= r1, F.concat(stem, F.lit("ee"))).otherwise(w))
+        .when(~stem.rlike("[aeiouy]"), w)
+        .when(stem.rlike("(at|bl|iz)$"), F.concat(stem, F.lit("e")))
+        .when(stem.rlike(DOUBLE), _without(stem, 1))
+        .when((r1 >= F.length(stem)) & stem.rlike(SHORT), F.concat(stem, F.lit("e")))
+        .otherwise(stem)
+    )
+    df = df.select(*kept, final, past.alias("__w"), *regions)
+    df = df.select(*kept, final, F.regexp_replace(w, "^(.+[^aeiouy])[yY]$", "$1i").alias("__w"), *regions)
+    # Derivations.
+    for rules in (STEP_2, STEP_3, dict.fromkeys(STEP_4, "")):
+        df = df.select(*kept, final, w, *regions, _suffix(w, rules).alias("__s"))
+        df = df.select(*kept, final, w, *regions, s, _without(w, F.length(s)).alias("__stem"))
+        inside = F.length(stem) >= (r1 if rules in (STEP_2, STEP_3) else r2)
+        if rules is STEP_2:
+            inside = inside & ((s != "ogi") | stem.endswith("l")) & ((s != "li") | stem.rlike(LI_BEFORE))
+        elif rules is STEP_3:
+            inside = inside & ((s != "ative") | (F.length(stem) >= r2))
+        else:
+            inside = inside & ((s != "ion") | stem.rlike("[st]$"))
+        df = df.select(*kept, final, F.when((s != "") & inside, F.concat(stem, _chosen(s, rules))).otherwise(w).alias("__w"), *regions)
+    # A last e or l.
+    short = _without(w, 1)
+    ended = (
+        F.when(w.endswith("e") & ((F.length(short) >= r2) | ((F.length(short) >= r1) & ~short.rlike(SHORT))), short)
+        .when(w.endswith("ll") & (F.length(short) >= r2), short)
+        .otherwise(w)
     )
-    prefix = next((p for p in _LONG_PREFIXES if word.startswith(p)), None)
-    r1 = len(prefix) if prefix else _region(word, 0)
-    r2 = _region(word, r1)
-    word = _plural(word)
-    if word.lower() in _KEPT_AFTER_PLURAL:
-        return word.lower()
-    word = _past(word, r1)
-    if len(word) > 2 and word[-1] in "yY" and word[-2] not in _VOWELS:
-        word = word[:-1] + "i"
-    word = _derived(word, r1, r2)
-    if word.endswith("e"):
-        at = len(word) - 1
-        if at >= r2 or at >= r1 and not _ends_short(word[:-1]):
-            word = word[:-1]
-    elif word.endswith("ll") and len(word) - 1 >= r2:
-        word = word[:-1]
-    return word.lower()
+    return materialize(df.select(*kept, F.coalesce(final, F.lower(ended)).alias(name)), "stems")

@@ -1,23 +1,15 @@
 """Text configurations: how a text becomes an array of index terms.
 
 ``simple``   lower case, split on everything that is not a letter or digit.
-``english``  the same, then stop words out and every word stemmed.
+``english``  the same, then stop words out and every word stemmed, through a dictionary of distinct words.
 """
 
 from __future__ import annotations
 
-import sys
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
-
-from lumencat.functions import stemming
-
-# Executors need not have this package installed: its functions travel with the query.
-cloudpickle.register_pickle_by_value(stemming)
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+from lumencat.functions.stemming import with_stems
+from lumencat.sources.storage import materialize
 
 _SEPARATORS = r"[^\p{L}\p{N}]+"
 _COMPOUND = r"[\p{L}\p{N}]+(?:\.[\p{L}\p{N}]+)*"
@@ -34,18 +26,8 @@ t can will just don should now
 """.split()
 
 
-@F.arrow_udf(T.ArrayType(T.StringType()))
-def _stem_all(terms: pa.Array) -> pa.Array:
-    # Works on whole Arrow batches: only the distinct words of a batch go through the stemmer.
-    words = terms.flatten().dictionary_encode()
-    stems = pa.array([stemming.stem(w) for w in words.dictionary.to_pylist()], pa.string())
-    ends = pc.cumulative_sum(pc.list_value_length(terms)).cast(pa.int32())
-    offsets = pa.concat_arrays([pa.array([0], pa.int32()), ends])
-    return pa.ListArray.from_arrays(offsets, stems.take(words.indices))
-
-
 def terms(text: Column, config: str = "simple", keep_compound: bool = False) -> Column:
-    """Index terms of a text, in order and with repeats; NULL counts as empty text.
+    """Words of a text, in order and with repeats, before they are stemmed; NULL counts as empty text.
 
     ``keep_compound`` keeps dotted names such as ``clip1.mp4`` in one piece.
     """
@@ -58,7 +40,7 @@ def terms(text: Column, config: str = "simple", keep_compound: bool = False) ->
         return words
     if config != "english":
         raise ValueError(f"unknown text configuration {config!r}")
-    return _stem_all(F.filter(words, lambda w: ~w.isin(*ENGLISH_STOP_WORDS)))
+    return F.filter(words, lambda w: ~w.isin(*ENGLISH_STOP_WORDS))
 
 
 def counted_terms(
@@ -66,7 +48,10 @@ def counted_terms(
 ) -> DataFrame:
     """One row per row and distinct term of column ``text``, with its frequency ``tf``.
 
-    The terms of a text are sorted inside their row and counted run by run, so nothing is shuffled.
+    The words of a text are sorted inside their row and counted run by run, so nothing is shuffled.
+    With ``english`` those counts are written, each distinct word is stemmed once, the dictionary is
+    joined back (broadcast where it is small) and words of one stem are added up: rows that agree in
+    all other columns then count as one.
     """
     kept = [c for c in rows.columns if c != text]
     words, n = F.col("__words"), F.size("__words")
@@ -85,12 +70,26 @@ def counted_terms(
             (F.coalesce(F.get("__starts", i + 1), n) - start).cast("long").alias("tf"),
         ),
     )
-    return laid.select(*kept, F.inline(runs))
+    counted = laid.select(*kept, F.inline(runs))
+    if config == "simple":
+        return counted
+    counted = materialize(counted, "words")
+    dictionary = with_stems(counted.select("term").distinct())
+    stemmed = counted.join(dictionary, "term").groupBy(*kept, F.col("stem").alias("term"))
+    return stemmed.agg(F.sum("tf").alias("tf"))
+
+
+def asked_terms(queries: DataFrame, config: str = "simple", keep_compound: bool = False) -> DataFrame:
+    """(query_id, term): the distinct terms of each query (query_id, query)."""
+    words = queries.select("query_id", F.explode(F.array_distinct(terms(F.col("query"), config, keep_compound))).alias("term"))
+    if config == "simple":
+        return words
+    return with_stems(words).select("query_id", F.col("stem").alias("term")).distinct()
 
 
 def query_terms(
     spark: SparkSession, query: str, config: str = "simple", keep_compound: bool = False,
 ) -> list[str]:
-    """Distinct terms of one query text, by the very expression that builds the index."""
-    one = spark.range(1).select(F.array_sort(F.array_distinct(terms(F.lit(query), config, keep_compound))))
-    return one.first()[0]
+    """Distinct terms of one query text, by the very expressions that build the index."""
+    one = spark.range(1).select(F.col("id").alias("query_id"), F.lit(query).alias("query"))
+    return sorted(r["term"] for r in asked_terms(one, config, keep_compound).select("term").collect())

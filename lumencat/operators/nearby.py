@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lumencat.functions import geo
+from lumencat.operators.ordered import rank_rows
 from lumencat.sources.storage import materialize
 
 # Cells of the nearest-neighbour tree: edge of the root cells in degrees, and the finest level. Every
@@ -20,17 +21,18 @@ LEVELS_PER_PASS = 3
 
 
 def nearby(assets: DataFrame, latitude: float, longitude: float, radius: float = 1000) -> DataFrame:
-    """assets within ``radius`` metres (inclusive) of one point, nearest first.
+    """assets within ``radius`` metres (inclusive) of one point with their ``rank`` from 1, nearest first.
 
-    The box conditions reach the scan; the exact distance is computed for what is left.
+    The box conditions reach the scan; the exact distance is computed for what is left. Distances
+    that agree to the millimetre tie, by id.
     """
     lon, lat = F.col("lon"), F.col("lat")
-    return (
+    near = (
         assets.where(geo.within_box(lon, lat, longitude, latitude, radius))
         .withColumn("distance", geo.haversine(lon, lat, F.lit(longitude), F.lit(latitude)))
         .where(F.col("distance") <= radius)
-        .orderBy("distance", "id")
     )
+    return rank_rows(near, [F.round("distance", 3), "id"], "rank").orderBy("rank")
 
 
 def nearby_join(assets: DataFrame, centres: DataFrame, radius: float) -> DataFrame:

@@ -10,13 +10,16 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lumencat.functions.text import counted_terms, query_terms, terms
+from lumencat.functions.text import asked_terms, counted_terms, query_terms
 from lumencat.operators.catalog import tag_names
+from lumencat.operators.ordered import rank_rows
 from lumencat.sources.storage import materialize
 
 # The documented default weights of the four classes.
 CLASS_WEIGHTS = {"A": 1.0, "B": 0.4, "C": 0.2, "D": 0.1}
 BM25_K1, BM25_B = 1.2, 0.75
+# Sums in another order differ beyond these digits.
+DIGITS = 6
 
 
 def field_postings(
@@ -123,10 +126,7 @@ def match_batch(
     Each query starts from its rarest term, so common terms are only looked up for documents that
     can still match, by (id, term).
     """
-    words = queries.select(
-        "query_id", F.explode(F.array_distinct(terms(F.col("query"), config, keep_compound))).alias("term")
-    )
-    words = materialize(words, "query-terms")
+    words = materialize(asked_terms(queries, config, keep_compound), "query-terms")
     asked = words.select("term").distinct()
     sizes = materialize(
         postings.select("term").join(asked, "term", "left_semi")
@@ -156,15 +156,15 @@ def match_batch(
 
 
 def rank(matches: DataFrame) -> DataFrame:
-    """best first, ties by id."""
-    return matches.orderBy(F.desc("score"), "id")
+    """``matches`` with their ``rank`` from 1, best first; scores that agree to ``DIGITS`` digits tie, by id."""
+    return rank_rows(matches, [F.round("score", DIGITS).desc(), "id"], "rank").orderBy("rank")
 
 
 def search(
     assets: DataFrame, links: DataFrame, tags: DataFrame, postings: DataFrame, query: str,
     config: str = "simple", keep_compound: bool = False, scorer: str = "weighted_tf",
 ) -> DataFrame:
-    """(id, file_name, asset_type, tags, score) of matching assets, best first."""
+    """(id, file_name, asset_type, tags, score, rank) of matching assets, best first."""
     found = materialize(match(postings, query, config, keep_compound, scorer), "matches")
     named = tag_names(links.join(found.select(F.col("id").alias("asset_id")), "asset_id", "left_semi"), tags)
     rows = (

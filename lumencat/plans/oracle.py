@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from lumencat.functions import stemming
+from lumencat.functions.text import ENGLISH_STOP_WORDS
+
 # Shared sub-queries.
 _ASSETS = """assets AS (
   SELECT o_orderkey AS id, o_orderstatus AS asset_type, o_orderpriority AS file_name,
@@ -82,6 +85,50 @@ words AS (
   SELECT id, 'A' AS weight, unnest({_split('file_name')}) AS term FROM assets UNION ALL
   SELECT asset_id, 'B', unnest({_split('name')}) FROM links JOIN tags ON tags.id = tag_id),
 postings AS (SELECT id, weight, term, count(*) AS tf FROM words WHERE term <> '' GROUP BY ALL)"""
+_BY_SCORE = "row_number() OVER (ORDER BY score DESC, id) AS rank"
+
+
+def _mapped(value: str, choices: dict[str, str]) -> str:
+    return f"CASE {value} {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in choices.items())} END"
+
+
+def _step(n: int, rules, inside: str, r: str) -> str:
+    """One step of suffixes: the longest one is replaced if what is left reaches into the region."""
+    new = _mapped("s", rules) if isinstance(rules, dict) else "''"
+    return f"""d{n}a AS (SELECT *, regexp_extract(w, '({'|'.join(rules)})$') AS s FROM d{n - 1}),
+d{n} AS (SELECT term, done, r1, r2, CASE WHEN s <> '' AND length(w) - length(s) >= {r} AND ({inside})
+  THEN left(w, length(w) - length(s)) || {new} ELSE w END AS w FROM d{n}a)"""
+
+
+# Stop words out, a dictionary of stems by the published steps, and words of one stem added up.
+_ENGLISH = f"""{_POSTINGS},
+d0 AS (SELECT term, CASE WHEN length(term) < 3 THEN term ELSE {_mapped('term', stemming.WHOLE)} END AS done,
+  regexp_replace(regexp_replace(term, '^y', 'Y'), '([aeiou])y', '\\1Y', 'g') AS w
+  FROM (SELECT DISTINCT term FROM postings WHERE term NOT IN ({', '.join(f"'{x}'" for x in ENGLISH_STOP_WORDS)}))),
+d1a AS (SELECT *, CASE {' '.join(f"WHEN starts_with(w, '{x}') THEN {len(x)}" for x in stemming.LONG_PREFIXES)}
+  ELSE coalesce(nullif(length(regexp_extract(w, '{stemming.REGION}')), 0), length(w)) END AS r1 FROM d0),
+d1b AS (SELECT *, r1 + coalesce(nullif(length(regexp_extract(substr(w, r1 + 1), '{stemming.REGION}')), 0), length(w) - r1) AS r2 FROM d1a),
+d1c AS (SELECT * REPLACE (CASE WHEN ends_with(w, 'sses') THEN left(w, length(w) - 2)
+  WHEN regexp_matches(w, '(ied|ies)$') THEN left(w, length(w) - CASE WHEN length(w) > 4 THEN 2 ELSE 1 END)
+  WHEN regexp_matches(w, '[us]s$') OR NOT ends_with(w, 's') OR NOT regexp_matches(left(w, length(w) - 2), '[aeiouy]') THEN w
+  ELSE left(w, length(w) - 1) END AS w) FROM d1b),
+d1d AS (SELECT * REPLACE (coalesce(done, CASE WHEN lower(w) IN {stemming.KEPT_AFTER_PLURAL} THEN lower(w) END) AS done),
+  coalesce(nullif(regexp_extract(w, '(eedly|eed)$'), ''), regexp_extract(w, '(ingly|edly|ing|ed)$')) AS s FROM d1c),
+d1e AS (SELECT *, left(w, length(w) - length(s)) AS x FROM d1d),
+d1f AS (SELECT term, done, r1, r2, CASE WHEN s = '' THEN w
+  WHEN starts_with(s, 'eed') THEN CASE WHEN length(x) >= r1 THEN x || 'ee' ELSE w END
+  WHEN NOT regexp_matches(x, '[aeiouy]') THEN w WHEN regexp_matches(x, '(at|bl|iz)$') THEN x || 'e'
+  WHEN regexp_matches(x, '{stemming.DOUBLE}') THEN left(x, length(x) - 1)
+  WHEN r1 >= length(x) AND regexp_matches(x, '{stemming.SHORT}') THEN x || 'e' ELSE x END AS w FROM d1e),
+d1 AS (SELECT * REPLACE (regexp_replace(w, '^(.+[^aeiouy])[yY]$', '\\1i') AS w) FROM d1f),
+{_step(2, stemming.STEP_2, "(s <> 'ogi' OR regexp_matches(w, 'logi$')) AND (s <> 'li' OR regexp_matches(w, '[cdeghkmnrt]li$'))", 'r1')},
+{_step(3, stemming.STEP_3, "s <> 'ative' OR length(w) - 5 >= r2", 'r1')},
+{_step(4, stemming.STEP_4, "s <> 'ion' OR regexp_matches(w, '[st]ion$')", 'r2')},
+d5 AS (SELECT *, left(w, length(w) - 1) AS x FROM d4),
+stems AS (SELECT term, coalesce(done, lower(CASE
+  WHEN ends_with(w, 'e') AND (length(x) >= r2 OR length(x) >= r1 AND NOT regexp_matches(x, '{stemming.SHORT}')) THEN x
+  WHEN ends_with(w, 'll') AND length(x) >= r2 THEN x ELSE w END)) AS stem FROM d5),
+english AS (SELECT id, weight, stem AS term, CAST(sum(tf) AS BIGINT) AS tf FROM postings JOIN stems USING (term) GROUP BY ALL)"""
 _PART = "(CASE weight WHEN 'A' THEN 1.0::DOUBLE ELSE 0.4::DOUBLE END) * tf / (tf + 1.0::DOUBLE)"
 _PUTS = """puts AS (
   SELECT CAST(user_id AS VARCHAR) AS key, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, ts AS write_ts,
@@ -323,8 +370,16 @@ ORACLE: dict[str, str] = {
     "text_index_catalog": f"WITH {_CATALOG_POSTINGS} SELECT id, weight, term, tf FROM postings",
     "text_vocabulary": f"""WITH {_POSTINGS} SELECT term, count(DISTINCT id) AS documents,
         CAST(sum(tf) AS BIGINT) AS occurrences FROM postings GROUP BY term""",
-    "text_match": f"""WITH {_POSTINGS} SELECT id, round(sum({_PART}), 6) AS score FROM postings
-        WHERE term IN ('the', 'en', 'and', 'of') GROUP BY id HAVING count(DISTINCT term) = 4""",
+    "text_match": f"""WITH {_POSTINGS} SELECT *, {_BY_SCORE} FROM (SELECT id, round(sum({_PART}), 6) AS score FROM postings
+        WHERE term IN ('the', 'en', 'and', 'of') GROUP BY id HAVING count(DISTINCT term) = 4)""",
+    "text_index_english": f"WITH {_ENGLISH} SELECT id, weight, term, tf FROM english",
+    "text_match_english": f"""WITH {_ENGLISH} SELECT *, {_BY_SCORE} FROM (SELECT id, round(sum({_PART}), 6) AS score FROM english
+        WHERE term IN ('en', 'ing') GROUP BY id HAVING count(DISTINCT term) = 2)""",
+    "text_search_english": f"""WITH {_ENGLISH.replace(_POSTINGS, _CATALOG_POSTINGS)}, found AS (
+          SELECT id, round(sum({_PART}), 6) AS score FROM english WHERE term IN ('small', 'low') GROUP BY id
+          HAVING count(DISTINCT term) = 2)
+        SELECT id, file_name, asset_type, coalesce(array_to_string(names, ','), '') AS tags, score, {_BY_SCORE}
+        FROM found JOIN assets USING (id) LEFT JOIN lists ON asset_id = id""",
     "text_match_bm25f": f"""WITH {_POSTINGS},
         lengths AS (SELECT id, weight, sum(tf) AS length FROM postings GROUP BY ALL),
         averages AS (SELECT weight, avg(length) AS average FROM lengths GROUP BY weight),
@@ -335,9 +390,9 @@ ORACLE: dict[str, str] = {
                  / (0.25::DOUBLE + 0.75::DOUBLE * length / average)) AS pseudo
           FROM hits h JOIN lengths l ON l.id = h.id AND l.weight = h.weight JOIN averages a ON a.weight = h.weight
           GROUP BY ALL)
-        SELECT id, round(sum(ln(1 + ((SELECT count(DISTINCT id) FROM postings) - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE))
+        SELECT *, {_BY_SCORE} FROM (SELECT id, round(sum(ln(1 + ((SELECT count(DISTINCT id) FROM postings) - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE))
                * pseudo / (1.2::DOUBLE + pseudo)), 6) AS score
-        FROM parts JOIN holders USING (term) GROUP BY id HAVING count(*) = 4""",
+        FROM parts JOIN holders USING (term) GROUP BY id HAVING count(*) = 4)""",
     "text_match_batch": f"""WITH {_POSTINGS}, asked AS (
           SELECT DISTINCT item_id AS query_id, unnest({_split('text')}) AS term FROM benchmark),
         wanted AS (SELECT * FROM asked WHERE term <> ''),
@@ -349,9 +404,9 @@ ORACLE: dict[str, str] = {
     "text_search": f"""WITH {_CATALOG_POSTINGS}, found AS (
           SELECT id, round(sum({_PART}), 6) AS score FROM postings WHERE term IN ('small', 'low') GROUP BY id
           HAVING count(DISTINCT term) = 2)
-        SELECT id, file_name, asset_type, coalesce(array_to_string(names, ','), '') AS tags, score
+        SELECT id, file_name, asset_type, coalesce(array_to_string(names, ','), '') AS tags, score, {_BY_SCORE}
         FROM found JOIN assets USING (id) LEFT JOIN lists ON asset_id = id""",
-    "nearby_radius": f"""WITH {_PLACES} SELECT id, file_name, round(d, 1) AS distance
+    "nearby_radius": f"""WITH {_PLACES} SELECT id, file_name, round(d, 1) AS distance, row_number() OVER (ORDER BY round(d, 3), id) AS rank
         FROM (SELECT *, {_haversine(*_CENTRE)} AS d FROM places) WHERE d <= 2000000""",
     "nearby_batch": f"""WITH {_PLACES}, {_CENTRES} SELECT centre_id, id, round(d, 1) AS distance
         FROM (SELECT centre_id, id, {_haversine('clon', 'clat')} AS d FROM places, centres) WHERE d <= 500000""",

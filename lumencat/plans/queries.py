@@ -606,6 +606,9 @@ def text_vocabulary(spark, sf_dir):
     return search.vocabulary(search.field_postings(tables.document_texts(spark, sf_dir)))
 
 
+ENGLISH_QUERY, ENGLISH_SEARCH = "The ens, ING", "Smalls and the lows"
+
+
 def _scored(matches: DataFrame) -> DataFrame:
     return matches.withColumn("score", F.round("score", 6))
 
@@ -638,14 +641,30 @@ def text_search(spark, sf_dir):
     assets, links, tags = (f(spark, sf_dir) for f in (tables.assets, tables.links, tables.tags))
     postings = search.build_index(assets, links, tags)
     found = search.search(assets, links, tags, postings, "small LOW")
-    return _scored(found).select("id", "file_name", "asset_type", _tag_text(), "score")
+    return _scored(found).select("id", "file_name", "asset_type", _tag_text(), "score", "rank")
+
+
+@query
+def text_match_english(spark, sf_dir):
+    """F2 + F3 with stop words and stems: other forms of a word match it"""
+    postings = materialize(search.field_postings(tables.document_texts(spark, sf_dir), "english"), "postings")
+    return _scored(search.rank(search.match(postings, ENGLISH_QUERY, "english")))
+
+
+@query
+def text_search_english(spark, sf_dir):
+    """F4 with stems, over file names and tags"""
+    assets, links, tags = (f(spark, sf_dir) for f in (tables.assets, tables.links, tables.tags))
+    postings = search.build_index(assets, links, tags, "english")
+    found = search.search(assets, links, tags, postings, ENGLISH_SEARCH, "english")
+    return _scored(found).select("id", "file_name", "asset_type", _tag_text(), "score", "rank")
 
 
 @query
 def nearby_radius(spark, sf_dir):
     """F5"""
     near = nearby.nearby(tables.places(spark, sf_dir), tables.CENTRE_LAT, tables.CENTRE_LON, tables.NEAR_METRES)
-    return near.select("id", "file_name", F.round("distance", 1).alias("distance"))
+    return near.select("id", "file_name", F.round("distance", 1).alias("distance"), "rank")
 
 
 @query

@@ -10,8 +10,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumencat.functions import stemming, text
+from lumencat.functions.stemming import with_stems
 from lumencat.functions.geo import EARTH_RADIUS
 from lumencat.operators import nearby, search
+from tests import porter2
 from tests.catalog_rows import ASSETS, BARE, rows
 from tests.catalog_rows import catalog as make
 
@@ -22,14 +24,52 @@ def c(spark):
 
 
 # Pairs that the published description of the stemmer gives or implies.
-@pytest.mark.parametrize("word, stem", [
+_PAIRS = [
     ("caresses", "caress"), ("ties", "tie"), ("cries", "cri"), ("gas", "gas"), ("gaps", "gap"), ("kiwis", "kiwi"),
     ("hopping", "hop"), ("hoping", "hope"), ("luxuriated", "luxuri"), ("consistency", "consist"), ("knightly", "knight"),
     ("generously", "generous"), ("skies", "sky"), ("news", "news"), ("by", "by"), ("say", "say"), ("cry", "cri"),
     ("national", "nation"), ("relational", "relat"), ("succeed", "succeed"),
-])
-def test_stems(word, stem):
-    assert stemming.stem(word) == stem
+]
+
+
+def test_stems(spark):
+    assert [porter2.stem(word) for word, _ in _PAIRS] == [stem for _, stem in _PAIRS]
+    got = with_stems(spark.createDataFrame(_PAIRS, "term string, want string"))
+    assert [tuple(r) for r in got.where("stem != want").collect()] == []
+
+
+# From the published sample vocabulary of the stemmer, with its output.
+_SAMPLE = """
+consign consign consigned consign consigning consign consignment consign consist consist consisted consist consistency consist
+consistent consist consistently consist consisting consist consists consist consolation consol consolations consol
+consolatory consolatori console consol consoled consol consoles consol consolidate consolid consolidated consolid
+consolidating consolid consoling consol consolingly consol consols consol consonant conson consort consort consorted consort
+consorting consort conspicuous conspicu conspicuously conspicu conspiracy conspiraci conspirator conspir conspirators conspir
+conspire conspir conspired conspir conspiring conspir constable constabl constables constabl constance constanc
+constancy constanc constant constant knack knack knackeries knackeri knacks knack knag knag knave knave knaves knave
+knavish knavish kneaded knead kneading knead knee knee kneel kneel kneeled kneel kneeling kneel kneels kneel knees knee
+knell knell knelt knelt knew knew knick knick knif knif knife knife knight knight knightly knight knights knight knit knit
+knits knit knitted knit knitting knit knives knive knob knob knobs knob knock knock knocked knock knocker knocker
+knockers knocker knocking knock knocks knock knopp knopp knot knot knots knot
+""".split()
+
+
+def test_stems_of_the_published_sample(spark):
+    words = list(zip(_SAMPLE[::2], _SAMPLE[1::2]))
+    got = with_stems(spark.createDataFrame(words, "term string, stem string").withColumnRenamed("stem", "want"))
+    assert [tuple(r) for r in got.where("stem != want").collect()] == [] and got.count() == len(words)
+
+
+def test_stems_equal_the_word_by_word_form(spark):
+    """Every suffix and exception on many roots, odd letters and digits."""
+    rng = random.Random(2)
+    roots = ["", "a", "y", "gener", "commun", "arsen", "run", "hop", "fly", "say", "beaut", "eas", "xy", "é", "naïv", "1", "ss", "oy", "yy"]
+    roots += ["".join(rng.choice("aeiouybcdlnrstz") for _ in range(rng.randrange(1, 7))) for _ in range(150)]
+    ends = ["", *stemming.STEP_2, *stemming.STEP_3, *stemming.STEP_4, "s", "ies", "ied", "us", "sses", "ed", "ing", "eedly", "eed", "ingly", "edly",
+            "ated", "bling", "izes", "y", "e", "ll", "lle", "li", "ogi", "alli", "alize", "'s", ".mp4"]
+    words = sorted({r + e for r in roots for e in ends} | set(stemming.WHOLE) | set(stemming.KEPT_AFTER_PLURAL) - {""})
+    got = with_stems(spark.createDataFrame([(w,) for w in words], "term string"))
+    assert [(r.term, r.stem, porter2.stem(r.term)) for r in got.collect() if r.stem != porter2.stem(r.term)] == []
 
 
 def test_terms_and_their_counts(spark):
