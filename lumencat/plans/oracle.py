@@ -368,6 +368,14 @@ ORACLE: dict[str, str] = {
     # F
     "text_index": f"WITH {_POSTINGS} SELECT id, weight, term, tf FROM postings",
     "text_index_catalog": f"WITH {_CATALOG_POSTINGS} SELECT id, weight, term, tf FROM postings",
+    "text_index_incremental": f"""WITH {_ASSETS}, {_LINKS},
+        fa AS (SELECT a.id, CASE WHEN event_type = 'click' THEN 'click' ELSE file_name END AS file_name
+          FROM assets a LEFT JOIN events ON event_id = a.id WHERE event_type IS DISTINCT FROM 'error'),
+        fl AS (SELECT asset_id, replace(name, 'small', 'tiny') AS name FROM links JOIN fa ON fa.id = asset_id JOIN tags ON tags.id = tag_id
+          LEFT JOIN events ON event_id = asset_id WHERE NOT (coalesce(event_type, '') = 'view' AND contains(name, 'low'))),
+        words AS (SELECT id, 'A' AS weight, unnest({_split('file_name')}) AS term FROM fa
+          UNION ALL SELECT asset_id, 'B', unnest({_split('name')}) FROM fl)
+        SELECT id, weight, term, count(*) AS tf FROM words WHERE term <> '' GROUP BY ALL""",
     "text_vocabulary": f"""WITH {_POSTINGS} SELECT term, count(DISTINCT id) AS documents,
         CAST(sum(tf) AS BIGINT) AS occurrences FROM postings GROUP BY term""",
     "text_match": f"""WITH {_POSTINGS} SELECT *, {_BY_SCORE} FROM (SELECT id, round(sum({_PART}), 6) AS score FROM postings

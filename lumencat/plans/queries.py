@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from lumencat import schemas
 from lumencat.functions import geo
 from lumencat.operators import (
-    audit, cache, catalog, counts, ingest, merge, nearby, quality, search, work_queue,
+    audit, cache, catalog, counts, index_upkeep, ingest, merge, nearby, quality, search, work_queue,
 )
 from lumencat.plans import streams, tables
 from lumencat.sources.storage import SnapshotTable, fresh_path, materialize
@@ -600,6 +600,38 @@ def text_index_catalog(spark, sf_dir):
     return search.build_index(tables.assets(spark, sf_dir), tables.links(spark, sf_dir), tables.tags(spark, sf_dir))
 
 
+@query
+def text_index_incremental(spark, sf_dir):
+    """F1 kept up by changes: assets come, go and change names, then tags change names and are taken away"""
+    assets, links, tags = (f(spark, sf_dir) for f in (tables.assets, tables.links, tables.tags))
+    assets = assets.select("id", "file_name", "created_at")
+    marked = assets.join(_events(spark, sf_dir).select(F.col("event_id").alias("id"), "event_type"), "id", "left")
+    columns = ["id", "file_name"]
+    before = assets.where(F.col("created_at") < F.lit("1998-01-01").cast("timestamp")).select(*columns)
+    after = materialize(
+        marked.where(~F.col("event_type").eqNullSafe("error")).select(
+            "id", F.when(F.col("event_type") == "click", "click").otherwise(F.col("file_name")).alias("file_name")), "assets")
+    viewed = marked.where("event_type = 'view'").select(F.col("id").alias("asset_id"))
+    renamed = tags.select("id", F.replace("name", F.lit("small"), F.lit("tiny")).alias("name"))
+    low = tags.where(F.contains("name", F.lit("low"))).select(F.col("id").alias("tag_id"))
+    first = links.join(after.select(F.col("id").alias("asset_id")), "asset_id", "left_semi")
+    dropped = materialize(first.join(viewed, "asset_id", "left_semi").join(low, "tag_id", "left_semi"), "dropped")
+    second = first.join(dropped, ["asset_id", "tag_id"], "left_anti")
+
+    none = spark.createDataFrame([], audit.snapshot_changes(tags, tags, AS_OF, table="tags").schema)
+    old_links = links.join(before.select(F.col("id").alias("asset_id")), "asset_id", "left_semi")
+    new_links = first.join(before.select(F.col("id").alias("asset_id")), "asset_id", "left_anti")
+    index = index_upkeep.KeptIndex(spark, fresh_path(spark, "kept-index"))
+    index.start(before, old_links, tags)
+    changes = audit.snapshot_changes(before, after, AS_OF)
+    index.apply(1, materialize(index_upkeep.touched(changes, new_links, none, first), "pairs"), after, first, tags)
+    tag_changes = audit.snapshot_changes(tags, renamed, AS_OF, table="tags")
+    pairs = materialize(index_upkeep.touched(none, dropped, tag_changes, second), "pairs")
+    index.apply(2, pairs, after, second, renamed)
+    index.apply(2, pairs, after, second, renamed)  # comes again and counts once
+    return index.read()
+
+
 @query
 def text_vocabulary(spark, sf_dir):
     """term statistics of the documents"""
