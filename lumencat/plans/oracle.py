@@ -418,6 +418,11 @@ ORACLE: dict[str, str] = {
         FROM (SELECT *, {_haversine(*_CENTRE)} AS d FROM places) WHERE d <= 2000000""",
     "nearby_batch": f"""WITH {_PLACES}, {_CENTRES} SELECT centre_id, id, round(d, 1) AS distance
         FROM (SELECT centre_id, id, {_haversine('clon', 'clat')} AS d FROM places, centres) WHERE d <= 500000""",
+    "nearby_batch_wide": f"""WITH {_PLACES}, {_CENTRES} SELECT centre_id, id, round(d, 1) AS distance
+        FROM (SELECT centre_id, id, {_haversine('clon', 'clat')} AS d FROM places, centres) WHERE d <= 7000000""",
+    "knn_batch_haversine": f"""WITH {_PLACES}, {_CENTRES}
+        SELECT centre_id, row_number() OVER (PARTITION BY centre_id ORDER BY round(d, 3), id) AS rank, id, round(d, 1) AS distance
+        FROM (SELECT centre_id, id, {_haversine('clon', 'clat')} AS d FROM places, centres) QUALIFY rank <= 5""",
     "knn_planar": f"""WITH {_PLACES} SELECT id, file_name, round({_planar(*_CENTRE)}, 6) AS distance,
         row_number() OVER (ORDER BY {_planar(*_CENTRE)}, id) AS rank FROM places
         ORDER BY {_planar(*_CENTRE)}, id LIMIT 5""",

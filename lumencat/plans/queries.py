@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from lumencat import schemas
 from lumencat.functions import geo
 from lumencat.operators import (
-    audit, cache, catalog, counts, index_upkeep, ingest, merge, nearby, quality, search, work_queue,
+    audit, cache, catalog, counts, index_upkeep, ingest, merge, nearby, nearby_sphere, quality, search, work_queue,
 )
 from lumencat.plans import streams, tables
 from lumencat.sources.storage import SnapshotTable, fresh_path, materialize
@@ -638,6 +638,7 @@ def text_vocabulary(spark, sf_dir):
     return search.vocabulary(search.field_postings(tables.document_texts(spark, sf_dir)))
 
 
+WIDE_METRES = 7_000_000.0
 ENGLISH_QUERY, ENGLISH_SEARCH = "The ens, ING", "Smalls and the lows"
 
 
@@ -706,6 +707,13 @@ def nearby_batch(spark, sf_dir):
     return near.select("centre_id", "id", F.round("distance", 1).alias("distance"))
 
 
+@query
+def nearby_batch_wide(spark, sf_dir):
+    """F5 for many centres at a radius of a quarter of the globe"""
+    near = nearby_sphere.nearby_join(tables.places(spark, sf_dir), tables.centres(spark, sf_dir), WIDE_METRES)
+    return near.select("centre_id", "id", F.round("distance", 1).alias("distance"))
+
+
 @query
 def knn_planar(spark, sf_dir):
     """F6"""
@@ -727,6 +735,13 @@ def knn_batch(spark, sf_dir):
     return near.withColumn("distance", F.round("distance", 6))
 
 
+@query
+def knn_batch_haversine(spark, sf_dir):
+    """F6 for many centres on the sphere"""
+    near = nearby_sphere.knn_join(tables.places(spark, sf_dir), tables.centres(spark, sf_dir), 5)
+    return near.withColumn("distance", F.round("distance", 1))
+
+
 # --- G: keyed values with expiry ----------------------------------------------------------------
 
 def _early() -> Column:
