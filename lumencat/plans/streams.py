@@ -9,6 +9,7 @@ from lumencat.operators import audit, cache
 from lumencat.plans import tables
 from lumencat.sources.storage import SnapshotTable, append, fresh_path, scan_stream
 from lumencat.streaming import change_log, expiry, folds
+from lumencat.streaming.age_parts import AgeParts
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -52,7 +53,7 @@ def stream_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """H1 + H2 as a stream: every message with who got it, in which turn and micro-batch, if anyone."""
     messages = tables.messages(_events(spark, sf_dir))
-    pending = SnapshotTable(spark, fresh_path(spark, "pending"), schemas.MESSAGE_QUEUE)
+    pending = AgeParts(spark, fresh_path(spark, "pending"), width=86_400)
     claims = fresh_path(spark, "claims")
     folds.hand_out(messages, pending, claims, fresh_path(spark, "checkpoint"), 50, 4).awaitTermination()
     given = spark.read.parquet(claims).select("id", "worker", "turn", F.col("batch").cast("long").alias("batch"))

@@ -14,6 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from lumencat.operators import counts, work_queue
 from lumencat.sources.storage import SnapshotTable
+from lumencat.streaming.age_parts import AgeParts
 
 
 def _start(
@@ -43,23 +44,21 @@ def maintain_counts(
 
 
 def hand_out(
-    messages: DataFrame, pending: SnapshotTable, claims_path: str, checkpoint: str,
+    messages: DataFrame, pending: AgeParts, claims_path: str, checkpoint: str,
     per_worker: int, workers: int, trigger: dict | None = None,
 ) -> StreamingQuery:
     """H1 + H2: every micro-batch enqueues its messages and hands the oldest pending ones out.
 
-    ``pending`` keeps only the backlog. Claims are written under the batch number before the
-    backlog without them is committed.
+    A micro-batch writes its messages, its claims and the state of the open parts, and reads the
+    oldest parts only; the rest of the backlog is not touched.
     """
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        # Stored versions and micro-batches can be read again, so the backlog is written only once.
-        queue = _before(pending, batch_id).unionByName(batch.select("id", "payload", "status", "created_at"))
-        queue = queue.where("status = 'pending'")
-        none = queue.select("id").limit(0)
+        open_parts = pending.add(batch, batch_id)
+        queue = pending.oldest(open_parts, per_worker * workers)
         folder = f"{claims_path}/batch={batch_id}"
+        none = queue.select("id").limit(0)
         work_queue.claim(queue, none, per_worker, workers, batch_id).drop("batch_id").write.mode("overwrite").parquet(folder)
-        taken = queue.sparkSession.read.parquet(folder)
-        pending.commit(queue.join(taken.select("id"), "id", "left_anti"), batch_id)
+        pending.taken(open_parts, queue, queue.sparkSession.read.parquet(folder), batch_id)
 
     return _start(messages, step, checkpoint, trigger)

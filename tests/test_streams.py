@@ -4,15 +4,17 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from lumencat import schemas
-from lumencat.operators import audit, cache, counts
+from lumencat.operators import audit, cache, counts, work_queue
 from lumencat.plans.streams import ROCKSDB
 from lumencat.sources.storage import SnapshotTable, append, scan_stream
 from lumencat.streaming import change_log, expiry, folds
+from lumencat.streaming.age_parts import AgeParts
 from tests.catalog_rows import rows
 from tests.catalog_rows import catalog as make
 
@@ -50,7 +52,7 @@ def test_a_repeated_batch_does_not_count_twice(spark, tmp_path):
 
 def test_queue_over_restarts(spark, tmp_path):
     feed, claims = str(tmp_path / "feed"), str(tmp_path / "claims")
-    pending = SnapshotTable(spark, str(tmp_path / "pending"), schemas.MESSAGE_QUEUE)
+    pending = AgeParts(spark, str(tmp_path / "pending"))
     for batch in range(3):
         data = [(batch * 100 + i, "{}", "pending", T0 + (batch * 100 - i) * HOUR) for i in range(30)]
         append(spark.createDataFrame(data, schemas.MESSAGE_QUEUE).coalesce(1), feed)
@@ -154,3 +156,62 @@ def test_a_reader_outlives_a_repeated_commit(spark, tmp_path):
     assert len(list((tmp_path / "t" / "log").iterdir())) == 8
     with pytest.raises(ValueError):
         table.read(7)
+
+
+def _step(pending, claims, spark, data, batch, per_worker, workers):
+    """One micro-batch of ``hand_out`` on given messages; returns the ids handed out, oldest first."""
+    queue = spark.createDataFrame(data, schemas.MESSAGE_QUEUE)
+    open_parts = pending.add(queue, batch)
+    oldest = pending.oldest(open_parts, per_worker * workers)
+    given = work_queue.claim(oldest, oldest.select("id").limit(0), per_worker, workers, batch)
+    given.write.mode("overwrite").parquet(f"{claims}/batch={batch}")
+    given = spark.read.parquet(f"{claims}/batch={batch}")
+    pending.taken(open_parts, oldest, given, batch)
+    return [r.id for r in given.orderBy("turn", "worker").collect()], oldest
+
+
+def test_queue_takes_the_oldest_at_every_step(spark, tmp_path):
+    """Late and timeless messages, ties, parts that close and open again, and a repeated batch."""
+    pending, claims = AgeParts(spark, str(tmp_path / "pending")), str(tmp_path / "claims")
+    rng = random.Random(7)
+    backlog: dict[int, tuple] = {}
+    n = 0
+    for batch in range(6):
+        data = []
+        for _ in range([40, 0, 15, 3, 30, 2][batch]):
+            n += 1
+            at = None if n % 11 == 0 else T0 + dt.timedelta(minutes=10 * rng.randrange(40 - 5 * batch))
+            data.append((n, "{}", "done" if n % 13 == 0 else "pending", at))
+        for message in data:
+            if message[2] == "pending":
+                backlog[message[0]] = (message[3] is None, message[3] or T0, message[0])
+        want = sorted(backlog, key=backlog.get)[:12]
+        for _ in range(2 if batch in (0, 3) else 1):
+            assert _step(pending, claims, spark, data, batch, 4, 3)[0] == want
+        for taken in want:
+            del backlog[taken]
+        assert sorted(rows(pending.read(), "id")) == sorted((k,) for k in backlog)
+
+
+def test_queue_writes_no_more_than_arrives_and_goes(spark, tmp_path):
+    pending, claims = AgeParts(spark, str(tmp_path / "pending")), str(tmp_path / "claims")
+    load = lambda first, count: [(first + i, "{}", "pending", T0 + i * HOUR / 20) for i in range(count)]
+    assert _step(pending, claims, spark, load(0, 4000), 0, 5, 2)[0] == list(range(10))
+    for batch in range(1, 4):
+        taken, read = _step(pending, claims, spark, load(4000 * batch, 20), batch, 5, 2)
+        assert len(taken) == 10
+        files = spark.read.parquet(f"{tmp_path}/pending/messages").where(f"batch = {batch}")
+        assert files.count() == 20 and spark.read.parquet(f"{claims}/batch={batch}").count() == 10
+        # 200 parts of 20 messages: the state is a row per part, and a claim sees one or two of them.
+        assert pending.state.read().count() <= 201
+        assert read.select("part").distinct().count() <= 2
+
+
+def test_a_busy_part_is_read_behind_its_mark(spark, tmp_path):
+    pending, claims = AgeParts(spark, str(tmp_path / "pending"), width=10**9), str(tmp_path / "claims")
+    _step(pending, claims, spark, [(i, "{}", "pending", T0 + i * HOUR) for i in range(500)], 0, 100, 4)
+    chosen = pending.state.read().collect()
+    assert [r.pending for r in chosen] == [100]
+    assert pending._unread(chosen).count() == 101
+    plan = pending._unread(chosen)._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(age" in plan
