@@ -481,6 +481,12 @@ ORACLE: dict[str, str] = {
         ORDER BY changed_at DESC, id DESC LIMIT 10""",
     "audit_replay": f"WITH {_SNAPSHOTS} SELECT * FROM old",
     "audit_replay_now": f"WITH {_SNAPSHOTS} SELECT * FROM new",
+    "audit_replay_many": """WITH log AS (
+          SELECT user_id AS record_id, ts, max_by(event_type <> 'view', event_id) AS there,
+                 max_by(CASE WHEN event_type <> 'view' THEN props END, event_id) AS image FROM events GROUP BY user_id, ts),
+        asked AS (SELECT event_id, user_id + 1 AS record_id, ts - INTERVAL 36 HOUR AS at FROM events)
+        SELECT event_id, a.record_id, CAST(json_extract(image, '$.k') AS BIGINT) AS k, coalesce(there AND image IS NOT NULL, false) AS there
+        FROM asked a ASOF LEFT JOIN log l ON l.record_id = a.record_id AND l.ts <= a.at""",
     "stream_audit_rows": """WITH w AS (SELECT user_id AS record_id, event_id AS seq,
           CASE WHEN event_type <> 'view' THEN CAST(json_extract(props, '$.k') AS BIGINT) END AS k, event_type <> 'view' AS there FROM events),
         c AS (SELECT *, lag(k) OVER o AS old_k, coalesce(lag(there) OVER o, false) AS was FROM w WINDOW o AS (PARTITION BY record_id ORDER BY seq))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from lumencat import schemas
 from lumencat.functions import geo
 from lumencat.operators import (
-    audit, cache, catalog, counts, index_upkeep, ingest, merge, nearby, nearby_sphere, quality, search, work_queue,
+    audit, cache, catalog, counts, history, index_upkeep, ingest, merge, nearby, nearby_sphere, quality, search, work_queue,
 )
 from lumencat.plans import streams, tables
 from lumencat.sources.storage import SnapshotTable, fresh_path, materialize
@@ -887,6 +887,29 @@ def audit_replay_now(spark, sf_dir):
     return audit.replay(_log(spark, sf_dir), AS_OF, old.schema)
 
 
+@query
+def audit_replay_many(spark, sf_dir):
+    """I3 for many (record, time) pairs: events write the row of their user, views delete it; each event
+    asks for the user after its own as of 36 hours before."""
+    events = _events(spark, sf_dir)
+    log = events.select(
+        F.col("event_id").alias("id"), F.lit("users").alias("table_name"), F.col("user_id").alias("record_id"),
+        F.when(F.col("event_type") == "view", "DELETE").otherwise("UPDATE").alias("action"), F.lit(None).cast("string").alias("old_data"),
+        F.when(F.col("event_type") != "view", F.col("props")).alias("new_data"), F.col("ts").cast("timestamp").alias("changed_at"),
+        F.lit("spark").alias("changed_by"),
+    )
+    kept = history.History(spark, fresh_path(spark, "history"), width=86_400)
+    kept.append(log, 0)
+    span = kept.log().agg(F.min("period"), F.max("period")).first()
+    for period in range(span[0] + 7, span[1] + 1, 7) if span[0] is not None else ():
+        kept.seal(period)
+    asked = events.select(
+        "event_id", (F.col("user_id") + 1).alias("record_id"), (F.col("ts").cast("timestamp") - F.expr("INTERVAL 36 HOURS")).alias("at"),
+    )
+    found = kept.as_of(asked, "record_id", "at")
+    return found.select("event_id", "record_id", F.get_json_object("image", "$.k").cast("long").alias("k"), F.col("image").isNotNull().alias("there"))
+
+
 # --- streaming forms ----------------------------------------------------------------------------
 
 for _stream in (streams.stream_counts, streams.stream_cache, streams.stream_queue, streams.stream_audit, streams.stream_audit_rows):

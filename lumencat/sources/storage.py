@@ -96,7 +96,7 @@ def append(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
-def _children(spark: SparkSession, folder: str) -> list[str]:
+def children(spark: SparkSession, folder: str) -> list[str]:
     """Names in ``folder``, none where it does not exist."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     store = path.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -122,8 +122,8 @@ class SnapshotTable:
 
     def _logs(self) -> list[str]:
         """Complete logs, oldest first."""
-        names = sorted(_children(self.spark, f"{self.root}/log"))
-        while names and "_SUCCESS" not in _children(self.spark, f"{self.root}/log/{names[-1]}"):
+        names = sorted(children(self.spark, f"{self.root}/log"))
+        while names and "_SUCCESS" not in children(self.spark, f"{self.root}/log/{names[-1]}"):
             names.pop()
         return names
 
@@ -158,7 +158,7 @@ class SnapshotTable:
         df.select(*[F.col(f.name).cast(f.dataType) for f in self.schema]).write.parquet(path)
         entries[version] = path
         kept = sorted(entries.items())[-self.keep:]
-        names = _children(self.spark, f"{self.root}/log")
+        names = children(self.spark, f"{self.root}/log")
         log = f"{self.root}/log/{int(max(names, default='-1')) + 1:012d}"
         self.spark.createDataFrame(kept, self._ENTRY).coalesce(1).write.parquet(log)
         self._expire()
