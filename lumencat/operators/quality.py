@@ -26,14 +26,15 @@ def _grouped(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.groupBy(*columns).agg(F.count(F.lit(1)).alias("__n"))
 
 
-def _joined(columns: Sequence[str]) -> Column:
+def joined_value(columns: Sequence[str]) -> Column:
+    """The values of a key as a report shows them."""
     return F.concat_ws(",", *[F.coalesce(F.col(c).cast("string"), F.lit("NULL")) for c in columns])
 
 
 def primary_key(df: DataFrame, columns: Sequence[str], table: str) -> DataFrame:
     """Keys that occur more than once."""
     repeated = _grouped(df, columns).where("__n > 1")
-    return _report(repeated, "primary_key", table, ",".join(columns), _joined(columns), F.col("__n"))
+    return _report(repeated, "primary_key", table, ",".join(columns), joined_value(columns), F.col("__n"))
 
 
 def unique(df: DataFrame, column: str, table: str) -> DataFrame:
@@ -102,8 +103,8 @@ def shape(records: DataFrame, key: str, rules: Mapping[str, Column]) -> DataFram
     return records.select(F.col(key), F.explode(broken).alias("field"))
 
 
-def row_rules(df: DataFrame, rules: TableRules, table: str) -> DataFrame:
-    """C3, C5 and C6 of a table in one pass; rows that keep all rules leave it at once."""
+def broken_rules(rules: TableRules) -> list[tuple[Column, str, str, Column]]:
+    """(test, rule, column, value) of every rule that a row breaks by itself: C3, C5 and C6."""
     broken: list[tuple[Column, str, str, Column]] = []
     for name in dict.fromkeys((*rules.primary, *rules.not_null)):
         broken.append((F.col(name).isNull(), "not_null", name, F.lit(None)))
@@ -111,6 +112,12 @@ def row_rules(df: DataFrame, rules: TableRules, table: str) -> DataFrame:
         broken.append((~F.col(name).isin(*allowed), "domain", name, F.col(name)))
     for name, limit in rules.lengths.items():
         broken.append((F.char_length(name) > limit, "max_length", name, F.char_length(name)))
+    return broken
+
+
+def row_rules(df: DataFrame, rules: TableRules, table: str) -> DataFrame:
+    """C3, C5 and C6 of a table in one pass; rows that keep all rules leave it at once."""
+    broken = broken_rules(rules)
     found = F.array_compact(F.array(*[
         F.when(test, F.struct(
             F.lit(rule).alias("rule"), F.lit(name).alias("columns"), value.cast("string").alias("value")

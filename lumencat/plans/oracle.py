@@ -301,6 +301,19 @@ ORACLE: dict[str, str] = {
                           "labels WHERE doc_id NOT IN (SELECT o_orderkey FROM orders) GROUP BY doc_id")
     + " UNION ALL " + _dq("foreign_key", "asset_metadata", "asset_id", "event_id", "count(*)",
                           "events WHERE event_id NOT IN (SELECT o_orderkey FROM orders) GROUP BY event_id"),
+    "dq_incremental": f"""WITH {_LINKS}, assets AS (SELECT * FROM orders WHERE o_orderdate >= TIMESTAMP '1996-01-01'),
+        dims AS (SELECT doc_id FROM labels UNION ALL SELECT doc_id FROM labels WHERE toxic IS DISTINCT FROM 0) """
+    + " UNION ALL ".join((
+        _dq("domain", "assets", "asset_type", "o_orderstatus", "count(*)",
+            "assets WHERE o_orderstatus NOT IN ('image', 'video') GROUP BY o_orderstatus"),
+        _dq("primary_key", "asset_dimensions", "asset_id", "doc_id", "count(*)", "dims GROUP BY doc_id HAVING count(*) > 1"),
+        _dq("foreign_key", "asset_dimensions", "asset_id", "doc_id", "count(*)",
+            "dims WHERE doc_id NOT IN (SELECT o_orderkey FROM assets) GROUP BY doc_id"),
+        _dq("foreign_key", "asset_metadata", "asset_id", "event_id", "count(*)",
+            "events WHERE event_id NOT IN (SELECT o_orderkey FROM assets) GROUP BY event_id"),
+        _dq("foreign_key", "asset_tags", "asset_id", "asset_id", "count(*)",
+            "links WHERE asset_id NOT IN (SELECT o_orderkey FROM assets) GROUP BY asset_id"),
+    )),
     # D
     "asset_details": f"WITH {_ASSETS}, {_DIMENSIONS}, {_METADATA}, {_TAG_LISTS} " + _DETAILS.format(path="file_path, "),
     "asset_lookup": f"WITH {_ASSETS} SELECT id, asset_type, file_name, file_size FROM assets WHERE id = 99",

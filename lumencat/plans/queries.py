@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from lumencat import schemas
 from lumencat.functions import geo
 from lumencat.operators import (
-    audit, cache, catalog, counts, history, index_upkeep, ingest, merge, nearby, nearby_sphere, quality, search, work_queue,
+    audit, cache, catalog, counts, history, index_upkeep, ingest, merge, nearby, nearby_sphere, quality,
+    quality_upkeep, search, work_queue,
 )
 from lumencat.plans import streams, tables
 from lumencat.sources.storage import SnapshotTable, fresh_path, materialize
@@ -369,6 +370,28 @@ def dq_catalog(spark, sf_dir):
     })
 
 
+@query
+def dq_incremental(spark, sf_dir):
+    """C1 to C6 kept up: early assets go and late ones come, and all but toxic ones lose a second row of dimensions."""
+    assets, dimensions = tables.assets(spark, sf_dir), tables.dimensions(spark, sf_dir)
+    came, gone = F.lit(1).alias("sign"), F.lit(-1).alias("sign")
+    late, early = F.col("created_at") >= F.lit(tables.OLD_UNTIL), F.col("created_at") < F.lit(tables.NEW_FROM)
+    kept = quality_upkeep.KeptReport(spark, fresh_path(spark, "report"), tables.catalog_rules())
+    kept.apply({
+        "assets": assets.where(~late).select("*", came),
+        "asset_dimensions": dimensions.unionByName(dimensions).select("*", came),
+        "tags": tables.tags(spark, sf_dir).select("*", came),
+        "asset_tags": tables.links(spark, sf_dir).select("*", came),
+        "asset_metadata": tables.metadata(spark, sf_dir).select("*", came),
+    }, 0)
+    kept.fold(0)
+    kept.apply({
+        "assets": assets.where(early).select("*", gone).unionByName(assets.where(late).select("*", came)),
+        "asset_dimensions": dimensions.where("height = 0").select("*", gone),
+    }, 1)
+    return kept.report()
+
+
 # --- D: catalog queries -------------------------------------------------------------------------
 
 @query

@@ -10,6 +10,7 @@ import datetime as dt
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from lumencat import schemas
 from lumencat.sources.storage import scan, spread
 
 NAMES = (
@@ -85,6 +86,12 @@ def tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def catalog_rules() -> dict[str, schemas.TableRules]:
+    """The rules of the five tables of the catalog."""
+    names = ("assets", "asset_dimensions", "tags", "asset_tags", "asset_metadata")
+    return {name: schemas.TABLES[name] for name in names}
+
+
 def order_part_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(asset_id, name) per line item, repeats included."""
     lines = read(spark, sf_dir, "lineitem").select(
