@@ -301,6 +301,18 @@ ORACLE: dict[str, str] = {
                           "labels WHERE doc_id NOT IN (SELECT o_orderkey FROM orders) GROUP BY doc_id")
     + " UNION ALL " + _dq("foreign_key", "asset_metadata", "asset_id", "event_id", "count(*)",
                           "events WHERE event_id NOT IN (SELECT o_orderkey FROM orders) GROUP BY event_id"),
+    "substring_batch": f"""WITH {_ASSETS}, {_LINKS}, words AS (
+          SELECT DISTINCT name FROM (SELECT p_name AS name FROM part UNION ALL SELECT n_name FROM nation
+            UNION ALL SELECT o_orderpriority FROM orders) WHERE name IS NOT NULL),
+        patterns AS (SELECT DISTINCT unnest([substring(name, 3, 4), substring(name, 1, 2) || '%' || right(name, 2),
+            substring(name, 1, 3) || '_' || substring(name, 5), upper(right(name, 5)), '', '___________', '%z%']) AS pattern FROM words),
+        texts AS (SELECT DISTINCT file_name AS text FROM assets UNION SELECT asset_type FROM assets UNION SELECT name FROM tags),
+        hits AS (SELECT pattern, text FROM patterns, texts WHERE text ILIKE '%' || pattern || '%'),
+        found AS (
+          SELECT pattern, id FROM hits JOIN assets ON file_name = text UNION SELECT pattern, id FROM hits JOIN assets ON asset_type = text
+          UNION SELECT pattern, asset_id FROM hits JOIN tags ON name = text JOIN links ON tag_id = tags.id
+            WHERE asset_id IN (SELECT id FROM assets))
+        SELECT pattern, count(*) AS assets, CAST(sum(id) AS BIGINT) AS id_sum, min(id) AS first FROM found GROUP BY pattern""",
     "dq_incremental": f"""WITH {_LINKS}, assets AS (SELECT * FROM orders WHERE o_orderdate >= TIMESTAMP '1996-01-01'),
         dims AS (SELECT doc_id FROM labels UNION ALL SELECT doc_id FROM labels WHERE toxic IS DISTINCT FROM 0) """
     + " UNION ALL ".join((

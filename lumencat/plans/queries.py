@@ -12,7 +12,7 @@ from lumencat import schemas
 from lumencat.functions import geo
 from lumencat.operators import (
     audit, cache, catalog, counts, history, index_upkeep, ingest, merge, nearby, nearby_sphere, quality,
-    quality_upkeep, search, work_queue,
+    quality_upkeep, search, substrings, work_queue,
 )
 from lumencat.plans import streams, tables
 from lumencat.sources.storage import SnapshotTable, fresh_path, materialize
@@ -449,6 +449,23 @@ def substring_search_wildcard(spark, sf_dir):
     return _substring(spark, sf_dir, "R_D b%T")
 
 
+@query
+def substring_batch(spark, sf_dir):
+    """D4 for many patterns: pieces of part and nation names, with wildcards, and some at the edge; for each
+    pattern what it finds."""
+    words = tables.read(spark, sf_dir, "part").select(F.col("p_name").alias("name")).union(
+        tables.read(spark, sf_dir, "nation").select("n_name")).union(
+        tables.read(spark, sf_dir, "orders").select("o_orderpriority")).where("name IS NOT NULL").distinct()
+    pieces = words.select(F.explode(F.array(
+        F.expr("substring(name, 3, 4)"), F.expr("concat(substring(name, 1, 2), '%', right(name, 2))"),
+        F.expr("concat(substring(name, 1, 3), '_', substring(name, 5))"),
+        F.expr("upper(right(name, 5))"), F.lit(""), F.lit("___________"), F.lit("%z%"),
+    )).alias("pattern"))
+    assets, links, names = tables.assets(spark, sf_dir), tables.links(spark, sf_dir), tables.tags(spark, sf_dir)
+    found = substrings.substring_batch(assets, links, names, pieces)
+    return found.groupBy("pattern").agg(F.count("id").alias("assets"), F.sum("id").alias("id_sum"), F.min("id").alias("first"))
+
+
 @query
 def substring_search_literal(spark, sf_dir):
     """D4 with wildcards taken literally; only the hyphenated names match."""
