@@ -107,10 +107,11 @@ class KeptReport:
         above = moved.withColumnRenamed("counter", "parent").join(rules, "parent").select("bucket", *_RULE, "counter", "parent", "key")
         touched = own.unionByName(above).distinct()
         looked = touched.select("bucket", "key").distinct()
+        # The value follows from the key; as a key of the sum it needs no sort.
         # Buckets without a touched key are not read; there are at most ``buckets`` numbers.
         buckets = [r["bucket"] for r in looked.select("bucket").distinct().collect()]
-        sums = self._stored(batch).where(F.col("bucket").isin(buckets)).join(looked, ["bucket", "key"], "left_semi").groupBy("counter", "key").agg(
-            F.sum("n").alias("n"), F.max("value").alias("value")
+        sums = self._stored(batch).where(F.col("bucket").isin(buckets)).join(looked, ["bucket", "key"], "left_semi").groupBy("counter", "key", "value").agg(
+            F.sum("n").alias("n")
         ).where("n > 0")
         parents = sums.select(F.col("counter").alias("parent"), "key", F.lit(True).alias("found"))
         seen = touched.join(sums, ["counter", "key"]).join(parents, ["parent", "key"], "left")
@@ -129,7 +130,7 @@ class KeptReport:
 
     def fold(self, batch: int) -> None:
         """Sum all counts up to ``batch`` into one base; later batches read no older ones."""
-        sums = self._stored(batch).groupBy("bucket", "counter", "key").agg(F.max("value").alias("value"), F.sum("n").alias("n"))
+        sums = self._stored(batch).groupBy("bucket", "counter", "key", "value").agg(F.sum("n").alias("n"))
         kept = sums.where("n <> 0").withColumn("batch", F.lit(batch).cast("long"))
         self._write(kept, f"{self.root}/base/upto={batch}", ["bucket"])
 
