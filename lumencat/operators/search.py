@@ -68,7 +68,7 @@ def _class_weight() -> Column:
     return F.element_at(F.create_map(*pairs), F.col("weight"))
 
 
-def _weighted_tf() -> Column:
+def weighted_tf() -> Column:
     """More hits count more, with saturation; class A counts above class B."""
     return F.sum(_class_weight() * F.col("tf") / (F.col("tf") + F.lit(1.0)))
 
@@ -77,7 +77,7 @@ def _holding_all(hits: DataFrame, keys: Sequence[str], needed: Column | int) ->
     """Documents with every term of the query, with their score; a group is one query's terms."""
     return (
         hits.groupBy(*keys)
-        .agg(F.size(F.collect_set("term")).alias("found"), _weighted_tf().alias("score"))
+        .agg(F.size(F.collect_set("term")).alias("found"), weighted_tf().alias("score"))
         .where(F.col("found") == needed)
     )
 

@@ -434,6 +434,15 @@ ORACLE: dict[str, str] = {
           SELECT query_id, id, count(DISTINCT term) AS n, round(sum({_PART}), 6) AS score
           FROM wanted JOIN postings USING (term) GROUP BY ALL)
         SELECT query_id, id, score FROM found JOIN sizes USING (query_id) WHERE n = needed""",
+    "text_top_batch": f"""WITH {_CATALOG_POSTINGS}, asked AS (SELECT DISTINCT id AS query_id, unnest({_split('name')}) AS term FROM tags),
+        wanted AS (SELECT * FROM asked WHERE term <> ''),
+        sizes AS (SELECT query_id, count(*) AS needed FROM wanted GROUP BY 1),
+        found AS (
+          SELECT query_id, id, count(DISTINCT term) AS n, round(sum({_PART}), 6) AS score
+          FROM wanted JOIN postings USING (term) GROUP BY ALL),
+        placed AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank
+          FROM found JOIN sizes USING (query_id) WHERE n = needed)
+        SELECT * FROM placed WHERE rank <= 5""",
     "text_search": f"""WITH {_CATALOG_POSTINGS}, found AS (
           SELECT id, round(sum({_PART}), 6) AS score FROM postings WHERE term IN ('small', 'low') GROUP BY id
           HAVING count(DISTINCT term) = 2)

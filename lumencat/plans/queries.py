@@ -12,7 +12,7 @@ from lumencat import schemas
 from lumencat.functions import geo
 from lumencat.operators import (
     audit, cache, catalog, counts, history, index_upkeep, ingest, merge, nearby, nearby_sphere, quality,
-    quality_upkeep, search, substrings, work_queue,
+    quality_upkeep, search, substrings, top_search, work_queue,
 )
 from lumencat.plans import streams, tables
 from lumencat.sources.storage import SnapshotTable, fresh_path, materialize
@@ -708,6 +708,15 @@ def text_match_batch(spark, sf_dir):
     return _scored(search.match_batch(postings, queries))
 
 
+@query
+def text_top_batch(spark, sf_dir):
+    """F2 + F3: the five best assets for every tag name as a query"""
+    assets, links, tags = (f(spark, sf_dir) for f in (tables.assets, tables.links, tables.tags))
+    postings = materialize(search.build_index(assets, links, tags), "postings")
+    queries = tags.select(F.col("id").alias("query_id"), F.col("name").alias("query"))
+    return _scored(top_search.top_batch(postings, queries, 5))
+
+
 @query
 def text_search(spark, sf_dir):
     """F4"""
