@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from decimal import Decimal
 from functools import reduce
 
@@ -206,20 +206,38 @@ def _holds(document: Column, path: str, value: object) -> Column:
     return _equals_number(document, path, kind, value)
 
 
+def metadata_contains_many(
+    metadata: DataFrame, tests: Sequence[Mapping[str, object]], column: str = "metadata", name: str = "test",
+) -> DataFrame:
+    """D8 for many tests at once: a row for each row and test that its document passes, its number as ``name``.
+
+    A document is parsed once for all tests. One that names a member twice counts with the last one, in
+    any session.
+    """
+    document = F.col("__document")
+    passed = []
+    for n, members in enumerate(tests):
+        parts = []
+        for path, value in members.items():
+            for key in reversed(path.split(".")):
+                value = {key: value}
+            parts.append(_holds(document, "$", value))
+        passed.append(F.when(_all(parts), F.lit(n)))
+    if not passed:
+        return metadata.withColumn(name, F.lit(0)).where(F.lit(False))
+    own = [F.col(f"`{c}`") for c in metadata.columns]
+    held = with_variant(metadata, column, "__document").select(*own, F.array(*passed).alias("__passed"))
+    # Exploded, not filtered: a filter would be taken below the parsing, which each test would repeat then.
+    return held.select(*own, F.explode_outer("__passed").alias(name)).where(F.col(name).isNotNull())
+
+
 def metadata_contains(metadata: DataFrame, members: Mapping[str, object], column: str = "metadata") -> DataFrame:
     """Rows whose document contains ``members``: objects by member, arrays by element, the rest by
     type and value; numbers are equal by value. A name such as ``exif.iso`` goes down into objects.
 
     A document that names a member twice counts with the last one, in any session.
     """
-    document = F.col("__document")
-    tests = []
-    for path, value in members.items():
-        for name in reversed(path.split(".")):
-            value = {name: value}
-        tests.append(_holds(document, "$", value))
-    parsed = with_variant(metadata, column, "__document")
-    return parsed.where(F.coalesce(_all(tests), F.lit(False))).drop("__document")
+    return metadata_contains_many(metadata, [members], column, "__test").drop("__test")
 
 
 def metadata_has_key(metadata: DataFrame, key: str, column: str = "metadata") -> DataFrame:

@@ -547,9 +547,8 @@ CONTAINED = (
 def metadata_contains_types(spark, sf_dir):
     """D8 for values of every type, documents that name a member twice, long and nearly equal numbers, and any name"""
     found = [
-        catalog.metadata_contains(documents, members).select(F.lit(n).alias("test"), "asset_id")
+        catalog.metadata_contains_many(_edges(spark, sf_dir, kinds), tests).select((F.col("test") + first).alias("test"), "asset_id")
         for kinds, tests, first in ((_EDGES, CONTAINED, 0), (_NUMBERS, NUMBERS, len(CONTAINED)))
-        for documents in [_edges(spark, sf_dir, kinds)] for n, members in enumerate(tests, first)
     ]
     return reduce(DataFrame.unionByName, found)
 

@@ -183,3 +183,12 @@ def test_contained_numbers_are_equal_by_value_and_names_are_any(spark):
     assert found({"k": 123456789012345678901234567890123456}) == [3] and found({"k": 10**30}) == [4]
     assert found({"it's": 1}) == found({"": 2}) == [5] and found({"it's": 2}) == []
     assert found({"a\"b'c": {"d": [1.5]}}) == [8]
+
+
+def test_many_tests_parse_a_document_once(spark, c):
+    tests = [{"iso": 300}, {"lens.zoom": 3}, {"iso": 400, "lens": {"zoom": 4}}, {"owner": None}, {}]
+    got = catalog.metadata_contains_many(c.metadata, tests)
+    assert rows(got, "test", "asset_id") == [(0, 3), (1, 3), (2, 4), *[(n, i) for n in (3, 4) for i in range(1, 6)]]
+    assert catalog.metadata_contains_many(c.metadata, []).collect() == []
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().count("parse_json") + plan.lower().count("parsejson") <= 4
