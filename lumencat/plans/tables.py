@@ -11,6 +11,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from lumencat import schemas
+from lumencat.session import bound_tasks
 from lumencat.sources.storage import scan, spread
 
 NAMES = (
@@ -34,6 +35,7 @@ _SCHEMAS: dict[str, T.StructType] = {}
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table; its footer is looked at once, not once per use."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    bound_tasks(spark)
     path = f"{sf_dir}/{name}.parquet"
     if path not in _SCHEMAS:
         _SCHEMAS[path] = spark.read.parquet(path).schema

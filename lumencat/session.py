@@ -9,6 +9,9 @@ from pyspark.sql import SparkSession
 # merges what turns out smaller.
 SHUFFLE_TASK_BYTES = 128 << 20
 MOST_SHUFFLE_TASKS = 100_000
+# Re-planning merges shuffled parts up to this size. Keys and counts are some 30 times as large in a
+# hash table as shuffled and compressed, so Spark's 64 MB would be gigabytes in one task.
+MERGED_TASK_BYTES = 4 << 20
 
 
 def shuffle_partitions(data_bytes: int) -> int:
@@ -16,6 +19,15 @@ def shuffle_partitions(data_bytes: int) -> int:
     return min(MOST_SHUFFLE_TASKS, max(200, data_bytes // SHUFFLE_TASK_BYTES))
 
 
+def bound_tasks(spark: SparkSession) -> None:
+    """Lower the size up to which re-planning merges shuffled parts, where the session's is larger."""
+    name = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    given = spark.conf.get(name, None)
+    as_bytes = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
+    if given is None or as_bytes(given) > MERGED_TASK_BYTES:
+        spark.conf.set(name, str(MERGED_TASK_BYTES))
+
+
 def configure(builder: SparkSession.Builder, data_bytes: int | None = None) -> SparkSession.Builder:
     """UTC timestamps, runtime re-planning and skew handling; ``data_bytes`` sizes the shuffles."""
     if data_bytes is not None:
