@@ -76,9 +76,9 @@ def substring_batch(
     texts = texts.where("text IS NOT NULL").distinct()
     pairs = candidates(texts, asked.select("query").distinct())
     hits = pairs.where(F.like("text", F.concat(F.lit("%"), F.col("query"), F.lit("%")))).join(asked, "query").select("pattern", "text")
+    # A link may outlive its asset. Links are met with the assets, as they are fewer than what patterns find by them.
+    known = links.select("tag_id", F.col("asset_id").alias("id")).join(assets.select("id"), "id", "left_semi")
     tagged = hits.join(parts["tag"], "text").select("pattern", "tag_id").distinct()
-    owners = tagged.join(links.select("tag_id", F.col("asset_id").alias("id")), "tag_id").select("pattern", "id")
-    # A link may outlive its asset.
-    owners = owners.distinct().join(assets.select("id"), "id", "left_semi").select("pattern", "id")
+    owners = tagged.join(known, "tag_id").select("pattern", "id")
     own = [hits.join(parts[part], "text").select("pattern", "id") for part in ("name", "type")]
     return own[0].union(own[1]).union(owners).distinct().select(F.col("pattern").alias(column), "id")

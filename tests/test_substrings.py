@@ -54,3 +54,11 @@ def test_nothing_given(spark, c):
     assert substrings.substring_batch(assets, made.links, made.tags, patterns.limit(0), "p").collect() == []
     assert substrings.substring_batch(assets.limit(0), made.links, made.tags, patterns, "p").collect() == []
     assert rows(substrings.substring_batch(assets, made.links, made.tags, patterns, "p")) != []
+
+
+def test_what_patterns_find_is_gathered_once(spark, c):
+    """Links without an asset go before patterns multiply them, so one sum over (pattern, id) is enough."""
+    made, assets = c
+    patterns = spark.createDataFrame([("sun",)], "pattern string")
+    plan = substrings.substring_batch(assets, made.links, made.tags, patterns)._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("Aggregate [pattern#" in line and ", id#" in line.split("]")[0] for line in plan.splitlines()) == 1
