@@ -11,7 +11,8 @@ else. Sets with too few filled parts (``m <= k``; tiny ones) meet under a partit
 elements instead.
 
 Sets that share a signature are compared with the first few of their bucket, those with the fewest
-signatures of their own, as the text that others were made from has. Buckets whose sets then lie in
+signatures of their own, as the text that others were made from has: each set with the one of them that
+it shares most signatures with, then with those that this left in another component. Buckets whose sets then lie in
 one component are done, the others go on with more pivots until all their pairs of different
 components were looked at. So no link is lost, and groups of copies cost a few comparisons per
 member. Before two sets are fetched and compared, the parities of their elements over ``BITS`` bits
@@ -208,6 +209,20 @@ def _similar(pairs: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def _linked(pairs: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
+    """The links among the distinct pairs (a, b): parities first, then whole sets."""
+    pairs = pairs.join(_sketch(sets, "x"), F.col("a") == F.col("x_doc")).join(_sketch(sets, "y"), F.col("b") == F.col("y_doc"))
+    return _similar(pairs.where(_may_link(p, q)).select("a", "b").distinct(), sets, p, q)
+
+
+def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets are in different components; a set without a label is its own."""
+    for side in ("a", "b"):
+        named = labels.select(F.col("node").alias(side), F.col("label").alias(f"{side}_label"))
+        pairs = pairs.join(named, side, "left")
+    return pairs.where(F.coalesce("a_label", "a") != F.coalesce("b_label", "b")).select("a", "b")
+
+
 def buckets(rows: DataFrame) -> DataFrame:
     """(sig, doc, place, n): who meets under a signature, after each set kept its rarest ones.
 
@@ -244,9 +259,12 @@ def join(docs: DataFrame, words: int = WORDS, p: int = P, q: int = Q) -> DataFra
 
     x, y = _sketch(sets, "x"), _sketch(sets, "y")
     pivots = meeting.where(F.col("place") <= PIVOTS).select("sig", F.col("doc").alias("a"), F.col("place").alias("pivot"))
-    pairs = meeting.join(pivots, "sig").where("place > pivot").select("a", F.col("doc").alias("b")).distinct()
-    pairs = pairs.join(x, F.col("a") == F.col("x_doc")).join(y, F.col("b") == F.col("y_doc")).where(_may_link(p, q))
-    links = materialize(links.unionByName(_similar(pairs.select("a", "b").distinct(), sets, p, q)), "links")
+    met = meeting.join(pivots, "sig").where("place > pivot").groupBy("a", F.col("doc").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
+    met = materialize(met, "met")
+    # Each set first meets the one pivot that it shares most with; other pivots only where that left them apart.
+    nearest = met.groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a"))
+    links = materialize(links.unionByName(_linked(nearest, sets, p, q)), "links")
+    links = materialize(links.unionByName(_linked(_apart(met, components(links)), sets, p, q)), "links")
     low, high = PIVOTS, PIVOTS * MORE
     while True:
         labels = components(links)

@@ -130,3 +130,25 @@ def test_components(spark):
     got = {r.node: r.label for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {**{k: 1 for k in range(1, 61)}, **{k: 100 for k in range(100, 140)}, 200: 200, 201: 200}
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_a_group_of_near_copies_costs_a_pair_or_two_per_member(spark, monkeypatch):
+    """Members that meet many pivots are compared with one, and with others only across components."""
+    rng = random.Random(3)
+    first = [f"w{i}" for i in range(300)]
+    rows = []
+    for n in range(150):
+        words = list(first)
+        for _ in range(4):
+            words[rng.randrange(0, 300, 6)] = f"x{rng.randrange(3)}"
+        rows.append((n, " ".join(words)))
+    compared, similar = [], shingle_join._similar
+
+    def counted(pairs, *rest):
+        compared.append(pairs.count())
+        return similar(pairs, *rest)
+
+    monkeypatch.setattr(shingle_join, "_similar", counted)
+    got = shingle_join.join(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert _rows(got) == brute(rows)
+    assert compared[0] < 150 and sum(compared) <= 300
