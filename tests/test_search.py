@@ -217,3 +217,14 @@ def test_places_that_are_not_on_earth(spark):
     for radius, ids in ((0, {100}), (150_000, {100, 101})):
         assert {r.id for r in nearby.nearby_join(assets, centres, radius).collect()} == ids
         assert {r.id for r in nearby.nearby(assets, 1.0, 0.0, radius).collect()} == ids
+
+
+def test_a_search_for_stems_writes_no_postings(spark, tmp_path):
+    """The terms asked for reach the dictionary, so postings of other words are not made."""
+    from lumencat.plans import queries
+
+    spark.createDataFrame([(1, "Running the ens", "en", "web"), (2, "ran", "fr", "web")], "doc_id long, text string, lang string, source string").write.parquet(
+        f"{tmp_path}/documents.parquet")
+    found = queries.text_match_english(spark, str(tmp_path))
+    assert found.collect() == []
+    assert "/postings-" not in " ".join(found.inputFiles())
