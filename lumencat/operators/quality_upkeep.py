@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from lumencat.operators.quality import broken_rules, joined_value
 from lumencat.schemas import TABLES, TableRules
@@ -21,6 +21,11 @@ _REPORT = T.StructType([
     T.StructField(name, T.StringType()) for name in ("rule", "table_name", "columns", "key", "value")
 ] + [T.StructField("row_count", T.LongType())])
 _RULE = ["rule", "table_name", "columns"]
+# Keys as text tell apart whatever their values as text tell apart.
+_KEY_TEXT = {
+    "ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+    "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+}
 
 
 def _counter(table: str, columns: tuple[str, ...]) -> str:
@@ -48,20 +53,36 @@ class KeptReport:
         return list(dict.fromkeys(lists))
 
     def _signed(self, changes: Mapping[str, DataFrame]) -> DataFrame:
-        """(counter, key, value, n): what the changed rows add to the counters; one scan per table."""
+        """(counter, key, value, n): what the changed rows add to the counters.
+
+        Keys are counted as the columns they are, all lists of a table in one pass, and become text
+        once per key.
+        """
         parts = []
         for table, rows in changes.items():
-            items = []
-            for columns in self._keys(table):
-                key = F.to_json(F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(columns)]), {"ignoreNullFields": "false"})
-                items.append(F.struct(F.lit(_counter(table, columns)).alias("counter"), key.alias("key"), joined_value(columns).alias("value")))
-            for test, rule, column, value in broken_rules(self.rules[table]):
-                text = value.cast("string")
-                named = F.struct(F.lit(f"{rule}:{table}({column})").alias("counter"), F.coalesce(text, F.lit("")).alias("key"), text.alias("value"))
-                items.append(F.when(test, named))
-            found = rows.select("sign", F.inline(F.array_compact(F.array(*items))))
-            parts.append(found.groupBy("counter", "key", "value").agg(F.sum("sign").cast("long").alias("n")))
-        return reduce(DataFrame.unionByName, parts).where("n <> 0")
+            lists = self._keys(table)
+            columns = list(dict.fromkeys(c for names in lists for c in names))
+            added = F.sum("sign").cast("long").alias("n")
+            # In grouping_id, the bit of a column is set where the grouping leaves the column out.
+            group = {names: sum(1 << i for i, c in enumerate(reversed(columns)) if c not in names) for names in lists}
+            sets = [[F.col(c) for c in names] for names in lists]
+            sums = rows.groupingSets(sets, *columns).agg(added, F.grouping_id().alias("__group")).where("n <> 0")
+            chosen = F.lit(None)
+            for names in lists:
+                key = F.to_json(F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(names)]), _KEY_TEXT)
+                item = F.struct(F.lit(_counter(table, names)).alias("counter"), key.alias("key"), joined_value(names).alias("value"))
+                chosen = F.when(F.col("__group") == group[names], item).otherwise(chosen)
+            parts.append(sums.select(chosen.alias("item"), "n").select("item.*", "n"))
+            broken = broken_rules(self.rules[table])
+            if broken:
+                items = []
+                for test, rule, column, value in broken:
+                    text = value.cast("string")
+                    items.append(F.when(test, F.struct(
+                        F.lit(f"{rule}:{table}({column})").alias("counter"), F.coalesce(text, F.lit("")).alias("key"), text.alias("value"))))
+                found = rows.where(reduce(Column.__or__, [test for test, *_ in broken])).select("sign", F.inline(F.array_compact(F.array(*items))))
+                parts.append(found.groupBy("counter", "key", "value").agg(added).where("n <> 0"))
+        return reduce(DataFrame.unionByName, parts)
 
     def _rules_table(self) -> DataFrame:
         """A row per rule: whose counter it looks at, and the parent's counter for references."""
@@ -91,46 +112,73 @@ class KeptReport:
         # One key's counts share a bucket over all counters, so parents and children meet there.
         return counts.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(self.buckets)).cast("int"))
 
-    def _write(self, counts: DataFrame, path: str, partitions: list[str]) -> None:
-        counts.repartition(*partitions, F.pmod(F.xxhash64("key", "counter"), F.lit(4))).write.mode("overwrite").option(
-            "partitionOverwriteMode", "dynamic").partitionBy(*partitions).parquet(path)
+    def _dealt(self, counts: DataFrame, partitions: list[str]) -> DataFrame:
+        return counts.withColumn("__part", F.pmod(F.xxhash64("key", "counter"), F.lit(4))).repartition(*partitions, "__part")
+
+    def _write(self, dealt: DataFrame, path: str, partitions: list[str]) -> None:
+        dealt.drop("__part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partitions).parquet(path)
 
     def apply(self, changes: Mapping[str, DataFrame], batch: int) -> None:
-        """Take in the signed rows of ``changes`` and renew the report where they touch it."""
+        """Take in the signed rows of ``changes`` and renew the report where they touch it.
+
+        All counts of a key meet in one shuffle, its own and those of its parents, whichever counter
+        they belong to.
+        """
         signed = self._bucketed(self._signed(changes)).withColumn("batch", F.lit(batch).cast("long"))
-        self._write(signed, f"{self.root}/counts", ["bucket", "batch"])
+        self._write(self._dealt(signed, ["bucket", "batch"]), f"{self.root}/counts", ["bucket", "batch"])
         delta = self.spark.read.schema(_COUNTS).parquet(f"{self.root}/counts").where(F.col("batch") == batch)
         rules = F.broadcast(self._rules_table())  # a row per declared rule
-        # A changed counter touches the rules that look at it, and those whose parent it is.
-        moved = delta.select("bucket", "counter", "key")
-        own = moved.join(rules, "counter").select("bucket", *_RULE, "counter", "parent", "key")
-        above = moved.withColumnRenamed("counter", "parent").join(rules, "parent").select("bucket", *_RULE, "counter", "parent", "key")
-        touched = own.unionByName(above).distinct()
-        looked = touched.select("bucket", "key").distinct()
-        # The value follows from the key; as a key of the sum it needs no sort.
         # Buckets without a touched key are not read; there are at most ``buckets`` numbers.
-        buckets = [r["bucket"] for r in looked.select("bucket").distinct().collect()]
-        sums = self._stored(batch).where(F.col("bucket").isin(buckets)).join(looked, ["bucket", "key"], "left_semi").groupBy("counter", "key", "value").agg(
-            F.sum("n").alias("n")
-        ).where("n > 0")
-        parents = sums.select(F.col("counter").alias("parent"), "key", F.lit(True).alias("found"))
-        seen = touched.join(sums, ["counter", "key"]).join(parents, ["parent", "key"], "left")
+        buckets = [r["bucket"] for r in delta.select("bucket").distinct().collect()]
+        stored = self._stored(batch).where(F.col("bucket").isin(buckets))
+        version = self.kept.current_version(before=batch)
+        if version is None:
+            stored = stored.repartition("key")
+        else:
+            stored = stored.join(delta.select("key"), "key", "left_semi")
+        sums = stored.groupBy("counter", "key", "value").agg(F.sum("n").alias("n"), F.max(F.col("batch") == batch).alias("moved"))
+        of_key = Window.partitionBy("key")
+        parents = sorted({
+            _counter(parent, (key,)) for rule in self.rules.values() for parent, key in rule.foreign.values() if parent in self.rules
+        })
+        # A key that is neither a reference nor referred to matters only where it is repeated.
+        alone = {_counter(table, names) for table in self.rules for names in self._keys(table)} - set(parents) - {
+            _counter(table, (c,)) for table, rule in self.rules.items() for c in rule.foreign
+        }
+        seen = sums.where((F.col("n") > 1) | ~F.col("counter").isin(sorted(alone))).select("*", *[
+            F.max(F.when(F.col("counter") == parent, test)).over(of_key).alias(f"__{name}_{i}")
+            for i, parent in enumerate(parents) for name, test in (("found", F.col("n") > 0), ("moved", F.col("moved")))
+        ])
+
+        def of_parent(name: str) -> Column:
+            value = F.lit(False)
+            for i, parent in enumerate(parents):
+                value = F.when(F.col("parent") == parent, F.coalesce(F.col(f"__{name}_{i}"), F.lit(False))).otherwise(value)
+            return value
+
+        # A changed counter touches the rules that look at it, and those whose parent it is.
+        looked = seen.where("n > 0").join(rules, "counter").where(F.col("moved") | of_parent("moved"))
         rule = F.col("rule")
         real = ~F.col("key").rlike('^\\{"k0":null\\}$')  # a NULL is neither a repeated value nor a reference
         wrong = (
             F.when(rule == "primary_key", F.col("n") > 1)
             .when(rule == "unique", real & (F.col("n") > 1))
-            .when(rule == "foreign_key", real & F.col("found").isNull())
+            .when(rule == "foreign_key", real & ~of_parent("found"))
             .otherwise(True)
         )
-        now = seen.where(wrong).select(*_RULE, "key", "value", F.col("n").alias("row_count"))
-        version = self.kept.current_version(before=batch)
-        before = self.spark.createDataFrame([], _REPORT) if version is None else self.kept.read(version)
-        self.kept.commit(before.join(touched.select(*_RULE, "key"), [*_RULE, "key"], "left_anti").unionByName(now), batch)
+        now = looked.where(wrong).select(*_RULE, "key", "value", F.col("n").alias("row_count"))
+        if version is not None:
+            moved = delta.select("counter", "key")
+            touched = moved.join(rules, "counter").select(*_RULE, "key").unionByName(
+                moved.withColumnRenamed("counter", "parent").join(rules, "parent").select(*_RULE, "key"))
+            now = self.kept.read(version).join(touched, [*_RULE, "key"], "left_anti").unionByName(now)
+        self.kept.commit(now, batch)
 
     def fold(self, batch: int) -> None:
         """Sum all counts up to ``batch`` into one base; later batches read no older ones."""
-        sums = self._stored(batch).groupBy("bucket", "counter", "key", "value").agg(F.sum("n").alias("n"))
+        # Dealt out as they are written, the counts of a key are together already when they are summed.
+        dealt = self._dealt(self._stored(batch), ["bucket"])
+        sums = dealt.groupBy("bucket", "__part", "counter", "key", "value").agg(F.sum("n").alias("n"))
         kept = sums.where("n <> 0").withColumn("batch", F.lit(batch).cast("long"))
         self._write(kept, f"{self.root}/base/upto={batch}", ["bucket"])
 

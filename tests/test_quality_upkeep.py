@@ -76,3 +76,13 @@ def test_an_empty_start_and_a_batch_without_rows(spark, tmp_path):
     assert kept.report().collect() == []
     written = spark.read.parquet(f"{tmp_path}/counts").where("batch = 2")
     assert {r.counter for r in written.collect()} == {"parent(id)", "parent(name)"}
+
+
+def test_keys_are_counted_before_they_become_text(spark, tmp_path):
+    """Text keys in the sum of every changed row made a batch cost several times its shuffle."""
+    kept = KeptReport(spark, str(tmp_path), {"parent": RULES["parent"]})
+    rows = signed(spark, "parent", Counter(), Counter([(1, "p"), (1, "q")]))
+    plan = kept._signed({"parent": rows})._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().index("json") < plan.index("Aggregate")
+    found = {(r.counter, r.key, r.n) for r in kept._signed({"parent": rows}).collect()}
+    assert found == {("parent(id)", '{"k0":1}', 2), ("parent(name)", '{"k0":"p"}', 1), ("parent(name)", '{"k0":"q"}', 1)}
