@@ -55,3 +55,15 @@ def test_bounds_stop_candidates(spark):
     assert top_search.still_open(candidates, first, scored, 5).count() == 0
     # Beyond what is good, every candidate may count and is looked at.
     assert top_search.still_open(candidates, first, scored, 15).count() == 4990
+
+
+def test_candidates_are_scored_where_they_stand(spark):
+    """Common words leave nearly all candidates open: looking each of them up moved all that they hold again."""
+    rows = [(n, {t: 1.0 + n % 5 for t in ("a", "b", "c") if n % (ord(t) - 95)}) for n in range(200)]
+    impacts = spark.createDataFrame(rows, "id long, impacts map<string,double>").select("id", "impacts", F.explode("impacts").alias("term", "impact"))
+    words = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (3, "a"), (3, "c"), (3, "b")], "query_id long, term string")
+    candidates = top_search.starts(impacts, words)
+    scored = top_search._scored_in_place(candidates)
+    assert sorted(map(tuple, scored.collect())) == sorted(map(tuple, top_search._scored(candidates, impacts.drop("impacts")).collect()))
+    plain = spark.createDataFrame(candidates.collect(), candidates.schema)
+    assert "Exchange" not in top_search._scored_in_place(plain)._jdf.queryExecution().executedPlan().toString()
