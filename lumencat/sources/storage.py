@@ -58,11 +58,27 @@ def remove(spark: SparkSession, paths: Sequence[str]) -> None:
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+@contextlib.contextmanager
+def _shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """What is run in the block leaves no shuffle files behind, rather than until the driver's next collection."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    given = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if given is None else spark.conf.set(name, given)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once and read it back: cuts lineage and fixes non-repeatable columns."""
+    """Write ``df`` once and read it back: cuts lineage and fixes non-repeatable columns.
+
+    Shuffle files of the write go with it, so that of many steps only the written rows stay on disk.
+    """
     spark = df.sparkSession
     path = fresh_path(spark, label)
-    df.write.parquet(path)
+    with _shuffles_removed(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
