@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lumencat.operators.search import build_index, field_postings
+from lumencat.sources.storage import children, intermediates, materialize, remove
 
 PAIR = ["id", "weight"]
 
@@ -24,13 +25,15 @@ def touched(asset_changes: DataFrame, link_changes: DataFrame, tag_changes: Data
     touches class A, a deleted one both classes; a renamed tag touches class B of every asset that has it.
     """
     named = lambda column: F.get_json_object(column, "$.file_name")
-    names = asset_changes.where((F.col("action") != "UPDATE") | ~named("old_data").eqNullSafe(named("new_data")))
-    gone = asset_changes.where("action = 'DELETE'")
+    changed = (F.col("action") != "UPDATE") | ~named("old_data").eqNullSafe(named("new_data"))
+    # Both classes from one look at the changes, which a comparison of snapshots may stand behind.
+    classes = F.array_compact(F.array(F.when(changed, "A"), F.when(F.col("action") == "DELETE", "B")))
+    own = asset_changes.select(F.col("record_id").alias("id"), F.explode(classes).alias("weight"))
     label = lambda column: F.get_json_object(column, "$.name")
     renamed = tag_changes.where(~label("old_data").eqNullSafe(label("new_data"))).select(F.col("record_id").alias("tag_id"))
     of_tags = links.join(renamed, "tag_id", "left_semi").select(F.col("asset_id").alias("id"))
-    tagged = gone.select(F.col("record_id").alias("id")).union(link_changes.select(F.col("asset_id").alias("id"))).union(of_tags)
-    return names.select(F.col("record_id").alias("id"), F.lit("A").alias("weight")).union(tagged.withColumn("weight", F.lit("B"))).distinct()
+    tagged = link_changes.select(F.col("asset_id").alias("id")).union(of_tags)
+    return own.union(tagged.withColumn("weight", F.lit("B"))).distinct()
 
 
 def delta(
@@ -39,9 +42,9 @@ def delta(
     """Postings (id, weight, term, tf) of the touched ``pairs`` in the tables as they stand after the batch."""
     of = {c: pairs.where(F.col("weight") == c).select("id") for c in ("A", "B")}
     renamed = assets.join(of["A"], "id", "left_semi").select("id", F.lit("A").alias("weight"), F.col("file_name").alias("text"))
-    retagged = links.join(of["B"].withColumnRenamed("id", "asset_id"), "asset_id", "left_semi")
-    known = retagged.join(assets.select(F.col("id").alias("asset_id")), "asset_id", "left_semi")
-    tagged = build_index(assets.select("id", "file_name").limit(0), known, tags, config, keep_compound)
+    known = of["B"].join(assets.select("id"), "id", "left_semi").select(F.col("id").alias("asset_id"))
+    retagged = links.join(known, "asset_id", "left_semi")
+    tagged = build_index(assets.select("id", "file_name").limit(0), retagged, tags, config, keep_compound)
     return field_postings(renamed, config, keep_compound).unionByName(tagged)
 
 
@@ -68,9 +71,15 @@ class KeptIndex:
         self.spark, self.root = spark, root.rstrip("/")
 
     def write(self, postings: DataFrame, pairs: DataFrame, version: int) -> None:
-        """Store what version ``version`` makes of its touched ``pairs``, the pairs last: without them it doesn't hide anything."""
-        ordered = postings.select("id", "weight", "term", "tf").repartitionByRange("term", "id").sortWithinPartitions("term", "id")
-        ordered.write.mode("overwrite").parquet(f"{self.root}/postings/version={version}")
+        """Store what version ``version`` makes of its touched ``pairs``, the pairs last: without them it doesn't hide anything.
+
+        Ranges are cut after a look at all rows, so the postings are written first, lest they be made twice.
+        """
+        with intermediates() as made:
+            rows = materialize(postings.select("id", "weight", "term", "tf"), "made-postings")
+            ordered = rows.repartitionByRange("term", "id").sortWithinPartitions("term", "id")
+            ordered.write.mode("overwrite").parquet(f"{self.root}/postings/version={version}")
+        remove(self.spark, made)
         pairs.select(*PAIR).write.mode("overwrite").parquet(f"{self.root}/pairs/version={version}")
 
     def start(self, assets: DataFrame, links: DataFrame, tags: DataFrame, config: str = "simple", keep_compound: bool = False) -> None:
@@ -86,8 +95,13 @@ class KeptIndex:
         self.write(delta(pairs, assets, links, tags, config, keep_compound), pairs, version)
 
     def read(self) -> DataFrame:
+        """The postings that count; those of the newest version stand as they are, as no later one can hide them."""
         postings = self.spark.read.schema(self._POSTINGS).parquet(f"{self.root}/postings")
-        return current(postings, self.spark.read.schema(self._PAIRS).parquet(f"{self.root}/pairs"))
+        pairs = self.spark.read.schema(self._PAIRS).parquet(f"{self.root}/pairs")
+        versions = [int(n.removeprefix("version=")) for n in children(self.spark, f"{self.root}/pairs") if n.startswith("version=")]
+        newest = max(versions, default=0)
+        latest = postings.where(F.col("version") >= newest).select("id", "weight", "term", "tf")
+        return latest.unionByName(current(postings.where(F.col("version") < newest), pairs))
 
     def merge(self, root: str) -> KeptIndex:
         """All that counts as version 0 of a new index under ``root``; this one stays for its readers."""

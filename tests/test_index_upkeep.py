@@ -7,8 +7,11 @@ import random
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from lumencat.operators import audit, index_upkeep, search
 from lumencat.operators.index_upkeep import KeptIndex
+from lumencat.plans import queries, tables
 
 WORDS = ["red", "green", "small", "running", "cats", "the", "Beach"]
 AT = dt.datetime(2024, 1, 1)
@@ -71,3 +74,34 @@ def test_an_untouched_document_is_not_made_again(spark, tmp_path):
     assert sorted(map(tuple, pairs.collect())) == [(7, "A"), (9, "A"), (9, "B")]
     made = index_upkeep.delta(pairs, after, links, tags)
     assert sorted(map(tuple, made.collect())) == [(7, "A", "name", 1), (7, "A", "other", 1)]
+
+
+def _counting(spark, df, column):
+    """``df``, and a counter of how often a row of it is made."""
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def seen(value):
+        made.add(1)
+        return value
+
+    return df.withColumn(column, seen.asNondeterministic()(F.col(column))), made
+
+
+def test_a_version_is_made_once_though_ranges_are_cut_after_a_look_at_it(spark, tmp_path):
+    rows = spark.createDataFrame([(n, "A", f"term{n % 7}", 1) for n in range(200)], "id long, weight string, term string, tf long")
+    postings, made = _counting(spark, rows, "tf")
+    index = KeptIndex(spark, f"{tmp_path}/index")
+    index.write(postings, spark.createDataFrame([], "id long, weight string"), 0)
+    assert _all(index.read()) == _all(rows)
+    assert made.value == 200
+
+
+def test_the_query_makes_its_links_once(spark, monkeypatch):
+    sf_dir = "/root/testdata/sf0.001"
+    links = tables.links(spark, sf_dir)
+    counted, made = _counting(spark, links, "tag_id")
+    monkeypatch.setattr(tables, "links", lambda *_: counted)
+    rows = queries.QUERIES["text_index_incremental"](spark, sf_dir)
+    assert 0 < made.value <= links.count()
+    assert rows.count() > 0
