@@ -7,6 +7,8 @@ is written: a filter on stems would otherwise be taken down through the steps, a
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lumencat.sources.storage import materialize
@@ -41,6 +43,15 @@ DOUBLE = "(bb|dd|ff|gg|mm|nn|pp|rr|tt)$"
 LI_BEFORE = "[cdeghkmnrt]$"
 
 
+# Every rule above and below is for a word with one of these endings, and so is every exception.
+CHANGING = ("s", "ed", "ing", "y", "i", "e", "al", "ful", "ll", "ion", "ism", "er", "or", "ant", "ent", "ic")
+
+
+def may_change(word: Column) -> Column:
+    """Whether a lower-case word has an ending that some step looks for; a word without one is its own stem."""
+    return reduce(lambda a, b: a | b, [word.endswith(ending) for ending in CHANGING])
+
+
 def _without(word: Column, n: Column | int) -> Column:
     return F.left(word, F.length(word) - n)
 

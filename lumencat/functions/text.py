@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from lumencat.functions.stemming import with_stems
+from lumencat.functions.stemming import may_change, with_stems
 from lumencat.sources.storage import materialize
 
 _SEPARATORS = r"[^\p{L}\p{N}]+"
@@ -49,9 +49,9 @@ def counted_terms(
     """One row per row and distinct term of column ``text``, with its frequency ``tf``.
 
     The words of a text are sorted inside their row and counted run by run, so nothing is shuffled.
-    With ``english`` those counts are written, each distinct word is stemmed once, the dictionary is
-    joined back (broadcast where it is small) and words of one stem are added up: rows that agree in
-    all other columns then count as one.
+    With ``english`` those counts are written, each distinct word with an ending that a stem may lose is
+    stemmed once, the dictionary is joined back to these words (broadcast where it is small) and words of
+    one stem are added up: rows that agree in all other columns then count as one.
     """
     kept = [c for c in rows.columns if c != text]
     words, n = F.col("__words"), F.size("__words")
@@ -74,9 +74,11 @@ def counted_terms(
     if config == "simple":
         return counted
     counted = materialize(counted, "words")
-    dictionary = with_stems(counted.select("term").distinct())
-    stemmed = counted.join(dictionary, "term").groupBy(*kept, F.col("stem").alias("term"))
-    return stemmed.agg(F.sum("tf").alias("tf"))
+    changing = counted.where(may_change(F.col("term")))
+    dictionary = with_stems(changing.select("term").distinct())
+    stemmed = changing.join(dictionary, "term").select(*kept, F.col("stem").alias("term"), "tf")
+    same = counted.where(~may_change(F.col("term"))).select(*kept, "term", "tf")
+    return stemmed.union(same).groupBy(*kept, "term").agg(F.sum("tf").alias("tf"))
 
 
 def asked_terms(queries: DataFrame, config: str = "simple", keep_compound: bool = False) -> DataFrame:

@@ -228,3 +228,23 @@ def test_a_search_for_stems_writes_no_postings(spark, tmp_path):
     found = queries.text_match_english(spark, str(tmp_path))
     assert found.collect() == []
     assert "/postings-" not in " ".join(found.inputFiles())
+
+
+def test_words_that_no_step_can_change_are_their_own_stems(spark):
+    """The endings that are looked for are those of every rule: a word kept back from the stemmer has itself as stem."""
+    rng = random.Random(3)
+    ends = ["", *stemming.STEP_2, *stemming.STEP_3, *stemming.STEP_4, *(a + b for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz")]
+    roots = ["", "y", "gener", "é", "1", *("".join(rng.choice("aeiouybcdlnrstz") for _ in range(rng.randrange(1, 7))) for _ in range(20))]
+    words = sorted({r + e for r in roots for e in ends} | set(stemming.WHOLE) | set(stemming.KEPT_AFTER_PLURAL) - {""})
+    kept = spark.createDataFrame([(w,) for w in words], "term string").where(~stemming.may_change(F.col("term"))).collect()
+    assert len(kept) > len(words) // 4
+    assert [r.term for r in kept if porter2.stem(r.term) != r.term] == []
+
+
+def test_only_words_that_may_change_are_stemmed(spark, monkeypatch):
+    stemmed = []
+    monkeypatch.setattr(text, "with_stems", lambda words: stemmed.extend(r.term for r in words.collect()) or with_stems(words))
+    rows = spark.createDataFrame([(1, "runs Run, running dog zebu dogs"), (2, "dog"), (2, "dog"), (3, None)], "id long, text string")
+    got = sorted(map(tuple, text.counted_terms(rows, "text", "english").collect()))
+    assert got == [(1, "dog", 2), (1, "run", 3), (1, "zebu", 1), (2, "dog", 2)]
+    assert sorted(stemmed) == ["dogs", "running", "runs"]
