@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column, functions as F
 
@@ -26,37 +27,59 @@ def planar(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
     return F.sqrt(dx * dx + dy * dy)
 
 
-def haversine(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
-    """Great-circle distance in metres on the mean-radius sphere."""
+def haversine(
+    lon1: Column, lat1: Column, lon2: Column, lat2: Column, flat1: Column | None = None, flat2: Column | None = None,
+) -> Column:
+    """Great-circle distance in metres on the mean-radius sphere.
+
+    ``flat1`` and ``flat2`` are the cosines of the latitudes where rows hold them already.
+    """
+    flat1 = F.cos(F.radians(lat1)) if flat1 is None else flat1
+    flat2 = F.cos(F.radians(lat2)) if flat2 is None else flat2
     half_lat = F.sin(F.radians(lat2 - lat1) / 2)
     half_lon = F.sin(F.radians(lon2 - lon1) / 2)
-    a = half_lat * half_lat + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * half_lon * half_lon
+    a = half_lat * half_lat + flat1 * flat2 * half_lon * half_lon
     return F.lit(2 * EARTH_RADIUS) * F.asin(F.sqrt(F.least(F.lit(1.0), a)))
 
 
+def unit_vector(lon: Column, lat: Column) -> tuple[Column, Column, Column]:
+    """x, y, z of the point on a sphere of radius 1."""
+    flat = F.cos(F.radians(lat))
+    return flat * F.cos(F.radians(lon)), flat * F.sin(F.radians(lon)), F.sin(F.radians(lat))
+
+
+def squared_chord(radius: float) -> float:
+    """Square of the straight line, on a sphere of radius 1, under an arc of ``radius`` metres."""
+    return 4 * math.sin(min(max(radius, 0.0) / EARTH_RADIUS, math.pi) / 2) ** 2
+
+
+def cells_per_radius(size: float) -> float:
+    """Edges of a cubic grid of ``size`` metres, 1 at least, from the middle of the earth to its surface."""
+    return EARTH_RADIUS / max(size, 1.0)
+
+
 def sphere_cell(lon: Column, lat: Column, size: float) -> Column:
     """Cell of a cubic grid of ``size`` metres, 1 at least, that holds the point on the sphere.
 
     The straight line between two points is never longer than the arc, so points within ``size``
     of each other lie in the same or touching cells, at the poles and the date line too.
     """
-    scale = F.lit(EARTH_RADIUS / max(size, 1.0))
-    flat = F.cos(F.radians(lat))
-    axes = {
-        "x": flat * F.cos(F.radians(lon)), "y": flat * F.sin(F.radians(lon)), "z": F.sin(F.radians(lat)),
-    }
-    return F.struct(*[F.floor(scale * v).cast("long").alias(n) for n, v in axes.items()])
-
-
-def touching_cells(cell: Column) -> Column:
-    """The cell and its 26 neighbours."""
-    steps = [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)]
-    return F.array(*[
-        F.struct(
-            (cell["x"] + i).alias("x"), (cell["y"] + j).alias("y"), (cell["z"] + k).alias("z")
-        )
-        for i, j, k in steps
-    ])
+    scale = F.lit(cells_per_radius(size))
+    return F.struct(*[F.floor(scale * v).cast("long").alias(n) for n, v in zip("xyz", unit_vector(lon, lat))])
+
+
+def may_hold_near(cell: Sequence[Column], vector: Sequence[Column], radius: float) -> Column:
+    """``cell``, of a grid of ``radius`` metres, meets the sphere and comes within ``radius`` of the point at ``vector``."""
+    scale, slack = cells_per_radius(radius), 1e-6
+    near, inner, outer = F.lit(0.0), F.lit(0.0), F.lit(0.0)
+    for index, v in zip(cell, vector):
+        low = index.cast("double")
+        high = low + 1
+        aside = F.greatest(low - v * scale, v * scale - high, F.lit(0.0))
+        least, most = F.greatest(low, -high, F.lit(0.0)), F.greatest(F.abs(low), F.abs(high))
+        near, inner, outer = near + aside * aside, inner + least * least, outer + most * most
+    reach = math.sqrt(squared_chord(radius)) * scale + slack
+    return (near <= reach**2) & (inner <= (scale + slack) ** 2) & (outer >= max(scale - slack, 0.0) ** 2)
 
 
 def within_box(lon: Column, lat: Column, centre_lon: float, centre_lat: float, radius: float) -> Column:

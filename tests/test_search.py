@@ -173,6 +173,40 @@ def test_nearby_join_equals_brute_force(spark, kind, radius):
     assert len(pairs) == len(set(pairs)) and set(pairs) == want
 
 
+@pytest.mark.parametrize("radius", [-5.0, 0.3, 9_000_000.0, 3e7])
+def test_nearby_join_at_any_radius(spark, radius):
+    """Also where one is reached exactly, at the poles, on the date line and with keys that repeat or lack."""
+    places = _places("spread")[:300] + [(5000, 0.0, 90.0), (5001, 77.0, 90.0), (5002, 180.0, 0.0), (5003, -180.0, 0.0), (5003, 12.0, -90.0)]
+    centres = CENTRES + [(20, 45.0, 90.0), (20, -180.0, 0.0), (None, 3.0, -90.0)]
+    assets = spark.createDataFrame(places, "id long, lon double, lat double")
+    asked = spark.createDataFrame(centres, "centre_id long, lon double, lat double")
+    want = Counter((c, i) for c, clon, clat in centres for i, lon, lat in places if _sphere(lon, lat, clon, clat) <= radius)
+    assert Counter((r.centre_id, r.id) for r in nearby.nearby_join(assets, asked, radius).collect()) == want
+    one = spark.createDataFrame([(1, 10.0, 20.0)], "centre_id long, lon double, lat double")
+    for r in nearby.nearby_join(assets, one, 3e7).orderBy("distance").limit(3).collect():
+        assert r in nearby.nearby_join(assets, one, r.distance).collect()
+
+
+def test_centres_are_planned_at_the_size_of_their_copies(spark, tmp_path):
+    """27 cells around each centre are not broadcast because one would be small enough."""
+    rng = random.Random(5)
+    for name, n, key in (("places", 30_000, "id"), ("centres", 500, "centre_id")):
+        rows = [(i, rng.uniform(-180, 180), rng.uniform(-89, 89)) for i in range(n)]
+        spark.createDataFrame(rows, f"{key} long, lon double, lat double").coalesce(1).write.parquet(f"{tmp_path}/{name}")
+    places, centres = (spark.read.parquet(f"{tmp_path}/{name}") for name in ("places", "centres"))
+    size = int(centres._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    given = spark.conf.get(name)
+    spark.conf.set(name, str(10 * size))
+    try:
+        found = nearby.nearby_join(places, centres, 300_000.0)
+        got = Counter((r.centre_id, r.id) for r in found.collect())
+        assert "BroadcastExchange" not in found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(name, given)
+    assert got == Counter((r.centre_id, r.id) for r in nearby.nearby_join(places, centres, 300_000.0).collect())
+
+
 @pytest.mark.parametrize("crowd", [8, nearby.CROWD])
 @pytest.mark.parametrize("kind", ["spread", "crowded", "few"])
 def test_knn_join_equals_brute_force(spark, kind, crowd):
