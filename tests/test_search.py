@@ -9,7 +9,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from lumencat.functions import stemming, text
+from lumencat.functions import geo, stemming, text
 from lumencat.functions.stemming import with_stems
 from lumencat.functions.geo import EARTH_RADIUS
 from lumencat.operators import nearby, search
@@ -187,6 +187,14 @@ def test_nearby_join_at_any_radius(spark, radius):
         assert r in nearby.nearby_join(assets, one, r.distance).collect()
 
 
+def test_tenths_equal_rounding(spark):
+    rng = random.Random(9)
+    near = [n / 20 + d for n in range(-50, 400) for d in (0.0, 1e-17, 1e-9, -1e-9, 1e-15)] + [x * 0.1 + 0.05 for x in range(10_000_000, 10_003_000)]
+    values = near + [rng.uniform(0, 2.1e7) for _ in range(5000)] + [-0.0, -1e-9, 1e8, 123456789012.35, 1e300, math.inf, -math.inf, math.nan, None]
+    df = spark.createDataFrame([(v,) for v in values], "v double").select("v", geo.tenths(F.col("v")).alias("got"), F.round("v", 1).alias("want"))
+    assert [(r.v, r.got, r.want) for r in df.collect() if repr(r.got) != repr(r.want)] == []
+
+
 def test_centres_are_planned_at_the_size_of_their_copies(spark, tmp_path):
     """27 cells around each centre are not broadcast because one would be small enough."""
     rng = random.Random(5)
